@@ -1,4 +1,209 @@
-"""The graph queries."""
+"""The graph queries: built-in programs and graph operators on graphs derived from the supplied tables, with SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gasframe.algorithms import INF, LOW, PROGRAMS, bfs_depth, pagerank_fixed_point
+from gasframe.operators import statistics
+from gasframe.operators.graph import Graph, iterate
+from gasframe.sources.generate import generate_graph
+
+PART = 1_000_000
+MASK = 0xFFFFFFFF
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _numbered(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with an edge number that depends on the pair only."""
+    return pairs.withColumn("eid", F.col("src") * 4 * PART + F.col("dst"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+
+
+def supply(spark: SparkSession, sf_dir: str) -> Graph:
+    """Suppliers and the parts they sold, both ways, with small weights."""
+    one = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst")).distinct()
+    edges = _numbered(one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return Graph(_ends(edges), edges.withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 9))
+
+
+def purchase(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers and the suppliers they bought from: bipartite, one way, with parallel edges."""
+    o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    edges = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + PART).alias("dst"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("eid"))
+    return Graph(_ends(edges), edges)
+
+
+def clickflow(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users by whose event the next event of the hour came; parallel edges and loops."""
+    w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    edges = _table(spark, sf_dir, "events").select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst IS NOT NULL")
+    return Graph(_ends(edges), edges)
+
+
+def _with_degree(g: Graph) -> Graph:
+    d = g.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    nodes = g.nodes.join(d, "id", "left").withColumn("out_deg", F.greatest(F.coalesce("d", F.lit(0)), F.lit(1)).cast("bigint")).drop("d")
+    return Graph(nodes, g.edges)
+
+
+def _start(g: Graph, **props) -> Graph:
+    return Graph(g.nodes.withColumns(props), g.edges)
+
+
+def _long(v: int):
+    return F.lit(v).cast("bigint")
+
+
+def _runner(graph: Callable, program: str, prop: str, steps: int, first: Callable, degree: bool = False, finish: Callable | None = None) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = graph(spark, sf_dir)
+        g = _with_degree(g) if degree else g
+        nodes = iterate(PROGRAMS[program], _start(g, **{prop: first()}), steps).nodes
+        return finish(nodes) if finish else nodes.select("id", prop)
+
+    return query
+
+
+def _far_from_zero():
+    return F.when(F.col("id") == 0, _long(0)).otherwise(_long(999999))
+
+
+def _als(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One least-squares step: vectors of 16 floats, each linked from five others, with ratings from ids."""
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("vec"))
+    n = v.agg(F.count("*").alias("n"))
+    pairs = v.select(F.col("id").alias("dst")).join(F.broadcast(n)).select(F.explode(F.array(*(((F.col("dst") * 7 + 13 * j + 1) % F.col("n")) for j in range(1, 6)))).alias("src"), "dst")
+    edges = _numbered(pairs).withColumn("rating", ((F.col("src") + F.col("dst")) % 5).cast("double"))
+    out = iterate(PROGRAMS["als"], Graph(v, edges), 1).nodes
+    return out.select("id", F.transform("vec", lambda x: F.round(x, 3)).alias("vec"))
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = statistics.statistics(purchase(spark, sf_dir))
+    return s.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) for c, t in s.dtypes))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.partition_plan(supply(spark, sf_dir), 4, 2, sparse_cap=200, dense_cap=50)
+
+
+def _naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.naive_plan(supply(spark, sf_dir), 4, 2, sparse_cap=200, dense_cap=50)
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths on a random graph with as many nodes as there are customers."""
+    n = _table(spark, sf_dir, "customer").count()
+    return iterate(PROGRAMS["sssp"], generate_graph(spark, "sssp", n, 8 * n), 3).nodes.select("id", "dist")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "sssp_weighted": _runner(supply, "sssp", "dist", 3, _far_from_zero),
+    "sssp_unweighted": _runner(supply, "sssp_unweighted", "dist", 4, _far_from_zero),
+    "sssp_inverted": _runner(supply, "sssp_inverted", "dist", 2, _far_from_zero),
+    "bfs": _runner(supply, "bfs", "prop", 4, lambda: F.when(F.col("id") == 0, _long((1 << 31) + 1)).otherwise(_long(INF)), finish=bfs_depth),
+    "pagerank": _runner(clickflow, "pagerank", "rank", 4, lambda: F.lit(1.0), degree=True, finish=lambda n: n.select("id", F.round("rank", 6).alias("rank"))),
+    "article_rank": _runner(clickflow, "ar", "score", 4, lambda: _long(0), degree=True),
+    "connected_components": _runner(clickflow, "cc", "label", 3, lambda: F.col("id")),
+    "connected_components_self": _runner(supply, "cc_self", "label", 4, lambda: F.col("id")),
+    "wcc": _runner(clickflow, "wcc", "label", 3, lambda: F.when(F.col("id") == 0, _long(1)).otherwise(_long(0))),
+    "wcc_self": _runner(supply, "wcc_self", "label", 4, lambda: F.col("id")),
+    "cc_bitmask": _runner(clickflow, "cc_bitmask", "label", 3, lambda: F.expr("shiftleft(1L, CAST(id % 30 AS INT))")),
+    "graph_coloring": _runner(clickflow, "coloring", "color", 3, lambda: F.col("id")),
+    "als_step": _als,
+    "degrees": lambda spark, sf_dir: statistics.degrees(purchase(spark, sf_dir)),
+    "graph_statistics": _statistics,
+    "in_degrees_descending": lambda spark, sf_dir: statistics.in_degrees_descending(purchase(spark, sf_dir)),
+    "partition_plan": _plan,
+    "naive_plan": _naive,
+    "partition_loads": lambda spark, sf_dir: statistics.partition_loads(_plan(spark, sf_dir)),
+    "pagerank_fixed_point": lambda spark, sf_dir: pagerank_fixed_point(clickflow(spark, sf_dir), 3).select("id", "rank"),
+    "generated_sssp": _generated,
+}
+
+_SUPPLY = f"one AS (SELECT DISTINCT l_suppkey AS s, l_partkey + {PART} AS p FROM lineitem), e AS MATERIALIZED (SELECT src, dst, 1 + (src + dst) % 9 AS weight FROM (SELECT s AS src, p AS dst FROM one UNION ALL SELECT p, s FROM one))"
+_PURCHASE = f"e AS MATERIALIZED (SELECT o_custkey AS src, l_suppkey + {PART} AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_CLICKS = "c AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events), e AS MATERIALIZED (SELECT src, dst FROM c WHERE dst IS NOT NULL)"
+_NODES = "v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), d AS (SELECT id, greatest(coalesce(n, 0), 1) AS out_deg FROM v LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY 1) ON id = src)"
+
+
+def _unrolled(graph: str, first: str, value: str, reduce: str, apply: str, steps: int, last: str) -> str:
+    """SQL of ``steps`` supersteps: x is the property, g the gathered value, m the message, w an edge's weight."""
+    ctes = [graph, _NODES, f"n0 AS MATERIALIZED (SELECT id, out_deg, {first} AS x FROM d)"]
+    for i in range(steps):
+        ctes.append(f"a{i} AS (SELECT dst, {reduce} AS g0 FROM (SELECT e.*, {value} AS m FROM e JOIN n{i} ON src = id) GROUP BY dst)")
+        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT id, out_deg, {apply} AS x FROM (SELECT n{i}.*, CASE WHEN dst IS NULL THEN x ELSE g0 END AS g FROM n{i} LEFT JOIN a{i} ON id = dst))")
+    return f"WITH {', '.join(ctes)} SELECT {last} FROM n{steps}"
+
+
+_FAR = "CASE WHEN id = 0 THEN 0::BIGINT ELSE 999999::BIGINT END"
+_STATS = "{c}_r AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n, sum({c}) OVER () AS s FROM dd)"
+
+
+def _stats_side(c: str) -> str:
+    return f"""(SELECT max(v) FROM {c}_r)::BIGINT AS max_{c},
+  round((SELECT count(*) FILTER (WHERE v > 0) / count(*) FROM {c}_r), 6) AS active_{c},
+  round((SELECT sqrt(greatest(sum(v * v) / max(n) - (sum(v) / max(n)) * (sum(v) / max(n)), 0)) / (sum(v) / max(n)) FROM {c}_r), 6) AS cv_{c},
+  (SELECT min(v) FROM {c}_r WHERE i = floor((n - 1) * 0.9 + 0.5) + 1)::BIGINT AS p90_{c},
+  (SELECT min(v) FROM {c}_r WHERE i = floor((n - 1) * 0.99 + 0.5) + 1)::BIGINT AS p99_{c},
+  round((SELECT coalesce(sum(v), 0) / max(s) FROM {c}_r WHERE i > n - greatest(1, ceil(n * 0.01))), 6) AS top1pct_{c},
+  round((SELECT coalesce(sum(v), 0) / max(s) FROM {c}_r WHERE i > n - greatest(1, ceil(n * 0.001))), 6) AS top01pct_{c},
+  round((SELECT greatest(2 * sum(i * v) / (max(n) * max(s)) - (max(n) + 1) / max(n), 0) FROM {c}_r), 6) AS gini_{c}"""
+
+
+_DEGREES = f"WITH {_PURCHASE}, {_NODES}, dd AS (SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM v LEFT JOIN (SELECT dst, count(*) AS i FROM e GROUP BY 1) ON id = dst LEFT JOIN (SELECT src, count(*) AS o FROM e GROUP BY 1) ON id = src)"
+
+
+def _dealt(dense: str) -> str:
+    return f"""WITH {_SUPPLY}, dg AS (SELECT dst AS id, count(*) AS d FROM e GROUP BY 1),
+r AS (SELECT id, d, row_number() OVER (ORDER BY d DESC, id) - 1 AS rk, coalesce(sum(d) OVER (ORDER BY d DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(d) OVER () AS total, count(*) OVER () AS n FROM dg),
+m AS (SELECT *, {dense} AS is_dense FROM r), h AS (SELECT *, CASE WHEN is_dense THEN rk ELSE rk - count(*) FILTER (WHERE is_dense) OVER () END AS own, CASE WHEN is_dense THEN 2 ELSE 4 END AS g, CASE WHEN is_dense THEN 50 ELSE 200 END AS cap FROM m),
+p AS (SELECT id, d::BIGINT AS in_degree, is_dense, (own % g)::BIGINT AS group_id, ((own // g) // cap)::BIGINT AS partition_id FROM h)"""
+
+
+_CUT = f"before < total * {2 * 1_040_000 / (2 * 1_040_000 + 4 * 280_000)!r}"
+ORACLES: dict[str, str] = {
+    "sssp_weighted": _unrolled(_SUPPLY, _FAR, f"(x + weight) & {MASK}", "min(m)", "least(x, g)", 3, "id, x AS dist"),
+    "sssp_unweighted": _unrolled(_SUPPLY, _FAR, "x + 1", "min(m)", "least(x, g)", 4, "id, x AS dist"),
+    "sssp_inverted": _unrolled(_SUPPLY, _FAR, f"(x + weight) & {MASK}", "min(m)", "greatest(x, g)", 2, "id, x AS dist"),
+    "bfs": _unrolled(
+        _SUPPLY, f"CASE WHEN id = 0 THEN 2147483649 ELSE {INF}::BIGINT END", "CASE WHEN (x & 2147483648) <> 0 THEN x + 1 ELSE 0 END",
+        f"coalesce(arg_min(m, m & {LOW}) FILTER (WHERE m <> 0), 0)", f"CASE WHEN g = 0 THEN x & {LOW} WHEN x = {INF} THEN g ELSE x & {LOW} END", 4,
+        f"id, CASE WHEN (x & {LOW}) <> {INF} THEN (x & {LOW}) - 1 END AS depth",
+    ),
+    "pagerank": _unrolled(_CLICKS, "1.0::DOUBLE", "x", "sum(m)", "0.15::DOUBLE + 0.85::DOUBLE * (g / out_deg)", 4, "id, round(x, 6) AS rank"),
+    "article_rank": _unrolled(_CLICKS, "0::BIGINT", "x", f"(sum(m)::BIGINT) & {MASK}", f"(((108 * g + 1258291) & {MASK}) * (65536 // out_deg)) & {MASK}", 4, "id, x AS score"),
+    "connected_components": _unrolled(_CLICKS, "id", "x", "min(m)", "g", 3, "id, x AS label"),
+    "connected_components_self": _unrolled(_SUPPLY, "id", "x", "min(m)", "least(x, g)", 4, "id, x AS label"),
+    "wcc": _unrolled(_CLICKS, "CASE WHEN id = 0 THEN 1::BIGINT ELSE 0::BIGINT END", "x", "max(m)", "g", 3, "id, x AS label"),
+    "wcc_self": _unrolled(_SUPPLY, "id", "x", "max(m)", "greatest(x, g)", 4, "id, x AS label"),
+    "cc_bitmask": _unrolled(_CLICKS, "1::BIGINT << (id % 30)", "x", "bit_or(m)", "x | g", 3, "id, x AS label"),
+    "degrees": f"{_DEGREES} SELECT id, in_degree::BIGINT AS in_degree, out_degree::BIGINT AS out_degree FROM dd",
+    "graph_statistics": f"{_DEGREES}, {_STATS.format(c='in_degree')}, {_STATS.format(c='out_degree')} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / (SELECT count(*) FROM v), 6) AS avg_degree, round((SELECT count(*) FROM e) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)), 6) AS density, {_stats_side('in_degree')}, {_stats_side('out_degree')}",
+    "in_degrees_descending": f"{_DEGREES} SELECT id, in_degree::BIGINT AS in_degree FROM dd WHERE in_degree > 0",
+    "partition_plan": f"{_dealt(_CUT)} SELECT * FROM p",
+    "naive_plan": f"{_dealt('rk < ceil(n * 0.2)')} SELECT * FROM p",
+    "partition_loads": f"{_dealt(_CUT)} SELECT is_dense, group_id, partition_id, count(*) AS destinations, sum(in_degree)::BIGINT AS edges FROM p GROUP BY ALL",
+}
+
+
+def _coloring_sql(steps: int) -> str:
+    """A node without a message keeps its colour; others take the least number that no message holds."""
+    ctes = [_CLICKS, _NODES, "n0 AS MATERIALIZED (SELECT id, id AS x FROM d)"]
+    for i in range(steps):
+        ctes.append(f"a{i} AS (SELECT dst, list_distinct(list(x)) AS l FROM e JOIN n{i} ON src = id GROUP BY dst)")
+        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT id, CASE WHEN l IS NULL THEN x ELSE (list_filter(range(0, len(l) + 1), lambda q: NOT list_contains(l, q)))[1] END AS x FROM n{i} LEFT JOIN a{i} ON id = dst)")
+    return f"WITH {', '.join(ctes)} SELECT id, x AS color FROM n{steps}"
+
+
+ORACLES["graph_coloring"] = _coloring_sql(3)
