@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gasframe.llm.common import SPACES, checked_broadcast, let, written
+from gasframe.llm.common import SPACES, let, written
 
 #: A sentence ends after white space that follows a full stop, a question or an exclamation mark, and after a line feed.
 SENTENCE_END = r"(?<=[.!?]\s{1,4})(?=\S)|(?<=\n)"
 #: Runs that are hashed: (sentences, words that the run needs at least).
 RUNS = ((2, 8),)
 
+#: The table of what documents lose is broadcast only if it has been written and lists at most so many sentences.
+BROADCAST_PLACES = 1_000_000
+
 
 def sentences(text: Column) -> Column:
     """The sentences of a text with the white space after them; joined, they are the text."""
@@ -48,7 +51,7 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spans = _spans(docs, id_col, text_col, runs)
     again = written(spans.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("doc_id").alias("first")).where("times > 1").drop("times"), "again")
-    found = spans.join(checked_broadcast(again), ["h", "g"])
+    found = spans.join(again, ["h", "g"])
     own = F.col("doc_id").eqNullSafe(F.col("first"))
     per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "g", "at", "n", own.alias("own"))).alias("runs"))
 
@@ -69,7 +72,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lost = written(repeated_sentences(docs, id_col, text_col, runs).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "lost"), "lost")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    both = rows.join(checked_broadcast(lost, 100_000), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
+    places = lost.agg(F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()[0]
+    both = rows.join(F.broadcast(lost) if places <= BROADCAST_PLACES else lost, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
     parts = both.select("row", "text", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"), sentences(F.col("text")).alias("parts"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("lost")), lambda i: F.get(F.col("parts"), i))
     clean = F.when(F.size("lost") == 0, F.col("text")).otherwise(F.array_join(kept, ""))
