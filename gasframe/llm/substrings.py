@@ -12,10 +12,6 @@ SENTENCE_END = r"(?<=[.!?]\s{1,4})(?=\S)|(?<=\n)"
 #: Runs that are hashed: (sentences, words that the run needs at least).
 RUNS = ((2, 8),)
 
-#: The table of what documents lose is broadcast only if it has been written and lists at most so many sentences.
-BROADCAST_PLACES = 1_000_000
-
-
 def sentences(text: Column) -> Column:
     """The sentences of a text with the white space after them; joined, they are the text."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SENTENCE_END, -1))
@@ -67,13 +63,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without them.
 
     A null text counts as empty and has none; a document of which nothing is left has an empty text; equal rows get
-    equal results. The texts are joined with what they lose once, by id and hash; that side is broadcast if it is small.
+    equal results. The texts are joined with what they lose once, by id and hash.
     """
     lost = written(repeated_sentences(docs, id_col, text_col, runs).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "lost"), "lost")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    places = lost.agg(F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()[0]
-    both = rows.join(F.broadcast(lost) if places <= BROADCAST_PLACES else lost, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
+    both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
     parts = both.select("row", "text", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"), sentences(F.col("text")).alias("parts"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("lost")), lambda i: F.get(F.col("parts"), i))
     clean = F.when(F.size("lost") == 0, F.col("text")).otherwise(F.array_join(kept, ""))
