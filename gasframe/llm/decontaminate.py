@@ -124,7 +124,7 @@ def latent_basis(items: DataFrame, weight: np.ndarray, rank: int = RANK, seed: i
     def summed(f) -> tuple[np.ndarray, np.ndarray]:
         parts = items.select("text").mapInArrow(f, "i long, v array<double>")
         got = parts.groupBy("i").agg(F.array(*(F.sum(F.col("v")[c]) for c in range(wide))).alias("v")).orderBy("i").toPandas()
-        return got.i.to_numpy(np.int64), np.array(got.v.tolist(), np.float64).reshape(len(got), -1)
+        return got.i.to_numpy(np.int64), np.array(got.v.tolist(), np.float64).reshape(len(got), wide)
 
     index, sketch = summed(spread)
     if not len(index):

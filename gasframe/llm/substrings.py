@@ -9,34 +9,43 @@ from gasframe.llm.common import SPACES, let, written
 
 #: A sentence ends after white space that follows a full stop, a question or an exclamation mark, and after a line feed.
 SENTENCE_END = r"(?<=[.!?]\s{1,4})(?=\S)|(?<=\n)"
-#: Runs that are hashed: (sentences, words that the run needs at least).
-RUNS = ((2, 8),)
+#: A run has two sentences at least, and as many more as it takes to have so many words.
+RUN_WORDS = 8
+
 
 def sentences(text: Column) -> Column:
     """The sentences of a text with the white space after them; joined, they are the text."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SENTENCE_END, -1))
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str, runs) -> DataFrame:
-    """(doc_id, key, at, n, h, g) of every run of sentences that is long enough; h and g are two hashes of its words."""
+def _spans(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
+    """(doc_id, key, at, n, h, g) of the run that starts at each sentence; h and g are two hashes of its words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = F.transform(sentences(F.lower(text)), lambda s: F.btrim(s, F.lit(SPACES)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.filter(F.transform(bare, lambda s, i: F.struct(s.alias("s"), i.alias("i"), (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).alias("w"))), lambda s: s["s"] != "").alias("ss"))
+    at = lambda i, j, name: F.get(F.col("ss"), i + j)[name]
+
+    def length(i: Column) -> Column:
+        words, out = at(i, 0, "w"), None
+        for n in range(2, max(run_words, 2) + 1):
+            words = words + at(i, n - 1, "w")
+            out = (F if out is None else out).when(words >= run_words, F.lit(n))
+        return out
 
-    def of(length: int, least: int) -> Column:
-        def run(i: Column) -> Column:
-            part = [F.get(F.col("ss"), i + j) for j in range(length)]
-            words = sum((p["w"] for p in part[1:]), part[0]["w"])
-            whole = F.concat_ws(" ", *(p["s"] for p in part))
-            return F.when(words >= least, F.struct(part[0]["i"].alias("at"), (part[-1]["i"] - part[0]["i"] + 1).alias("n"), F.xxhash64(whole).alias("h"), F.hash(whole).alias("g")))
+    def run(i: Column) -> Column:
+        def made(n: Column) -> Column:
+            two = F.concat_ws(" ", at(i, 0, "s"), at(i, 1, "s"))
+            whole = F.when(n == 2, two).otherwise(F.array_join(F.transform(F.slice("ss", i + 1, n), lambda x: x["s"]), " "))
+            return F.when(n.isNotNull(), let(whole, lambda x: F.struct(at(i, 0, "i").alias("at"), (at(i, n - 1, "i") - at(i, 0, "i") + 1).alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"))))
 
-        all_runs = F.transform(F.sequence(F.lit(0), F.size("ss") - length), run)
-        return F.when(F.size("ss") >= length, F.filter(all_runs, lambda r: r.isNotNull())).otherwise(F.array().cast("array<struct<at:int,n:int,h:bigint,g:int>>"))
+        return let(length(i), made)
 
-    return rows.select("doc_id", "key", F.explode(F.concat(*(of(*r) for r in runs))).alias("r")).select("doc_id", "key", "r.*")
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("ss") - 2), run), lambda r: r.isNotNull())
+    found = F.when(F.size("ss") > 1, runs).otherwise(F.array().cast("array<struct<at:int,n:int,h:bigint,g:int>>"))
+    return rows.select("doc_id", "key", F.explode(found).alias("r")).select("doc_id", "key", "r.*")
 
 
-def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs=RUNS) -> DataFrame:
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, key, lost): the numbers of the sentences that lie in a run that is not the first of its kind, for each
     document with any; key is a hash of the text.
 
@@ -45,7 +54,7 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first. Runs are matched over the whole corpus by 96 bits of hash: a count and a smallest id per run, with map-side
     partial sums, then an equality join of the runs with those that occur twice or more.
     """
-    spans = _spans(docs, id_col, text_col, runs)
+    spans = _spans(docs, id_col, text_col, run_words)
     again = written(spans.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("doc_id").alias("first")).where("times > 1").drop("times"), "again")
     found = spans.join(again, ["h", "g"])
     own = F.col("doc_id").eqNullSafe(F.col("first"))
@@ -58,14 +67,14 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return per.select("doc_id", "key", F.sort_array(F.array_distinct(F.flatten(F.filter(marked, lambda x: x.isNotNull())))).alias("lost")).where(F.size("lost") > 0)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs=RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` (as the struct ``row``) with n_sentences, lost (numbers of the sentences removed) and clean, the text
     without them.
 
     A null text counts as empty and has none; a document of which nothing is left has an empty text; equal rows get
     equal results. The texts are joined with what they lose once, by id and hash.
     """
-    lost = written(repeated_sentences(docs, id_col, text_col, runs).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "lost"), "lost")
+    lost = written(repeated_sentences(docs, id_col, text_col, run_words).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "lost"), "lost")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
