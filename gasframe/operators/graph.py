@@ -203,9 +203,13 @@ def _declare(step: Superstep) -> Superstep:
     return replace(step, program=program)
 
 
-def _narrow(step: Superstep, graph: Graph) -> DataFrame:
+def _prepared(step: Superstep, graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) to iterate over: written once, the edges with the columns that the program reads. Tables that lie
+    in the shared folder already are read from there."""
     _, edge = _used(step)
-    return graph.edges.select("eid", "src", "dst", *(F.col(f"`{p}`") for p in sorted(edge)))
+    ready = lambda df: hasattr(df, "_scratch_path")
+    narrow = graph.edges.select("eid", "src", "dst", *(F.col(f"`{p}`") for p in sorted(edge)))
+    return graph.nodes if ready(graph.nodes) else written(graph.nodes, "nodes"), narrow if ready(graph.edges) else written(narrow, "edges")
 
 
 @dataclass(frozen=True)
@@ -228,7 +232,9 @@ def _advance(step: Superstep, nodes: DataFrame, edges: DataFrame, no_message: ob
 def iterate(program: Program | str, graph: Graph, steps: int, no_message: object = "current") -> Run:
     """Exactly ``steps`` supersteps."""
     step = lower(program)
-    edges, nodes, last = written(_narrow(step, graph), "edges") if steps > 1 else _narrow(step, graph), graph.nodes, None
+    if steps <= 0:
+        return Run(graph.nodes, 0, None)
+    (nodes, edges), last = _prepared(step, graph), None
     for i in range(steps):
         if i == steps - 1:
             nodes = superstep(step, nodes, edges, no_message).drop("$changed")
@@ -244,7 +250,7 @@ def iterate(program: Program | str, graph: Graph, steps: int, no_message: object
 def converge(program: Program | str, graph: Graph, limit: int, no_message: object = "current") -> Run:
     """Supersteps until no node changes; ``NoConvergence`` if one still does in step ``limit``."""
     step = lower(program)
-    edges, nodes, last = written(_narrow(step, graph), "edges"), graph.nodes, None
+    (nodes, edges), last = _prepared(step, graph), None
     for i in range(limit):
         nodes, changes = _advance(step, nodes, edges, no_message)
         step = _declare(step)

@@ -11,6 +11,7 @@ from gasframe.algorithms import INF, LOW, PROGRAMS, bfs_depth, pagerank_fixed_po
 from gasframe.operators import statistics
 from gasframe.operators.graph import Graph, iterate
 from gasframe.sources.generate import generate_graph
+from gasframe.sources.scratch import written
 
 PART = 1_000_000
 MASK = 0xFFFFFFFF
@@ -32,21 +33,22 @@ def _ends(edges: DataFrame) -> DataFrame:
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers and the parts they sold, both ways, with small weights."""
     one = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst")).distinct()
-    edges = _numbered(one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    return Graph(_ends(edges), edges.withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 9))
+    both = one.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
+    edges = written(_numbered(both).withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 9), "supply")
+    return Graph(_ends(edges), edges)
 
 
 def purchase(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers and the suppliers they bought from: bipartite, one way, with parallel edges."""
     o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
-    edges = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + PART).alias("dst"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("eid"))
+    edges = written(o.join(li, o.o_orderkey == li.l_orderkey).select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("eid"), F.col("o_custkey").alias("src"), (F.col("l_suppkey") + PART).alias("dst")), "purchase")
     return Graph(_ends(edges), edges)
 
 
 def clickflow(spark: SparkSession, sf_dir: str) -> Graph:
     """Users by whose event the next event of the hour came; parallel edges and loops."""
     w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    edges = _table(spark, sf_dir, "events").select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst IS NOT NULL")
+    edges = written(_table(spark, sf_dir, "events").select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst IS NOT NULL"), "clickflow")
     return Graph(_ends(edges), edges)
 
 
