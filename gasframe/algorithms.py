@@ -82,25 +82,32 @@ def classified(step) -> str:
 FIXED_STEPS = {"pagerank": 16, "ar": 10}
 
 
-def pagerank_fixed_point(graph: Graph, steps: int = 16, scale_bits: int = 30) -> DataFrame:
-    """(id, rank): page rank in integers scaled by 2^30. Each step a node takes the sum of rank / out-degree of its
-    sources through a 16-bit reciprocal, damps it by 108/128, and adds its share of the rest; it stops at ``steps`` or
-    when no rank moves by more than one."""
+def pagerank_fixed_point(graph: Graph, steps: int = 200, tolerance: int = 1, scale_bits: int = 30) -> DataFrame:
+    """(id, contribution): page rank in integers, as what a node sends along each of its edges, scaled by 2^30.
+
+    A node's score is its share of 15 % of the scale plus 108/128 of the contributions it receives; it sends the score by
+    a 16-bit reciprocal of its out-degree, and nothing without an outgoing edge. The run ends after ``steps``, or when no
+    contribution moves by more than ``tolerance``.
+    """
+    from pyspark.sql import Observation
+
     from gasframe.sources.scratch import forget, written
 
-    n = graph.nodes.count()
-    base = ((1 << scale_bits) * 20 // 128) // max(n, 1)
-    degree = graph.edges.groupBy("src").agg(F.count("*").alias("d"))
-    edges = written(graph.edges.select("src", "dst").join(degree, "src").select("src", "dst", F.expr("65536 div d").alias("inv")), "edges")
-    ranks = graph.nodes.select("id", F.lit((1 << scale_bits) // max(n, 1)).cast("bigint").alias("rank"))
+    n = max(graph.nodes.count(), 1)
+    share, base = (1 << scale_bits) // n, (1 << scale_bits) * 15 // (100 * n)
+    edges = graph.edges.select("src", "dst") if hasattr(graph.edges, "_scratch_path") else written(graph.edges.select("src", "dst"), "edges")
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    start = graph.nodes.select("id").join(degree, "id", "left").select("id", "d", F.expr(f"coalesce({share}L div d, 0L)").alias("c"))
+    now = written(start, "ranks")
     for _ in range(steps):
-        sums = edges.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.shiftright(F.col("rank") * F.col("inv"), 16)).alias("s"))
-        nxt = ranks.join(sums, F.col("id") == F.col("dst"), "left").select("id", (F.lit(base) + F.shiftright(F.coalesce("s", F.lit(0)) * 108, 7)).cast("bigint").alias("rank"), F.col("rank").alias("old"))
-        out = written(nxt, "ranks")
-        moved = out.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        forget(ranks)
-        ranks = out.drop("old")
-        ranks._scratch_path = out._scratch_path
-        if moved is not None and moved <= 1:
+        sums = edges.join(now.select(F.col("id").alias("s_id"), "c"), F.col("src") == F.col("s_id")).groupBy("dst").agg(F.sum("c").alias("s"))
+        score = F.lit(base) + F.shiftright(F.coalesce("s", F.lit(0)) * 108, 7)
+        sent = F.when(F.col("d").isNotNull(), F.shiftright(score * F.expr("65536L div d"), 16)).otherwise(F.lit(0)).cast("bigint")
+        seen = Observation()
+        nxt = now.join(sums, F.col("id") == F.col("dst"), "left").select("id", "d", sent.alias("new"), "c")
+        out = written(nxt.observe(seen, F.max(F.abs(F.col("new") - F.col("c"))).alias("moved")).select("id", "d", F.col("new").alias("c")), "ranks")
+        forget(now)
+        now = out
+        if (seen.get["moved"] or 0) <= tolerance:
             break
-    return ranks
+    return now.select("id", F.col("c").alias("contribution"))

@@ -158,8 +158,8 @@ def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFr
     return lists.select("k", fold.alias("g")), Typed(F.col("g"), value.kind, value.parts, value.size)
 
 
-def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame, no_message: object = "current") -> DataFrame:
-    """``nodes`` after one step, with the column ``$changed``.
+def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame, no_message: object = "current", keep_old: bool = False) -> DataFrame:
+    """``nodes`` after one step, with the column ``$changed``, and with ``keep_old`` the value before as ``$old``.
 
     A node without a message gathers its current value and applies to it; where the types differ it keeps its value.
     ``no_message`` may instead be "skip" (keep the value), or a number to gather.
@@ -191,7 +191,8 @@ def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame, no_message: o
     if declared:
         before, after = Typed(F.col("`$old`"), new.kind, new.parts, new.size), Typed(F.col(f"`{target}`"), new.kind, new.parts, new.size)
         changed = ~F.coalesce(equal(before, after), before.column.isNull() & after.column.isNull())
-        return stepped.withColumn("$changed", changed).drop("$old")
+        marked = stepped.withColumn("$changed", changed)
+        return marked if keep_old else marked.drop("$old")
     return stepped.withColumn("$changed", F.col(f"`{target}`").isNotNull() if target not in nodes.columns else F.lit(True))
 
 
@@ -247,6 +248,55 @@ def iterate(program: Program | str, graph: Graph, steps: int, no_message: object
     return Run(nodes, steps, None)
 
 
+@dataclass(frozen=True)
+class Until:
+    """When a run ends, and how a new value meets the old.
+
+    mode: "equality" (nothing changes), "improve" (nothing improves, the same test), "delta" (no value moves by
+    ``threshold`` or more), "newly_discovered" (no value that was ``unreached`` has a bit of ``active_mask``), or "fixed"
+    (never before the limit). update: "overwrite", "min" or "max". Nodes without a message keep their values.
+    """
+
+    mode: str = "equality"
+    update: str = "overwrite"
+    threshold: float = 0.0
+    active_mask: int = 0
+    unreached: int = 0
+
+    def __post_init__(self):
+        if self.mode not in ("equality", "improve", "delta", "newly_discovered", "fixed") or self.update not in ("overwrite", "min", "max"):
+            raise ValueError(f"unknown mode {self.mode} or update {self.update}")
+
+    def open_(self, old: Column, new: Column, changed: Column) -> Column:
+        """An aggregate that is zero (or null) once the run may end."""
+        if self.mode == "delta":
+            return F.count_if(F.abs(new - old) >= self.threshold)
+        if self.mode == "newly_discovered":
+            return F.count_if((new.bitwiseAND(F.lit(self.active_mask)) != 0) & (old == self.unreached))
+        moved = {"overwrite": changed, "min": new < old, "max": new > old}[self.update]
+        return F.count_if(moved)
+
+
+def converge_until(program: Program | str, graph: Graph, limit: int, until: Until) -> Run:
+    """Supersteps until ``until`` says so, ``limit`` at most; of the run it is told whether it ended by itself."""
+    step = lower(program)
+    if step.target not in step.program.node:
+        raise ValueError(f"{step.target} has no first value")
+    (nodes, edges), last = _prepared(step, graph), None
+    for i in range(limit):
+        raw = superstep(step, nodes, edges, "skip", keep_old=True)
+        new, old, seen = F.col(f"`{step.target}`"), F.col("`$old`"), Observation()
+        raw = raw.observe(seen, until.open_(old, new, F.col("`$changed`")).alias("n"))
+        value = {"overwrite": new, "min": F.least(old, new), "max": F.greatest(old, new)}[until.update]
+        nodes = written(raw.withColumn(step.target, value).drop("$changed", "$old"), "step")
+        if last is not None:
+            forget(last)
+        last = nodes
+        if until.mode != "fixed" and not seen.get["n"]:
+            return Run(nodes, i + 1, True)
+    return Run(nodes, limit, None if until.mode == "fixed" else False)
+
+
 def converge(program: Program | str, graph: Graph, limit: int, no_message: object = "current") -> Run:
     """Supersteps until no node changes; ``NoConvergence`` if one still does in step ``limit``."""
     step = lower(program)
@@ -293,4 +343,4 @@ def explain(program: Program | str) -> str:
     return lower(program).explain()
 
 
-__all__ = ["Graph", "NoConvergence", "Run", "Var", "compare", "converge", "explain", "iterate", "run", "superstep", "timed"]
+__all__ = ["Graph", "NoConvergence", "Run", "Until", "Var", "compare", "converge", "converge_until", "explain", "iterate", "run", "superstep", "timed"]

@@ -66,11 +66,11 @@ def _long(v: int):
     return F.lit(v).cast("bigint")
 
 
-def _runner(graph: Callable, program: str, prop: str, steps: int, first: Callable, degree: bool = False, finish: Callable | None = None) -> Callable:
+def _runner(graph: Callable, program: str, prop: str, steps: int, first: Callable, degree: bool = False, finish: Callable | None = None, no_message: object = "current") -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = graph(spark, sf_dir)
         g = _with_degree(g) if degree else g
-        nodes = iterate(PROGRAMS[program], _start(g, **{prop: first()}), steps).nodes
+        nodes = iterate(PROGRAMS[program], _start(g, **{prop: first()}), steps, no_message).nodes
         return finish(nodes) if finish else nodes.select("id", prop)
 
     return query
@@ -116,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bfs": _runner(supply, "bfs", "prop", 4, lambda: F.when(F.col("id") == 0, _long((1 << 31) + 1)).otherwise(_long(INF)), finish=bfs_depth),
     "pagerank": _runner(clickflow, "pagerank", "rank", 4, lambda: F.lit(1.0), degree=True, finish=lambda n: n.select("id", F.round("rank", 6).alias("rank"))),
     "article_rank": _runner(clickflow, "ar", "score", 4, lambda: _long(0), degree=True),
+    "article_rank_host": _runner(purchase, "ar", "score", 2, lambda: F.col("id") % 97, degree=True, no_message="skip"),
     "connected_components": _runner(clickflow, "cc", "label", 3, lambda: F.col("id")),
     "connected_components_self": _runner(supply, "cc_self", "label", 4, lambda: F.col("id")),
     "wcc": _runner(clickflow, "wcc", "label", 3, lambda: F.when(F.col("id") == 0, _long(1)).otherwise(_long(0))),
@@ -129,7 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "partition_plan": _plan,
     "naive_plan": _naive,
     "partition_loads": lambda spark, sf_dir: statistics.partition_loads(_plan(spark, sf_dir)),
-    "pagerank_fixed_point": lambda spark, sf_dir: pagerank_fixed_point(clickflow(spark, sf_dir), 3).select("id", "rank"),
+    "pagerank_fixed_point": lambda spark, sf_dir: pagerank_fixed_point(clickflow(spark, sf_dir), 3, tolerance=0),
     "generated_sssp": _generated,
 }
 
@@ -144,7 +145,7 @@ def _unrolled(graph: str, first: str, value: str, reduce: str, apply: str, steps
     ctes = [graph, _NODES, f"n0 AS MATERIALIZED (SELECT id, out_deg, {first} AS x FROM d)"]
     for i in range(steps):
         ctes.append(f"a{i} AS (SELECT dst, {reduce} AS g0 FROM (SELECT e.*, {value} AS m FROM e JOIN n{i} ON src = id) GROUP BY dst)")
-        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT id, out_deg, {apply} AS x FROM (SELECT n{i}.*, CASE WHEN dst IS NULL THEN x ELSE g0 END AS g FROM n{i} LEFT JOIN a{i} ON id = dst))")
+        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT id, out_deg, {apply} AS x FROM (SELECT n{i}.*, dst, CASE WHEN dst IS NULL THEN x ELSE g0 END AS g FROM n{i} LEFT JOIN a{i} ON id = dst))")
     return f"WITH {', '.join(ctes)} SELECT {last} FROM n{steps}"
 
 
@@ -185,6 +186,7 @@ ORACLES: dict[str, str] = {
     ),
     "pagerank": _unrolled(_CLICKS, "1.0::DOUBLE", "x", "sum(m)", "0.15::DOUBLE + 0.85::DOUBLE * (g / out_deg)", 4, "id, round(x, 6) AS rank"),
     "article_rank": _unrolled(_CLICKS, "0::BIGINT", "x", f"(sum(m)::BIGINT) & {MASK}", f"(((108 * g + 1258291) & {MASK}) * (65536 // out_deg)) & {MASK}", 4, "id, x AS score"),
+    "article_rank_host": _unrolled(_PURCHASE, "id % 97", "x", f"(sum(m)::BIGINT) & {MASK}", f"CASE WHEN dst IS NULL THEN x ELSE (((108 * g + 1258291) & {MASK}) * (65536 // out_deg)) & {MASK} END", 2, "id, x AS score"),
     "connected_components": _unrolled(_CLICKS, "id", "x", "min(m)", "g", 3, "id, x AS label"),
     "connected_components_self": _unrolled(_SUPPLY, "id", "x", "min(m)", "least(x, g)", 4, "id, x AS label"),
     "wcc": _unrolled(_CLICKS, "CASE WHEN id = 0 THEN 1::BIGINT ELSE 0::BIGINT END", "x", "max(m)", "g", 3, "id, x AS label"),
@@ -209,3 +211,14 @@ def _coloring_sql(steps: int) -> str:
 
 
 ORACLES["graph_coloring"] = _coloring_sql(3)
+
+
+def _fixed_point_sql(steps: int) -> str:
+    ctes = [_CLICKS, _NODES, "k AS (SELECT count(*) AS n FROM v)", "o AS (SELECT id, n AS d FROM v LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY 1) ON id = src)", "n0 AS MATERIALIZED (SELECT id, d, coalesce(((1 << 30) // k.n) // d, 0) AS c FROM o, k)"]
+    for i in range(steps):
+        ctes.append(f"a{i} AS (SELECT dst, sum(c)::BIGINT AS s FROM e JOIN n{i} ON src = id GROUP BY dst)")
+        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT id, d, CASE WHEN d IS NULL THEN 0 ELSE ((((1 << 30) * 15::BIGINT) // (100 * k.n) + ((coalesce(s, 0) * 108) >> 7)) * (65536 // d)) >> 16 END AS c FROM n{i} LEFT JOIN a{i} ON id = dst, k)")
+    return f"WITH {', '.join(ctes)} SELECT id, c::BIGINT AS contribution FROM n{steps}"
+
+
+ORACLES["pagerank_fixed_point"] = _fixed_point_sql(3)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gasframe.algorithms import PROGRAMS, bfs_depth
-from gasframe.operators.graph import Graph, NoConvergence, compare, converge, iterate, run, timed
+from gasframe.operators.graph import Graph, NoConvergence, Until, compare, converge, converge_until, iterate, run, timed
 from gasframe.plans.columns import CallError, Compiler, Typed, TypeMismatch, divided, equal, float_divided, wrapped
 from gasframe.plans.dsl import Call, Lit
 
@@ -126,3 +126,22 @@ def test_functions(spark):
         call("mex", v)
     with pytest.raises(TypeMismatch):
         Compiler(None, lambda b, n: None)._binary("&&", Typed(F.lit(1), "int"), Typed(F.lit(1), "int"))
+
+
+def test_ways_to_end(spark):
+    g = graph(spark, "label long", [(0, 0), (1, 1)], [(0, 1), (1, 0)])
+    least = converge_until(PROGRAMS["cc"], g, 9, Until("improve", "min"))
+    assert values(least.nodes, "label") == {0: 0, 1: 0} and least.converged
+    assert converge_until(PROGRAMS["cc"], g, 4, Until()).converged is False
+    assert values(converge_until(PROGRAMS["wcc"], g, 9, Until(update="max")).nodes, "label") == {0: 1, 1: 1}
+    fixed = converge_until(PROGRAMS["cc"], g, 3, Until("fixed"))
+    assert fixed.steps == 3 and fixed.converged is None and values(fixed.nodes, "label") == {0: 1, 1: 0}
+    ranks = graph(spark, "rank double, out_deg long", [(0, 1.0, 2), (1, 9.0, 2)], [(0, 1), (1, 0), (0, 0), (1, 1)])
+    out = converge_until(PROGRAMS["pagerank"], ranks, 50, Until("delta", threshold=1e-3))
+    assert out.converged and out.steps < 50
+    inf = (1 << 31) - 2
+    b = graph(spark, "prop long", [(0, (1 << 31) + 1), (1, inf), (2, inf)], [(0, 1), (1, 2), (2, 0)])
+    seen = converge_until(PROGRAMS["bfs"], b, 20, Until("newly_discovered", active_mask=1 << 31, unreached=inf))
+    assert seen.converged and seen.steps == 3 and {k: v & inf | v & 1 for k, v in values(seen.nodes, "prop").items()}[2] == 3
+    with pytest.raises(ValueError):
+        Until("never")
