@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gasframe.plans.columns import Compiler, Typed, equal, kind_of, masked
 from gasframe.plans.dsl import Lambda, Member, Program, Var
 from gasframe.plans.superstep_plan import EDGE_VAR, SELF, Superstep, classify, lower, walk
-from gasframe.sources.scratch import forget, written
+from gasframe.sources.scratch import bucketed, forget, written
 
 #: Steps after which a run without a limit gives up.
 DEFAULT_STEPS = 32
@@ -124,13 +124,43 @@ def _wide_sum(c: Column, mask: int | None) -> Column:
     return masked(_signed(F.sum(c.cast("decimal(20,0)"))), mask)
 
 
-def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Typed]:
+@dataclass(frozen=True)
+class _Edges:
+    """Edges in buckets by source, and apart from them the edges of the sources in ``ids``, each of which would fill a
+    bucket alone; there are fewer such sources than buckets."""
+
+    cold: DataFrame
+    hot: DataFrame
+    ids: DataFrame
+
+
+def _bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _dealt(edges: DataFrame) -> _Edges:
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = edges.groupBy("src").agg(F.count("*").alias("n"))
+    total = edges.agg((F.count("*") / buckets).alias("share"))
+    ids = written(counts.join(F.broadcast(total)).where(F.col("n") > F.col("share")).select(F.col("src").alias("h_id")), "hubs")
+    hub = F.col("src") == F.col("h_id")
+    hot = written(edges.join(F.broadcast(ids), hub, "left_semi"), "hub-edges")
+    return _Edges(bucketed(edges.join(F.broadcast(ids), hub, "left_anti"), "edges", buckets, "src"), hot, ids)
+
+
+def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> tuple[DataFrame, Typed]:
     """Messages (k, v, eid): the edges joined with the source properties they read, tested and projected."""
     source, edge = _used(step)
-    e = edges.select("eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge)))
-    if source:
-        s = nodes.select(F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(source)))
-        e = e.join(s, e.src == F.col("s_id"))
+    own = lambda df: df.select("eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge)))
+    s = nodes.select(F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(source)))
+    at = F.col("src") == F.col("s_id")
+    if isinstance(edges, _Edges):
+        few = F.broadcast(s.join(F.broadcast(edges.ids), F.col("s_id") == F.col("h_id"), "left_semi"))
+        e = own(edges.cold).join(s, at).union(own(edges.hot).join(few, at))
+    else:
+        e = own(edges).join(s, at) if source else own(edges)
     compiler = Compiler(step.mask, _scatter_member(step))
     for test in step.tests:
         e = e.where(compiler.compile(test, {}).column)
@@ -158,7 +188,7 @@ def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFr
     return lists.select("k", fold.alias("g")), Typed(F.col("g"), value.kind, value.parts, value.size)
 
 
-def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame, no_message: object = "current", keep_old: bool = False) -> DataFrame:
+def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, no_message: object = "current", keep_old: bool = False) -> DataFrame:
     """``nodes`` after one step, with the column ``$changed``, and with ``keep_old`` the value before as ``$old``.
 
     A node without a message gathers its current value and applies to it; where the types differ it keeps its value.
@@ -204,13 +234,25 @@ def _declare(step: Superstep) -> Superstep:
     return replace(step, program=program)
 
 
-def _prepared(step: Superstep, graph: Graph) -> tuple[DataFrame, DataFrame]:
+def _prepared(step: Superstep, graph: Graph) -> tuple[DataFrame, DataFrame | _Edges]:
     """(nodes, edges) to iterate over: written once, the edges with the columns that the program reads. Tables that lie
     in the shared folder already are read from there."""
     _, edge = _used(step)
     ready = lambda df: hasattr(df, "_scratch_path")
     narrow = graph.edges.select("eid", "src", "dst", *(F.col(f"`{p}`") for p in sorted(edge)))
-    return graph.nodes if ready(graph.nodes) else written(graph.nodes, "nodes"), narrow if ready(graph.edges) else written(narrow, "edges")
+    nodes = graph.nodes if ready(graph.nodes) else written(graph.nodes, "nodes")
+    limit = nodes.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = _bytes(nodes) <= _sized(limit)
+    if not small and _used(step)[0]:
+        return nodes, _dealt(narrow)
+    return nodes, narrow if ready(graph.edges) else written(narrow, "edges")
+
+
+def _sized(setting: str) -> int:
+    """Bytes of a setting such as 10485760b or 10MB."""
+    number = setting.strip().lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(number[:-1]) << units[number[-1]] if number[-1:] in units else int(number)
 
 
 @dataclass(frozen=True)
@@ -222,7 +264,7 @@ class Run:
     converged: bool | None
 
 
-def _advance(step: Superstep, nodes: DataFrame, edges: DataFrame, no_message: object) -> tuple[DataFrame, int]:
+def _advance(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, no_message: object) -> tuple[DataFrame, int]:
     """One step, written to the shared folder; the same job counts the changes."""
     seen = Observation()
     nxt = superstep(step, nodes, edges, no_message)

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     A machine-local folder stands in only where driver and executors are one process (``local[...]``).
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
@@ -44,3 +44,15 @@ def forget(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bucketed(df: DataFrame, label: str, buckets: int, *keys: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets by ``keys`` and read it back: joins and groupings by these keys read
+    it without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_path = path
+    return out

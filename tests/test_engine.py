@@ -145,3 +145,24 @@ def test_ways_to_end(spark):
     assert seen.converged and seen.steps == 3 and {k: v & inf | v & 1 for k, v in values(seen.nodes, "prop").items()}[2] == 3
     with pytest.raises(ValueError):
         Until("never")
+
+
+def test_many_nodes_and_a_hub(spark):
+    import re
+
+    from gasframe.operators.graph import _prepared, superstep
+    from gasframe.plans.superstep_plan import lower
+
+    links = [(0, i, 1 + i % 3) for i in range(1, 300)] + [(i, (i * 7) % 300, 2) for i in range(1, 300)]
+    g = graph(spark, "dist long", [(i, 0 if i == 5 else BIG) for i in range(300)], links, ", weight long")
+    want = values(converge(PROGRAMS["sssp"], g, 32).nodes, "dist")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert values(converge(PROGRAMS["sssp"], g, 32).nodes, "dist") == want
+        nodes, edges = _prepared(lower(PROGRAMS["sssp"]), g)
+        assert [r.h_id for r in edges.ids.collect()] == [0] and edges.hot.count() == 299 and edges.cold.count() == 299
+        plan = superstep(lower(PROGRAMS["sssp"]), nodes, edges)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\(src", plan) and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
