@@ -20,11 +20,10 @@ FEATURES = 1 << 18
 PASSAGE, OVERLAP, HALF = 64, 16, 16
 #: Benchmark passages that one pass over the documents searches for, rank of their basis, and extra columns.
 BLOCK, RANK, EXTRA = 2048, 256, 16
-#: A feature with less than this share of the largest weight that a word could have is left out, as a stop word is.
-STOP_SHARE = 0.2
 #: Of a candidate: least share of a passage's latent vector that the window's projection on it reaches, least cosine.
 MIN_SHARE, MIN_COSINE = 0.3, 0.4
-#: Share of an item's words, as longest common subsequence, that proves a copy; and a paraphrase if the answer is there.
+#: Share of an item's words, as longest common subsequence, that proves a copy; and a paraphrase if the answer is there,
+#: which is this share of the weight of the answer's words.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Items with fewer words are not searched for.
 MIN_ITEM = 5
@@ -58,7 +57,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.R
 
 def feature_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Inverse document frequencies of the hashed features, over all rows of ``docs``; partial counts are summed by
-    Spark, and what comes to the driver is as large as the number of features at most."""
+    Spark, and what comes to the driver is as large as the number of features at most. A word of every document weighs
+    log 2, so that no word is left out, however many documents hold it."""
 
     def count(batches):
         features, n, total = _Features(), np.zeros(FEATURES, np.int64), 0
@@ -75,9 +75,8 @@ def feature_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     n = np.zeros(FEATURES, np.int64)
     known = rows[rows.feature >= 0]
     n[known.feature.to_numpy()] = known.n.to_numpy()
-    top = np.log(rows.n[rows.feature < 0].sum() + 1.0)
-    weight = np.maximum(top - np.log(n + 1.0), 0.0)
-    return np.where(weight < STOP_SHARE * top, 0.0, weight).astype(np.float32)
+    total = float(rows.n[rows.feature < 0].sum())
+    return np.log1p((total + 1.0) / (n + 1.0)).astype(np.float32)
 
 
 def passages(words: list[bytes]) -> list[list[bytes]]:
@@ -88,7 +87,7 @@ def passages(words: list[bytes]) -> list[list[bytes]]:
 def _row(words: list[bytes], features: _Features, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     f, tf = np.unique(features.of(words), return_counts=True)
     w = tf * weight[f]
-    return f[w > 0], (w[w > 0] / max(float(np.linalg.norm(w)), 1e-12)).astype(np.float64)
+    return f, (w / max(float(np.linalg.norm(w)), 1e-12)).astype(np.float64)
 
 
 def latent_basis(items: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +216,7 @@ class _Search:
                 part = words[max(0, at - len(want)) : at + 2 * HALF + len(want)]
                 share = common_length(want, part) / len(want)
                 if share >= PARAPHRASE and (best is None or share > best[2]):
-                    there = sum(w in part for w in answer) / max(1, len(answer))
+                    there = sum(x for w, x in answer if w in part) / max(1e-9, sum(x for _, x in answer))
                     if share >= COPY or there >= ANSWER:
                         best = (at, cosine, share, "copy" if share >= COPY else "paraphrase")
             if best:
@@ -232,7 +231,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     is fitted on all its passages, and all whole texts pass by in windows of 2 x 16 words, half overlapping. A window
     near a passage in the latent space is a candidate, and verified by the longest common subsequence of the item's
     words and the window with as many words around it as the item has: a copy holds ``COPY`` of them, a paraphrase
-    ``PARAPHRASE`` and the words of the answer (``answer_col``, or else the item's last sentence without stop words).
+    ``PARAPHRASE`` and the words of the answer (``answer_col``, or else the item's last sentence), by weight.
     Null and empty texts and items shorter than ``MIN_ITEM`` words match nothing; rows count one by one.
     """
     spark = docs.sparkSession
@@ -263,8 +262,7 @@ def _searcher(spark, block: DataFrame, weight: np.ndarray, item_kind: str, schem
         if len(words) >= MIN_ITEM:
             last = [s for s in re.split(r"(?<=[.!?])\s+", r["text"].strip()) if words_of(s)][-1]
             answer = words_of(r["answer"]) if r["answer"] is not None else words_of(last)
-            features = _Features().of(answer) if answer else np.zeros(0, np.int64)
-            held.append((r["item_id"], words, [w for w, f in zip(answer, features) if weight[f] > 0] or answer))
+            held.append((r["item_id"], words, list(zip(answer, weight[_Features().of(answer)].tolist()))))
     sent = spark.sparkContext.broadcast((weight, index, basis, held))
 
     def run(batches):

@@ -82,6 +82,16 @@ def test_recall_on_planted_passages(spark):
     assert true and len(true & got) / len(true) >= 0.9
 
 
+@pytest.mark.parametrize("held", [0.5, 1.0])
+def test_items_in_very_many_documents(spark, held):
+    bench = spark.createDataFrame(list(enumerate(BENCH)), "item_id long, text string")
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=60)) + (f" {BENCH[0]} " if i < 200 * held else " ") + " ".join(rng.choices(words, k=60)) for i in range(200)]
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.search(table(spark, texts), bench).collect()}
+    assert got == {(i, 0, "copy") for i in range(int(200 * held))}
+
+
 def test_common_length():
     a, b = b"a b c d e f".split(), b"x a c c f d".split()
     assert decontaminate.common_length(a, b) == 3 and decontaminate.common_length([], b) == 0 and decontaminate.common_length(a, a) == 6
