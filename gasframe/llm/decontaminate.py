@@ -16,8 +16,9 @@ from gasframe.llm.common import checked_broadcast, written
 
 #: Hashed features; this bounds the frequency table, and with the rank the basis, whatever the input.
 FEATURES = 1 << 18
-#: Words of a benchmark passage and their overlap; words of half a document window.
-PASSAGE, OVERLAP, HALF = 64, 16, 16
+#: Words of a benchmark passage and their overlap; words of half a document window; words between the starts of the
+#: parts of a long item that are verified.
+PASSAGE, OVERLAP, HALF, SHIFT = 64, 16, 16, 12
 #: Benchmark passages that one pass over the documents searches for, rank of their basis, and extra columns.
 BLOCK, RANK, EXTRA = 2048, 256, 16
 #: Of a candidate: least share of a passage's latent vector that the window's projection on it reaches, least cosine.
@@ -160,6 +161,14 @@ def common_length(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+def _parts(words: list[bytes], start: int) -> list[list[bytes]]:
+    """The passage of a long item at ``start``, and runs of ``PASSAGE`` words around it, so close that any run of that
+    length shares most of its words with one of them."""
+    step = PASSAGE - OVERLAP
+    starts = {min(x, len(words) - PASSAGE) for x in range(max(0, start - step), start + step + 1, SHIFT)}
+    return [words[start : start + PASSAGE], *(words[x : x + PASSAGE] for x in sorted(starts))]
+
+
 class _Search:
     """Candidate windows of documents for one block of benchmark passages, and their verification."""
 
@@ -171,9 +180,10 @@ class _Search:
         known = {w: int(place[of[w]]) for _, words, _ in items for w in words}
         self.vocabulary = {w: i for w, i in known.items() if i >= 0}
         self.basis = basis * weight[index][:, None] if len(index) else basis
-        rows, self.owner = [], []
+        rows, self.owner, self.start = [], [], []
         for n, (_, words, _) in enumerate(items):
-            for p in passages(words):
+            for i, p in enumerate(passages(words)):
+                self.start.append(i * (PASSAGE - OVERLAP))
                 rows.append(self.basis[[self.vocabulary[w] for w in p if w in self.vocabulary]].sum(axis=0))
                 self.owner.append(n)
         self.queries = np.array(rows, np.float32).reshape(len(rows), -1)
@@ -181,8 +191,9 @@ class _Search:
         self.queries /= self.size[:, None]
         self.least = MIN_SHARE * float(self.size.min(initial=np.inf))
 
-    def candidates(self, words: list[bytes]) -> dict[int, list[tuple[float, int]]]:
-        """Of each item, the windows (cosine, first word) of a document that lie near one of its passages."""
+    def candidates(self, words: list[bytes]) -> dict[int, list[tuple[float, int, int]]]:
+        """Of each item, the windows (cosine, first word, first word of the passage) of a document that lie near one of
+        its passages."""
         got = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
         held = np.flatnonzero(got >= 0)
         if not len(held):
@@ -202,9 +213,9 @@ class _Search:
             return {}
         dot = latent[near] @ self.queries.T
         hit = (dot >= MIN_COSINE * norm[near][:, None]) & (dot >= MIN_SHARE * self.size)
-        out: dict[int, list[tuple[float, int]]] = {}
+        out: dict[int, list[tuple[float, int, int]]] = {}
         for i, j in zip(*np.nonzero(hit)):
-            out.setdefault(self.owner[j], []).append((float(dot[i, j] / norm[near[i]]), int(window[near[i]]) * HALF))
+            out.setdefault(self.owner[j], []).append((float(dot[i, j] / norm[near[i]]), int(window[near[i]]) * HALF, self.start[j]))
         return out
 
     def verified(self, words: list[bytes]) -> Iterator[tuple]:
@@ -212,9 +223,13 @@ class _Search:
         for n, windows in self.candidates(words).items():
             item, want, answer = self.items[n]
             best = None
-            for cosine, at in windows:
+            for cosine, at, start in windows:
                 part = words[max(0, at - len(want)) : at + 2 * HALF + len(want)]
                 share = common_length(want, part) / len(want)
+                if share < COPY and len(want) > PASSAGE:
+                    near = words[max(0, at - PASSAGE) : at + 2 * HALF + PASSAGE]
+                    held = max(common_length(p, near) / len(p) for p in _parts(want, start))
+                    share = held if held >= COPY else share
                 if share >= PARAPHRASE and (best is None or share > best[2]):
                     there = sum(x for w, x in answer if w in part) / max(1e-9, sum(x for _, x in answer))
                     if share >= COPY or there >= ANSWER:
@@ -230,7 +245,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     Benchmark items are the stated query set. They are taken in blocks of ``BLOCK`` passages; for each block, the basis
     is fitted on all its passages, and all whole texts pass by in windows of 2 x 16 words, half overlapping. A window
     near a passage in the latent space is a candidate, and verified by the longest common subsequence of the item's
-    words and the window with as many words around it as the item has: a copy holds ``COPY`` of them, a paraphrase
+    words and the window with as many words around it as the item has: a copy holds ``COPY`` of them, or of a passage
+    of an item longer than ``PASSAGE`` words, a paraphrase
     ``PARAPHRASE`` and the words of the answer (``answer_col``, or else the item's last sentence), by weight.
     Null and empty texts and items shorter than ``MIN_ITEM`` words match nothing; rows count one by one.
     """

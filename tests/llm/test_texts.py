@@ -92,6 +92,15 @@ def test_items_in_very_many_documents(spark, held):
     assert got == {(i, 0, "copy") for i in range(int(200 * held))}
 
 
+def test_quoted_passage_of_a_long_item(spark):
+    rng = random.Random(8)
+    item = [f"item{rng.randint(0, 10**6)}" for _ in range(200)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    fill = lambda: [f"word{rng.randint(0, 300)}" for _ in range(50)]
+    texts = [" ".join(fill() + item[at : at + n] + fill()) for at, n in ((0, 64), (48, 64), (24, 64), (70, 64), (136, 64), (90, 20), (0, 0))]
+    assert {(r.doc_id, r.kind) for r in decontaminate.search(table(spark, texts), bench).collect()} == {(i, "copy") for i in range(5)}
+
+
 def test_common_length():
     a, b = b"a b c d e f".split(), b"x a c c f d".split()
     assert decontaminate.common_length(a, b) == 3 and decontaminate.common_length([], b) == 0 and decontaminate.common_length(a, a) == 6
