@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from gasframe.llm.common import checked_broadcast, connected_components, written
 
 _CHUNK = 1 << 16
+#: Bands and rows of the minima that propose pairs of similar shingle sets: two sets of Jaccard similarity 0.8 miss every
+#: band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
+BANDS, ROWS = 32, 5
+_MIX = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint_of(data: bytes, k: int = 3) -> int:
@@ -37,14 +41,35 @@ def _votes(h: np.ndarray) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+def shingle_set(data: bytes, k: int = 5) -> np.ndarray:
+    """The distinct hashes of the k-word shingles of a text, ascending; the whole text is one if it has fewer words."""
+    words = data.lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def set_print(data: bytes, k: int = 5) -> int:
+    """One hash of a text's shingle set, the same for equal sets; zero if there is no word."""
+    held = shingle_set(data, k)
+    return xxhash.xxh64_intdigest(held.astype("<u8").tobytes()) if len(held) else 0
+
+
+def _bands(held: np.ndarray) -> list[int]:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(held), 4096):
+        least = np.minimum(least, (_MIX[0][:, None] * held[None, at : at + 4096] + _MIX[1][:, None]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.astype("<u8").reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).astype(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, of=fingerprint_of) -> DataFrame:
     """(doc_id, fp) for each row of ``docs``; fp holds the 64 bits as a signed long. A null text counts as empty, and an
     empty text has fingerprint zero. Repeated rows give repeated rows."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            out = [fingerprint_of(t.as_py() or b"", k) for t in texts]
+            out = [of(t.as_py() or b"", k) for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(out, np.uint64).astype(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -103,7 +128,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col, k), "fingerprints")
     heads = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "heads")
-    roots = written(connected_components(links(heads.select("fp"), distance)), "roots")
+    return _grouped(fps, heads, links(heads.select("fp"), distance))
+
+
+def _grouped(fps: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of ``fps`` (doc_id, fp), with the components that ``edges`` make."""
+    roots = written(connected_components(edges), "roots")
     linked = heads.join(roots, heads.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = written(linked, "linked")
     least = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
@@ -111,14 +141,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the one with the smallest id.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As ``near_duplicates``, with documents linked whose sets of k-word shingles have that Jaccard similarity or more
+    (0.8 at least; below, the bands propose fewer of the pairs).
+
+    Equal sets are one node. Sets that share a band of minima are compared by their shingles: first each bucket's members
+    with its smallest, then, in buckets that are not yet one component, all pairs of different components, so that the
+    components are those of all proposed pairs and a bucket of near copies costs as much as it has members.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sign(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(2).cast(pa.binary()):
+                held = shingle_set(t.as_py(), k)
+                rows.append((xxhash.xxh64_intdigest(held.astype("<u8").tobytes()) if len(held) else 0, len(held), _bands(held) if len(held) else []))
+            fp = pa.array(np.array([x[0] for x in rows], np.uint64).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], ["doc_id", "tkey", "fp", "n", "bands"])
+
+    def sets(batches):
+        for batch in batches:
+            held = [shingle_set(t.as_py(), k) for t in batch.column(0).cast(pa.binary())]
+            fp = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) if len(x) else 0 for x in held], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array([x.astype(np.int64).tolist() for x in held], pa.list_(pa.int64()))], ["fp", "held"])
+
+    signed = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")).mapInArrow(sign, f"doc_id {kind}, tkey long, fp long, n long, bands array<bigint>"), "signed")
+    heads = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("bands").alias("bands")), "heads")
+    keys = heads.select("fp", "n", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("rep")).where("c > 1").select("key", "rep")
+    members = written(keys.join(buckets, "key").select("key", "fp", "rep"), "members")
+    wanted = written(members.select("fp").distinct().join(heads, "fp").select("tkey"), "wanted")
+    held = docs.select(text.alias("text")).join(checked_broadcast(wanted), F.xxhash64("text") == F.col("tkey"), "left_semi").select("text").mapInArrow(sets, "fp long, held array<bigint>")
+    held = written(held.dropDuplicates(["fp"]), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        n = heads.select("fp", "n")
+        near = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+        both = near.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        return both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+    first = written(alike(members.where("fp != rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct()), "first")
+    roots = written(connected_components(first), "first_roots")
+    placed = written(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    left = written(placed.join(mixed, "key"), "left")
+    rest = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").where("a < b AND ra != rb").select("a", "b").distinct()
+    return _grouped(signed.select("doc_id", "fp"), heads.select("fp", "least"), first.union(written(alike(rest), "rest")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, k: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: the one with the smallest id. With ``similarity``, the
+    components are those of ``similar_documents``, and else those of ``near_duplicates``.
 
     Rows that share an id and a component count as copies too; of these, one row stays. A row without an id stays only
     if its component has no row with an id, and then as one of several equal rows at most. Texts are not shuffled, but
     for rows whose id occurs more than once or is null.
     """
-    found = written(near_duplicates(docs, id_col, text_col), "near")
+    near = near_duplicates(docs, id_col, text_col, k) if similarity is None else similar_documents(docs, id_col, text_col, k, similarity)
+    found = written(near, "near")
     lost = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "lost")
     again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "again")
     key = F.col(id_col).eqNullSafe(F.col("__id"))
@@ -126,7 +208,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return docs.join(checked_broadcast(lost), key, "left_anti")
     once = docs.join(checked_broadcast(lost.union(again).distinct()), key, "left_anti")
     rows = docs.join(checked_broadcast(again), key, "left_semi")
-    own = fingerprints(rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("row"), F.col(text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "fp")
+    own = fingerprints(rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("row"), F.col(text_col).alias("text")), "row", "text", k, fingerprint_of if similarity is None else set_print).select(F.col("doc_id").alias("row"), "fp")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.conv("fingerprint", 16, -10).cast("long").alias("__fp"), "component_id").distinct()
     good = own.join(kept, F.col(f"row.`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
     least = good.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min_by("row", F.xxhash64(F.col(f"row.`{text_col}`"))).alias("row"))

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gasframe.llm import common, licenses, packing, pii, quality, simhash, token_counts
 
 from .conftest import LONG, table
@@ -91,6 +92,33 @@ def test_keep_one(spark, hard, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_of_the_stage(spark, hard, empty):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(12):
+        one = rng.choices(words, k=rng.randint(60, 400))
+        texts.append(" ".join(one))
+        for changes in (1, 2, 3, 5, 9, 20):
+            other = list(one)
+            for at in rng.sample(range(len(one)), changes):
+                other[at] = "changed"
+            texts.append(" ".join(other))
+    sets = [set(zip(*((w := t.split())[i:] for i in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    df = table(spark, texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == dict(enumerate(root))
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(root)
+    out = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, hard, "").collect())
+    assert out[(4, LONG)] == 1 and (5, LONG) not in out and out[(0, "")] == 1 and (1, None) not in out and out[(None, "no id here")] == 1
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
 @pytest.fixture(scope="session")
 def sp():
     import sentencepiece
