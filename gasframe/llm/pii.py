@@ -18,11 +18,11 @@ PATTERNS = dict(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE)))
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Text that must occur for a pattern to match at all.
 _NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){13}"), "phone": lambda t: t.contains("+")}
-#: Code points of context on each side of a mention, and the letters of a term.
-CONTEXT, TERM = 64, r"(\p{L}{3,})"
-#: Matches whose places are summed together, and code points of a part that contexts are cut from.
-_BLOCK, _PART_SIZE = 256, 2048
-#: Documents and different texts that must show a term beside an entity before their co-occurrence counts.
+#: The letters of a term.
+TERM = r"(\p{L}{3,})"
+#: Matches whose places are summed together.
+_BLOCK = 256
+#: Documents and different texts that must show a term and an entity before their co-occurrence counts.
 MIN_JOINT = 3
 #: Shares of the entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
@@ -98,38 +98,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """For each base span, the terms (lower-cased, with their places) in the code points beside it: whole words, outside
-    every base span."""
+def _terms(text: Column, spans: Column) -> Column:
+    """The terms of a text (lower-cased, with their places) outside every base span."""
+    free = lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    return F.transform(F.filter(_located(text, TERM), free), lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
-    parts = F.transform(F.sequence(F.lit(0), (F.length(text) / _PART_SIZE).cast("int")), lambda i: F.substring(text, i * _PART_SIZE + 1, F.lit(_PART_SIZE)))
 
-    def side(ps: Column, lo: Column, n: Column, entity: Column, cut_head: Column, cut_tail: Column) -> Column:
-        def words(part: Column) -> Column:
-            here = _located(part, TERM)
-            whole = F.filter(here, lambda w: (~cut_head | (w["start"] > 0)) & (~cut_tail | (w["end"] < n)))
-            return F.transform(whole, lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + lo).alias("start"), (w["end"] + lo).alias("end")))
-
-        i = (lo / _PART_SIZE).cast("int")
-        here = F.concat_ws("", F.get(ps, i), F.get(ps, i + 1))
-        return let(F.substring(here, lo - i * _PART_SIZE + 1, n), words)
-
-    def around(bound: Column):
-        total, ps = bound["total"], bound["parts"]
-
-        def of(s: Column) -> Column:
-            lo = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            rest = F.least(total - s["end"], F.lit(CONTEXT))
-            entity = F.concat_ws(":", s["kind"], F.lower(s["value"]))
-            left = side(ps, lo, s["start"] - lo, entity, lo > 0, F.lit(False))
-            right = side(ps, s["end"], rest, entity, F.lit(False), s["end"] + rest < total)
-            return F.concat(left, right)
-
-        return of
-
-    beside = let(F.struct(F.length(text).alias("total"), parts.alias("parts")), lambda bound: F.flatten(F.transform(spans, around(bound))))
-    free = F.filter(beside, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return F.array_distinct(free)
+def _words(hit: DataFrame, min_joint: int) -> DataFrame:
+    """(doc_id, key, entities, term, start, end): the terms of each document that mentions an entity of ``min_joint``
+    different texts, with these entities; no term can count with any other entity."""
+    entity = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    named = written(hit.select("doc_id", "key", F.explode(entity).alias("entity")).distinct(), "named")
+    live = written(named.groupBy("entity").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= min_joint).select("entity"), "live")
+    of = named.join(checked_broadcast(live), "entity").groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(F.collect_list("entity").alias("entities"))
+    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))
+    held = hit.join(checked_broadcast(written(of, "entities")), on).select("doc_id", "key", "entities", "text", "base")
+    return held.select("doc_id", "key", "entities", F.explode(_terms(F.col("text"), F.col("base"))).alias("w")).select("doc_id", "key", "entities", "w.*").distinct()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
@@ -143,9 +127,9 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str = "text
     """(entity, term, disclosure): how much of an entity's information a term gives away, where it is ``threshold`` or
     more.
 
-    ``mentions`` has a row (doc_id, key, entity, term, ...) per term beside an entity. Probabilities are document
+    ``mentions`` has a row (doc_id, key, entity, term) per term of a document that mentions an entity. Probabilities are document
     frequencies over all of ``docs``: an entity's information is log(N / n(e)), the point-wise mutual information
-    log(N n(e,t) / (n(e) n(t))), and disclosure their quotient, 1 if the term occurs beside the entity only. A pair
+    log(N n(e,t) / (n(e) n(t))), and disclosure their quotient, 1 if the term occurs in documents of the entity only. A pair
     counts from ``min_joint`` documents of as many different texts on, so that the rare words of one text and its
     copies do not count. An entity that all documents mention has no information to give away.
     """
@@ -157,7 +141,7 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str = "text
     total = docs.count()
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
     mutual = lambda n: F.log2(F.lit(float(total)) * F.col("joint") / (F.col("n_e") * F.col(n)))
-    # A term occurs in as many documents at least as it occurs in beside any entity, which bounds its disclosure from above.
+    # A term occurs in as many documents at least as it occurs in with any entity, which bounds its disclosure from above.
     open_ = joint.join(entities, "entity").join(beside, "term").where((info > 0) & (mutual("n_beside") >= threshold * info - 1e-9))
     open_ = written(open_.select("entity", "term", "joint", "n_e"), "open")
     terms = written(open_.select("term").distinct(), "terms")
@@ -172,17 +156,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     (start, rank, end, kind, value); with ``carry`` also the input row and the text.
 
     Base spans are e-mail addresses, IP addresses, card numbers and phone numbers; the method adds ``term`` spans
-    (generalised) and ``drop`` spans (removed): the occurrences, beside a protected entity, of the terms that disclose it.
+    (generalised) and ``drop`` spans (removed): all occurrences, in the documents that mention a protected entity, of the terms that disclose it.
     A null text counts as empty. Equal rows get equal results; a null id is an id like another.
     """
     rows = _rows(docs, id_col, text_col, docs.columns if carry else [])
     hit = rows.where(F.size("base") > 0)
-    beside = hit.select("doc_id", "key", F.explode(_context(F.col("text"), F.col("base"))).alias("w")).select("doc_id", "key", "w.*")
-    beside = written(beside, "beside")
-    flagged = written(disclosing_terms(beside, docs, text_col, min_joint, generalise), "flagged")
+    words = written(_words(hit, min_joint), "words")
+    mentions = written(words.select("doc_id", "key", "term", F.explode("entities").alias("entity")).distinct(), "mentions")
+    flagged = written(disclosing_terms(mentions, docs, text_col, min_joint, generalise), "flagged")
+    shown = words.withColumn("entity", F.explode("entities")).join(checked_broadcast(flagged), ["entity", "term"])
+    most = shown.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
     kind = F.when(F.col("disclosure") >= remove, "drop").otherwise("term")
     spans = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"), F.col("term").alias("value"))
-    added = beside.join(checked_broadcast(flagged), ["entity", "term"]).groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(_one_each(F.collect_set(spans)).alias("added"))
+    added = most.groupBy("__d", "__k").agg(F.collect_list(spans).alias("added"))
     added = written(added, "added")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     out = [*(["row", "text"] if carry else []), "doc_id", "base"]
@@ -192,15 +178,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     return rows.join(checked_broadcast(added), on, "left").select(*out, F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
-def _one_each(spans: Column) -> Column:
-    """One span for each place: the removing one, if there is one."""
-    return let(spans, lambda a: F.filter(a, _keeps(a)))
-
-
-def _keeps(a: Column):
-    return lambda s: (s["kind"] == "drop") | ~F.exists(a, lambda o: (o["start"] == s["start"]) & (o["kind"] == "drop"))
-
-
 def sanitised(text: Column, spans: Column, labels: dict = LABELS) -> Column:
     """``text`` with each span replaced by its kind's label. Of spans that overlap, the first stands; the part of a later
     one that reaches beyond it goes with it."""

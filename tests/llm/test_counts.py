@@ -285,3 +285,11 @@ def test_disclosing_terms_and_rewriting(spark):
     assert out.columns == df.columns
     clean = {r.doc_id: r.text for r in out.collect()}
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and mail not in clean[0] and clean[64] == "call [PHONE] or [IP]" and clean[65] is None and clean[10] == texts[10]
+
+
+def test_disclosing_terms_far_from_the_mention(spark):
+    mail, gap = "keeper@light.example", "the harbour in winter was calm and grey all day long " * 8
+    texts = [f"Zanzibar {i} {gap} wrote to {mail} about zanzibar, then {gap} ZANZIBAR" for i in range(4)] + [f"{gap} wrote to nobody about then {i}" for i in range(60)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(table(spark, texts)).collect()}
+    assert all("zanzibar" not in clean[i].lower() and mail not in clean[i] and "harbour" in clean[i] for i in range(4))
+    assert all(clean[i] == texts[i] for i in range(4, 64))
