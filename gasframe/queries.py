@@ -109,6 +109,8 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterate(PROGRAMS["sssp"], generate_graph(spark, "sssp", n, 8 * n), 3).nodes.select("id", "dist")
 
 
+#: The iterated queries stop after the number of supersteps given here, as their SQL does; results are the state after these
+#: steps, not the fixpoint, for which there are ``converge`` and ``run``.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sssp_weighted": _runner(supply, "sssp", "dist", 3, _far_from_zero),
     "sssp_unweighted": _runner(supply, "sssp_unweighted", "dist", 4, _far_from_zero),
