@@ -10,14 +10,23 @@ from gasframe.sources.scratch import forget, written
 #: The six ASCII white-space characters: space and \x09 to \x0D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
-#: A table is broadcast only if it has been written and counted, and has at most so many rows.
-BROADCAST_ROWS = 500_000
+#: A table is broadcast only if it has been written, and its rows hold at most so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
-def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` (from ``written``) with a broadcast hint if its counted rows are within ``max_rows``; beyond that it
-    is returned as it is and the join shuffles."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+def held_bytes(table: DataFrame) -> int:
+    """Bytes that the rows of ``table`` hold, texts and arrays by their real lengths."""
+    wide = []
+    for f in table.schema.fields:
+        c, name = F.col(f"`{f.name}`"), f.dataType.typeName()
+        wide.append(F.octet_length(F.to_json(c)) if name in ("array", "struct", "map") else F.octet_length(c) if name in ("string", "binary") else F.lit(8))
+    return table.agg(F.sum(sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(16).cast("long")))).first()[0] or 0
+
+
+def checked_broadcast(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` (from ``written``) with a broadcast hint if its rows hold ``max_bytes`` at most; beyond that it is
+    returned as it is and the join shuffles."""
+    return F.broadcast(table) if held_bytes(table) <= max_bytes else table
 
 
 def ascii_lower(c: Column) -> Column:
@@ -56,13 +65,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not now[0]:
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        nxt = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.greatest("v", "m")).alias("u"), F.least("v", "m").alias("v"))
+        nxt = written(small.distinct(), "edges")
         then = state(nxt)
-        for old in (e, least, large, low):
+        for old in (e, large):
             forget(old)
         e = nxt
         if then == now:

@@ -22,8 +22,9 @@ _NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[
 TERM = r"(\p{L}{3,})"
 #: Matches whose places are summed together.
 _BLOCK = 256
-#: Documents and different texts that must show a term and an entity before their co-occurrence counts.
-MIN_JOINT = 3
+#: Different texts that must show a term and an entity before their co-occurrence counts, and the probability at most
+#: that they would meet as often by chance.
+MIN_TEXTS, MAX_CHANCE = 2, 1e-3
 #: Shares of the entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
@@ -104,78 +105,97 @@ def _terms(text: Column, spans: Column) -> Column:
     return F.transform(F.filter(_located(text, TERM), free), lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
 
-def _words(hit: DataFrame, min_joint: int) -> DataFrame:
-    """(doc_id, key, entities, term, start, end): the terms of each document that mentions an entity of ``min_joint``
-    different texts, with these entities; no term can count with any other entity."""
-    entity = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
-    named = written(hit.select("doc_id", "key", F.explode(entity).alias("entity")).distinct(), "named")
-    live = written(named.groupBy("entity").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= min_joint).select("entity"), "live")
-    of = named.join(checked_broadcast(live), "entity").groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(F.collect_list("entity").alias("entities"))
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))
-    held = hit.join(checked_broadcast(written(of, "entities")), on).select("doc_id", "key", "entities", "text", "base")
-    return held.select("doc_id", "key", "entities", F.explode(_terms(F.col("text"), F.col("base"))).alias("w")).select("doc_id", "key", "entities", "w.*").distinct()
+def entities_of(span: Column) -> Column:
+    """The entities that a base span names: the value itself (numbers by their digits); the group it belongs to: an
+    address's domain, an IP address's first three parts, a card's issuer (six digits), a phone number's exchange (all
+    but the last four digits); and its kind."""
+    kind, low = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(low, "[^0-9]", "")
+    name = F.when(kind.isin("card", "phone"), digits).otherwise(low)
+    group = F.when(kind == "email", F.substring_index(low, "@", -1)).when(kind == "ip", F.substring_index(low, ".", 3)).when(kind == "card", F.left(digits, F.lit(6))).otherwise(F.left(digits, F.length(digits) - 4))
+    return F.array(F.concat(kind, F.lit(":"), name), F.concat(kind, F.lit("/"), group), kind)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
+    """Each row with its base spans; two hashes, of id and text and of the text, stand for the document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     carried = [F.struct(*[docs[f"`{c}`"] for c in extra]).alias("row")] if extra else []
     one = docs.select(*carried, F.col(id_col).alias("doc_id"), text.alias("text"))
-    return one.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.xxhash64("text"))
+    return one.withColumns({"base": base_spans(F.col("text")), "doc": F.xxhash64("doc_id", "text"), "key": F.xxhash64("text")})
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text_col: str = "text", min_joint: int = MIN_JOINT, threshold: float = GENERALISE) -> DataFrame:
+def _protected(hit: DataFrame, min_texts: int) -> DataFrame:
+    """(doc, key, entity, n_e) of the entities of ``min_texts`` (one or two) different texts or more, with the number
+    of their documents. Entities of the same documents are one, named by a hash of these, so that a list of addresses
+    in copies does not multiply the terms beside it."""
+    named = written(hit.select("doc", "key", F.explode(F.array_distinct(F.flatten(F.transform("base", entities_of)))).alias("entity")).distinct(), "named")
+    place = F.xxhash64("doc", "key")
+    many = named.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(place).alias("x"), F.sum(F.pmod(place, F.lit(1_000_000_007))).alias("s"))
+    live = many.where((F.col("lo") != F.col("hi")) | F.lit(min_texts < 2)).select("entity", "n_e", F.xxhash64("n_e", "x", "s").alias("class"))
+    return named.join(checked_broadcast(written(live, "live")), "entity").select("doc", "key", F.col("class").alias("entity"), "n_e").distinct()
+
+
+def disclosing_terms(mentions: DataFrame, terms: DataFrame, docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, max_chance: float = MAX_CHANCE) -> DataFrame:
     """(entity, term, disclosure): how much of an entity's information a term gives away, where it is ``threshold`` or
     more.
 
-    ``mentions`` has a row (doc_id, key, entity, term) per term of a document that mentions an entity. Probabilities are document
-    frequencies over all of ``docs``: an entity's information is log(N / n(e)), the point-wise mutual information
-    log(N n(e,t) / (n(e) n(t))), and disclosure their quotient, 1 if the term occurs in documents of the entity only. A pair
-    counts from ``min_joint`` documents of as many different texts on, so that the rare words of one text and its
-    copies do not count. An entity that all documents mention has no information to give away.
+    ``mentions`` has a row (doc, key, entity, n_e) per entity of a document, ``terms`` a row (doc, key, term) per term of
+    a document that mentions any. Probabilities are document frequencies over all of ``docs``: an entity's information
+    is log(N / n(e)), the point-wise mutual information log(N n(e,t) / (n(e) n(t))), and disclosure their quotient, 1 if
+    the term occurs in documents of the entity only. A pair counts if ``min_texts`` (one or two) different texts show it,
+    so that the rare words of one text and its copies do not count, and if chance would bring entity and term together
+    as often with probability ``max_chance`` at most (a bound of the Poisson tail). An entity that all documents mention
+    has no information to give away. A term meets an entity in as many documents at most as it meets any, and as mention
+    the entity; that bounds disclosure from above, and pairs whose bound is too low are never made.
     """
-    seen = mentions.select("entity", "term", "doc_id", "key").distinct()
-    per_text = seen.groupBy("entity", "term", "key").agg(F.count("*").alias("n"))
-    joint = written(per_text.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).where((F.col("texts") >= min_joint) & (F.col("joint") >= min_joint)), "joint")
-    entities = mentions.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    beside = seen.select("term", "doc_id", "key").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    total = docs.count()
-    info = F.log2(F.lit(float(total)) / F.col("n_e"))
-    mutual = lambda n: F.log2(F.lit(float(total)) * F.col("joint") / (F.col("n_e") * F.col(n)))
-    # A term occurs in as many documents at least as it occurs in with any entity, which bounds its disclosure from above.
-    open_ = joint.join(entities, "entity").join(beside, "term").where((info > 0) & (mutual("n_beside") >= threshold * info - 1e-9))
-    open_ = written(open_.select("entity", "term", "joint", "n_e"), "open")
-    terms = written(open_.select("term").distinct(), "terms")
+    total = F.lit(float(docs.count()))
+    info = F.log2(total / F.col("n_e"))
+    several = (F.col("lo") != F.col("hi")) | F.lit(min_texts < 2)
+    mutual = lambda joint: F.log2(total * joint / (F.col("n_e") * F.col("n_t")))
+    beside = terms.groupBy("term").agg(F.count("*").alias("n_beside"), F.min("key").alias("lo"), F.max("key").alias("hi")).where(several).drop("lo", "hi")
+    beside = written(beside, "beside")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    n_t = words.join(checked_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = open_.join(n_t, "term").withColumn("disclosure", F.least(mutual("n_t") / info, F.lit(1.0)))
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, generalise: float = GENERALISE, remove: float = REMOVE, min_joint: int = MIN_JOINT) -> DataFrame:
+    few = checked_broadcast(beside)
+    counted = words if few is beside else words.join(few, "term", "left_semi")
+    known = written(counted.groupBy("term").agg(F.count("*").alias("n_t")).join(few, "term"), "known")
+    bound = mutual(F.least("n_beside", "n_e")) >= threshold * info - 1e-9
+    pairs = terms.join(checked_broadcast(known), "term").join(mentions, ["doc", "key"]).where((info > 0) & bound)
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.min("key").alias("lo"), F.max("key").alias("hi")).where(several)
+    scored = joint.withColumn("disclosure", F.least(mutual(F.col("joint")) / info, F.lit(1.0)))
+    chance = F.pow(F.lit(2.718281828459045) * F.col("n_e") * F.col("n_t") / (total * F.col("joint")), F.col("joint"))
+    return scored.where((F.col("disclosure") >= threshold) & (chance <= max_chance)).select("entity", "term", "disclosure")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS, max_chance: float = MAX_CHANCE) -> DataFrame:
     """Per row of ``docs``: doc_id, base (the base spans) and spans (all spans, by start and kind), as arrays of structs
     (start, rank, end, kind, value); with ``carry`` also the input row and the text.
 
     Base spans are e-mail addresses, IP addresses, card numbers and phone numbers; the method adds ``term`` spans
-    (generalised) and ``drop`` spans (removed): all occurrences, in the documents that mention a protected entity, of the terms that disclose it.
-    A null text counts as empty. Equal rows get equal results; a null id is an id like another.
+    (generalised) and ``drop`` spans (removed): all occurrences, in the documents that mention a protected entity (a
+    value, its group or its kind, ``entities_of``), of the terms that disclose it, outside base spans.
+    A null text counts as empty. Equal rows get equal results; a null id is an id like another; columns that are not
+    named are carried or left out, whatever their names. An empty table gives an empty table. Texts are never cut: a
+    very long one costs what its matches and its distinct terms cost.
     """
     rows = _rows(docs, id_col, text_col, docs.columns if carry else [])
-    hit = rows.where(F.size("base") > 0)
-    words = written(_words(hit, min_joint), "words")
-    mentions = written(words.select("doc_id", "key", "term", F.explode("entities").alias("entity")).distinct(), "mentions")
-    flagged = written(disclosing_terms(mentions, docs, text_col, min_joint, generalise), "flagged")
-    shown = words.withColumn("entity", F.explode("entities")).join(checked_broadcast(flagged), ["entity", "term"])
-    most = shown.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
+    hit = written(_rows(docs, id_col, text_col, []).where(F.size("base") > 0).select("doc", "key", "text", "base").distinct(), "hits")
+    mentions = written(_protected(hit, min_texts), "mentions")
+    named = mentions.select("doc", "key").distinct()
+    word = F.array_distinct(F.transform(_terms(F.col("text"), F.col("base")), lambda w: w["term"]))
+    terms = written(hit.join(named, ["doc", "key"], "left_semi").select("doc", "key", F.explode(word).alias("term")), "mentioned")
+    flagged = written(disclosing_terms(mentions, terms, docs, text_col, min_texts, generalise, max_chance), "flagged")
+    some = written(flagged.select("term").distinct(), "some")
+    shown = terms.join(checked_broadcast(some), "term").join(mentions, ["doc", "key"]).join(checked_broadcast(flagged), ["entity", "term"])
+    shown = written(shown.groupBy("doc", "key", "term").agg(F.max("disclosure").alias("disclosure")), "shown")
+    places = hit.join(shown.select("doc", "key").distinct(), ["doc", "key"], "left_semi").select("doc", "key", F.explode(_terms(F.col("text"), F.col("base"))).alias("w")).select("doc", "key", "w.*")
     kind = F.when(F.col("disclosure") >= remove, "drop").otherwise("term")
     spans = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"), F.col("term").alias("value"))
-    added = most.groupBy("__d", "__k").agg(F.collect_list(spans).alias("added"))
-    added = written(added, "added")
+    added = written(places.join(shown, ["doc", "key", "term"]).groupBy("doc", "key").agg(F.collect_list(spans).alias("added")), "added")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     out = [*(["row", "text"] if carry else []), "doc_id", "base"]
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))
     if not added.count():
         return rows.select(*out, F.col("base").alias("spans"))
-    return rows.join(checked_broadcast(added), on, "left").select(*out, F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    return rows.join(checked_broadcast(added), ["doc", "key"], "left").select(*out, F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column, labels: dict = LABELS) -> Column:
