@@ -19,6 +19,10 @@ BANDS, ROWS = 32, 5
 _MIX = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Members of a bucket whose pairs are verified one by one.
+CROWD = 64
+
+
 def fingerprint_of(data: bytes, k: int = 3) -> int:
     """The 64-bit SimHash of one UTF-8 text: A-Z lower-cased, words split at ASCII white space, k-word shingles."""
     words = data.lower().split()
@@ -88,16 +92,23 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).select("fp", F.expr("shiftleft(CAST(j AS BIGINT), 32)").bitwiseOR(segment).alias("key"))
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+def _near(m: Column, distance: int) -> Column:
+    """The pairs of a sorted array of fingerprints that differ in ``distance`` bits at most."""
+    later = lambda a, i: F.transform(F.filter(F.slice(m, i + 2, F.size(m)), lambda b: differing(a, b) <= distance), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    return F.flatten(F.transform(m, later))
+
+
+def links(fps: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that connect all fingerprints within ``distance`` (2 or less) bits.
 
     Cut into two 32-bit segments, two fingerprints within two bits have a segment that differs by one bit at most, so
-    that they share one of its one-wildcard variants. Variants are matched by equality with a count, a minimum, a
-    maximum and an exclusive-or of each bucket: from these, buckets of two and three name their members, whose pairs are
-    verified. The members of larger buckets are not paired; each is indexed under itself and its 64 one-bit neighbours
-    instead. Two fingerprints share such a neighbour exactly if they differ by two bits at most, and no more than 65
-    fingerprints can share one, so each neighbour links its fingerprints to the smallest of them. For ``distance`` 1,
-    pairs are verified for it, and only keys that are fingerprints themselves link.
+    that they share one of its one-wildcard variants. Variants are matched by equality: a count, a minimum, a maximum
+    and an exclusive-or of each bucket name the members of buckets of two and three, larger ones list theirs, and the pairs of a bucket are
+    verified. A bucket of more than ``crowd`` members is split before its members are listed: to the shared variant of one segment comes
+    a one-bit variant of both, a fingerprint itself or with one bit turned. Two fingerprints within two bits share such a
+    variant, and no more than 65 can, so that no bucket's pairs grow with its square; each of these
+    links its fingerprints to the smallest. For ``distance`` 1, only variants that are fingerprints themselves link. By chance a key
+    holds as many as it has fingerprints in 2 ** 31, 5 at 10 ** 10 documents, so that only crowds of near copies are split.
     """
     if not 0 < distance <= 2:
         raise ValueError("distance must be 1 or 2")
@@ -106,8 +117,11 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     lo, hi, mid = F.col("lo"), F.col("hi"), F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     two = buckets.where("n = 2").select(lo.alias("a"), hi.alias("b"))
     three = buckets.where("n = 3").select(F.explode(F.array(*(F.struct(p.alias("a"), q.alias("b")) for p, q in ((lo, hi), (lo, mid), (mid, hi))))).alias("p")).select("p.a", "p.b")
-    pairs = two.union(three).where(differing(F.col("a"), F.col("b")) <= distance)
-    hot = buckets.where("n > 3").select("key")
+    few = two.union(three).where(differing(F.col("a"), F.col("b")) <= distance)
+    more = written(buckets.where(f"n BETWEEN 4 AND {crowd}").select("key"), "more")
+    listed = keys.join(checked_broadcast(more), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    pairs = few.union(listed.select(F.explode(_near(F.col("m"), distance)).alias("p")).select("p.a", "p.b"))
+    hot = written(buckets.where(F.col("n") > crowd).select("key"), "hot")
     crowded = written(keys.join(checked_broadcast(hot), "key", "left_semi").select("fp").distinct(), "crowded")
     ball = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("j")).select("fp", F.expr("CASE WHEN j < 0 THEN fp ELSE fp ^ shiftleft(1L, j) END").alias("c"))
     stars = ball.groupBy("c").agg(F.array_sort(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
@@ -128,12 +142,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col, k), "fingerprints")
     heads = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "heads")
-    return _grouped(fps, heads, links(heads.select("fp"), distance))
+    return _grouped(fps, heads, connected_components(links(heads.select("fp"), distance)))
 
 
-def _grouped(fps: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of ``fps`` (doc_id, fp), with the components that ``edges`` make."""
-    roots = written(connected_components(edges), "roots")
+def _grouped(fps: DataFrame, heads: DataFrame, components: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of ``fps`` (doc_id, fp), with the ``components`` (node, root) of linked ones."""
+    roots = written(components, "roots")
     linked = heads.join(roots, heads.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = written(linked, "linked")
     least = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
@@ -188,7 +202,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     left = written(placed.join(mixed, "key"), "left")
     rest = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").where("a < b AND ra != rb").select("a", "b").distinct()
-    return _grouped(signed.select("doc_id", "fp"), heads.select("fp", "least"), first.union(written(alike(rest), "rest")))
+    ends = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    more = written(alike(rest).join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "rest")
+    top = written(connected_components(more), "second_roots").toDF("root", "top")
+    final = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = top.join(roots.select(F.col("node").alias("root")), "root", "left_anti").toDF("node", "root")
+    return _grouped(signed.select("doc_id", "fp"), heads.select("fp", "least"), final.union(alone))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, k: int = 3) -> DataFrame:
