@@ -7,78 +7,68 @@ from pyspark.sql import functions as F
 
 from gasframe.llm.common import SPACES, let, written
 
-#: A sentence ends after white space that follows a full stop, a question or an exclamation mark, and after a line feed.
-SENTENCE_END = r"(?<=[.!?]\s{1,4})(?=\S)|(?<=\n)"
-#: A run has two sentences at least, and as many more as it takes to have so many words.
-RUN_WORDS = 8
+#: A sentence: up to the white space after full stops, question or exclamation marks, or after a line feed, or the end.
+SENTENCE = r"((?:[^.!?\n]++|[.!?]++(?!\s))*+(?:[.!?]++\s++|\n\s*+|\z))"
+#: Consecutive sentences of a span; a document of two sentences, or as many as there are less than these, is one span.
+SPAN = 3
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text with the white space after them; joined, they are the text."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SENTENCE_END, -1))
+    return F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), 1), lambda s: s != "")
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
-    """(doc_id, key, at, n, h, g) of the run that starts at each sentence; h and g are two hashes of its words."""
+def _spans(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+    """(doc_id, key, copy, at, n, h, g) of the span that starts at each sentence; h and g are hashes of its words, key
+    is one of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bare = F.transform(sentences(F.lower(text)), lambda s: F.btrim(s, F.lit(SPACES)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.filter(F.transform(bare, lambda s, i: F.struct(s.alias("s"), i.alias("i"), (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).alias("w"))), lambda s: s["s"] != "").alias("ss"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.transform(sentences(F.lower(text)), lambda s: F.btrim(s, F.lit(SPACES))).alias("ss"))
+    rows = rows.where(F.size("ss") > 1)
+    hashed = lambda s, i: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"), i.alias("i"), (s != "").alias("full"))
+    rows = rows.select("doc_id", "key", F.filter(F.transform("ss", hashed), lambda s: s["full"]).alias("ss")).where(F.size("ss") > 1)
+    wide = F.least(F.lit(span), F.size("ss"))
     at = lambda i, j, name: F.get(F.col("ss"), i + j)[name]
 
-    def length(i: Column) -> Column:
-        words, out = at(i, 0, "w"), None
-        for n in range(2, max(run_words, 2) + 1):
-            words = words + at(i, n - 1, "w")
-            out = (F if out is None else out).when(words >= run_words, F.lit(n))
-        return out
+    def made(i: Column) -> Column:
+        last = at(i, wide - 1, "i")
+        parts = [F.struct(at(i, j, "h"), at(i, j, "g")) for j in range(span)]
+        return F.struct(at(i, 0, "i").alias("at"), (last - at(i, 0, "i") + 1).alias("n"), F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("g"))
 
-    def run(i: Column) -> Column:
-        def made(n: Column) -> Column:
-            two = F.concat_ws(" ", at(i, 0, "s"), at(i, 1, "s"))
-            whole = F.when(n == 2, two).otherwise(F.array_join(F.transform(F.slice("ss", i + 1, n), lambda x: x["s"]), " "))
-            return F.when(n.isNotNull(), let(whole, lambda x: F.struct(at(i, 0, "i").alias("at"), (at(i, n - 1, "i") - at(i, 0, "i") + 1).alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"))))
+    return rows.select("doc_id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("ss") - wide), made)).alias("r")).select("doc_id", "key", "r.*")
 
-        return let(length(i), made)
 
-    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("ss") - 2), run), lambda r: r.isNotNull())
-    found = F.when(F.size("ss") > 1, runs).otherwise(F.array().cast("array<struct<at:int,n:int,h:bigint,g:int>>"))
-    return rows.select("doc_id", "key", F.explode(found).alias("r")).select("doc_id", "key", "r.*")
-
-
-def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, key, lost): the numbers of the sentences that lie in a run that is not the first of its kind, for each
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """(doc_id, key, lost): the numbers of the sentences that lie in a span that is not the first of its kind, for each
     document with any; key is a hash of the text.
 
-    The first of equal runs is the one in the document with the smallest id, and there the first place. Rows that share
-    id and text are one document; documents that share an id, or have none, count as the same when it comes to which is
-    first. Runs are matched over the whole corpus by 96 bits of hash: a count and a smallest id per run, with map-side
-    partial sums, then an equality join of the runs with those that occur twice or more.
+    The first of equal spans is the one of the smallest (id, text hash, place), a null id before any other; so of two
+    texts under one id, or without one, the later loses what both have. Rows that share id and text are one document. Spans
+    are hashed once and matched over the whole corpus by 96 bits: a count and a smallest place per span, with map-side
+    partial sums, then an equality join of the spans with those that occur twice or more, of which only the places that are lost go on.
     """
-    spans = _spans(docs, id_col, text_col, run_words)
-    again = written(spans.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("doc_id").alias("first")).where("times > 1").drop("times"), "again")
-    found = spans.join(again, ["h", "g"])
-    own = F.col("doc_id").eqNullSafe(F.col("first"))
-    per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "g", "at", "n", own.alias("own"))).alias("runs"))
-
-    def later(rs: Column):
-        return lambda r, i: F.when((i > 0) & (F.get(rs, i - 1)["h"] == r["h"]) & (F.get(rs, i - 1)["g"] == r["g"]) | ~r["own"], F.sequence(r["at"], r["at"] + r["n"] - 1))
+    spans = written(_spans(docs, id_col, text_col, span), "spans")
+    place = F.struct("doc_id", "key", "at")
+    again = spans.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "g", "first")
+    found = spans.join(written(again, "again"), ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at"))))
+    runs = F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))
+    return found.groupBy("doc_id", "key").agg(F.sort_array(F.array_distinct(runs)).alias("lost"))
 
-    marked = let(F.sort_array("runs"), lambda rs: F.transform(rs, later(rs)))
-    return per.select("doc_id", "key", F.sort_array(F.array_distinct(F.flatten(F.filter(marked, lambda x: x.isNotNull())))).alias("lost")).where(F.size("lost") > 0)
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """``docs`` (as the struct ``row``) with lost (numbers of the sentences removed) and clean, the text without them.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` (as the struct ``row``) with n_sentences, lost (numbers of the sentences removed) and clean, the text
-    without them.
-
-    A null text counts as empty and has none; a document of which nothing is left has an empty text; equal rows get
-    equal results. The texts are joined with what they lose once, by id and hash.
+    A null text counts as empty and loses nothing, nor does a text of one sentence; a document of which nothing is left
+    has an empty text; equal rows get equal results; no rows give no rows; columns that are not named are carried in
+    ``row``, whatever their names. Texts are never cut; the sentences of a very long one are hashed one by one. The
+    texts are joined with what they lose once, by id and hash.
     """
-    lost = written(repeated_sentences(docs, id_col, text_col, run_words).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "lost"), "lost")
+    lost = written(repeated_sentences(docs, id_col, text_col, span).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "lost"), "lost")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
-    parts = both.select("row", "text", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"), sentences(F.col("text")).alias("parts"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("lost")), lambda i: F.get(F.col("parts"), i))
-    clean = F.when(F.size("lost") == 0, F.col("text")).otherwise(F.array_join(kept, ""))
-    return parts.select("row", F.size("parts").cast("long").alias("n_sentences"), "lost", clean.alias("clean"))
+
+    def without(parts: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lost")), lambda i: F.get(parts, i)), "")
+
+    clean = F.when(F.col("lost").isNull(), F.col("text")).otherwise(let(sentences(F.col("text")), without))
+    return both.select("row", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"), clean.alias("clean"))
