@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 _MARK = "▁"
 _NONE = np.iinfo(np.int32).max
-#: Pre-tokens with more symbols are merged one by one from a heap: the same merges in the same order, in n log n.
-LONG = 256
 #: Entries that a worker remembers before it forgets all of them.
 CACHE = 400_000
 
@@ -42,6 +39,7 @@ class PieceModel:
         ranks = {s: r for r, s in enumerate(sorted(set(pieces.values()), reverse=True))}
         table = {of[p[:i]] * self.width + of[p[i:]]: (ranks[s], of[p]) for p, s in pieces.items() for i in range(1, len(p)) if p[:i] in of and p[i:] in of}
         self.pairs = table
+        self.inner = np.array(sorted({of[a] * self.width + of[b] for p in pieces for a, b in zip(p, p[1:])}), np.int64)
         self.keys = np.array(sorted(table), np.int64)
         self.rank = np.array([table[k][0] for k in self.keys.tolist()] + [_NONE], np.int32)
         self.joined = np.array([table[k][1] for k in self.keys.tolist()] + [-1], np.int32)
@@ -62,22 +60,32 @@ class PieceModel:
         return np.where(self.keys[at] == key, at, len(self.keys))
 
     def merge_counts(self, words: list[str]) -> np.ndarray:
-        """Tokens of each pre-token. In each round every sequence applies its own lowest-rank pair, all at once."""
+        """Tokens of each pre-token.
+
+        Two neighbouring characters that no piece holds side by side are never merged across; there, a pre-token is cut into
+        sequences. In each round every sequence applies its own lowest-rank pair, at all its places at once, from the
+        left and without overlap. That is what merging one by one comes to, unless a merge makes a new pair of that rank
+        or a lower one, which goes before the places to its right; such a sequence's round is made from left to right.
+        So a sequence takes as many rounds as it merges different pairs, whatever its length.
+        """
         out = np.zeros(len(words), np.int64)
-        long = [i for i, w in enumerate(words) if len(w) > LONG]
-        for i in long:
-            out[i] = self._heap_count(words[i])
-        words = [w if len(w) <= LONG else "" for w in words] if long else words
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = self.char[code]
-        seq = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         lost = sym == self.unknown
         if lost.any():
             c = code[lost]
-            np.add.at(out, seq[lost], 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF).astype(np.int64))
-        found = np.full(len(sym), len(self.keys))
-        if len(sym) > 1:
-            found[:-1] = np.where(seq[:-1] == seq[1:], self._find(sym[:-1], sym[1:]), len(self.keys))
+            np.add.at(out, word[lost], 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF).astype(np.int64))
+        none = len(self.keys)
+        if not len(sym):
+            return out
+        key = sym[:-1].astype(np.int64) * self.width + sym[1:]
+        whole = (word[:-1] == word[1:]) & (self.inner[np.minimum(np.searchsorted(self.inner, key), len(self.inner) - 1)] == key)
+        seq = np.cumsum(np.r_[True, ~whole]) - 1
+        owner = word[np.flatnonzero(np.r_[True, ~whole])]
+        found = np.full(len(sym), none)
+        at = np.flatnonzero(whole)
+        found[at] = self._find(sym[at], sym[at + 1])
         while len(sym):
             rank = self.rank[found]
             first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
@@ -86,47 +94,65 @@ class PieceModel:
             live = np.repeat(least != _NONE, size)
             if not live.all():
                 done = ~live
-                np.add.at(out, seq[done], self.cost[sym[done]])
+                np.add.at(out, owner[seq[done]], self.cost[sym[done]])
                 sym, seq, found, rank = sym[live], seq[live], found[live], rank[live]
                 least, size = least[least != _NONE], size[least != _NONE]
                 if not len(sym):
                     break
             hits = np.flatnonzero(rank == np.repeat(least, size))
-            hits = hits[np.r_[True, seq[hits[1:]] != seq[hits[:-1]]]]
-            sym[hits] = self.joined[found[hits]]
-            stays = np.ones(len(sym), bool)
-            stays[hits + 1] = False
-            new = np.cumsum(stays)[hits] - 1
-            sym, seq, found = sym[stays], seq[stays], found[stays]
+            start = np.maximum.accumulate(np.where(np.r_[True, hits[1:] != hits[:-1] + 1], hits, 0))
+            hits = hits[(hits - start) % 2 == 0]
+            made, r = self.joined[found[hits]], rank[hits]
+            before = np.where(np.r_[False, hits[1:] == hits[:-1] + 2], np.r_[made[:1], made[:-1]], sym[hits - 1])
+            left = np.where((hits > 0) & (seq[hits - 1] == seq[hits]), self.rank[self._find(before, made)], _NONE)
+            after = np.minimum(hits + 2, len(sym) - 1)
+            right = np.where((hits + 2 < len(sym)) & (seq[after] == seq[hits]), self.rank[self._find(made, sym[after])], _NONE)
+            kept, low, again = np.ones(len(sym), bool), (left <= r) | (right <= r), [hits[:0]]
+            if low.any():
+                for q in np.unique(seq[hits[low]]).tolist():
+                    a, b = np.searchsorted(seq, (q, q + 1)).tolist()
+                    part = self._round(sym[a:b].tolist(), int(rank[a:b].min()))
+                    sym[a : a + len(part)] = part
+                    kept[a + len(part) : b] = False
+                    again.append(np.arange(a, a + len(part)))
+                whole = ~np.isin(seq[hits], seq[hits[low]])
+                hits, made = hits[whole], made[whole]
+            sym[hits] = made
+            kept[hits + 1] = False
+            new = np.cumsum(kept)[np.concatenate([hits, *again])] - 1
+            sym, seq, found = sym[kept], seq[kept], found[kept]
             near = np.unique(np.r_[new, new - 1])
             near = near[(near >= 0) & (near < len(sym))]
-            inner = near[(near + 1 < len(sym))]
+            inner = near[near + 1 < len(sym)]
             inner = inner[seq[inner] == seq[inner + 1]]
-            found[near] = len(self.keys)
+            found[near] = none
             found[inner] = self._find(sym[inner], sym[inner + 1])
         return out
 
-    def _heap_count(self, word: str) -> int:
-        sym = [int(self.char[ord(c)]) for c in word]
-        left, right = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
-        alive, heap = [True] * len(sym), []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (hit := self.pairs.get(sym[i] * self.width + sym[j])):
-                heapq.heappush(heap, (hit[0], i, j, sym[i], sym[j], hit[1]))
-
-        for i in range(len(sym) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, a, b, got = heapq.heappop(heap)
-            if not (alive[i] and alive[j] and right[i] == j and sym[i] == a and sym[j] == b):
-                continue
-            sym[i], alive[j], right[i] = got, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(left[i], i)
-            offer(i, right[i])
-        return sum(int(self.cost[s]) if s != self.unknown else len(word[i].encode()) for i, s in enumerate(sym) if alive[i])
+    def _round(self, sym: list[int], rank: int) -> list[int]:
+        """A sequence after a round at ``rank``, its lowest: each merge is followed at once by those of new pairs beside it
+        that do not rank behind it."""
+        out, i, n, none = [], 0, len(sym), (_NONE, -1)
+        pair = lambda a, b: self.pairs.get(a * self.width + b, none)
+        while i < n:
+            now = sym[i]
+            i += 1
+            if i < n and (hit := pair(now, sym[i]))[0] == rank:
+                now = hit[1]
+                i += 1
+                while True:
+                    left = pair(out[-1], now) if out else none
+                    right = pair(now, sym[i]) if i < n else none
+                    if min(left, right)[0] > rank:
+                        break
+                    if left[0] <= right[0]:
+                        out.pop()
+                        now = left[1]
+                    else:
+                        now = right[1]
+                        i += 1
+            out.append(now)
+        return out
 
     def count_batch(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -154,7 +180,8 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     Tokens are those of the sentencepiece BPE model at ``model_path`` (a file that all executors have), without begin
     and end; over_limit says whether there are more than ``limit``. A null text counts as empty and has no bytes and no
-    tokens. Rows keep their number and order; one pass, no shuffle.
+    tokens; a null id is kept. A very long text is counted whole, by the same merging as any other. Rows keep their
+    number and order, repeated ones too; no rows give no rows; other columns are not read. One pass, no shuffle.
     """
 
     def run(batches):
