@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -16,17 +17,23 @@ UNSEEN = frozenset("head script style template noscript noembed noframes iframe
 #: Blocks, and those of them with a blank line around.
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li legend main menu nav ol option p pre search section summary table ul caption tr td th thead tbody tfoot textarea select".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
+LAID = BLOCK - frozenset("td th tr thead tbody tfoot".split())
 #: A start tag closes these open elements if it finds them before a boundary (implied end tags).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 CLOSES |= {"tbody": CLOSES["thead"], "tfoot": CLOSES["thead"]}
 BOUNDARY = {"li": {"ul", "ol", "menu", "table"}, "dt": {"dl", "table"}, "dd": {"dl", "table"}, "option": {"select"}, "optgroup": {"select"}}
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</[^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag: a quote mark without a partner is a character like another.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-#: Levels that indent, and the width to which table cells are padded.
-MAX_INDENT, MAX_PAD = 20, 80
+#: List levels that indent, the width to which table cells are padded, the columns that are aligned, and the blocks
+#: within blocks that are laid out on their own; what goes beyond is shown without.
+MAX_INDENT, MAX_PAD, MAX_COLUMNS, MAX_FLOWS = 20, 80, 256, 24
+#: Parts of a table, whose end tags close what is open in a cell.
+PARTS = frozenset("tr td th tbody thead tfoot caption".split())
 
 
 class Node:
@@ -45,52 +52,145 @@ def _attributes(raw: str) -> dict:
     return out
 
 
+#: What start tags may close, by kind: the elements closed, and those that are not looked beyond.
+KINDS = {"p": (frozenset({"p"}), frozenset({"button", "td", "th", "table", "caption"}))}
+KINDS |= {t: (frozenset(x), frozenset(BOUNDARY.get(t, {"table"}))) for t, x in CLOSES.items()}
+_MEMBER: dict[str, list[str]] = {}
+_BOUND: dict[str, list[str]] = {}
+for _kind, (_tags, _ends) in KINDS.items():
+    for _t in _tags:
+        _MEMBER.setdefault(_t, []).append(_kind)
+    for _t in _ends:
+        _BOUND.setdefault(_t, []).append(_kind)
+
+
+class _Open:
+    """The open elements, with counts that tell at once whether there is one to close, so that no tag makes the stack be
+    searched in vain."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.total: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+        self.held = {k: [0] for k in KINDS}
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        tag = node.tag
+        self.total[tag] = self.total.get(tag, 0) + 1
+        if tag == "table":
+            self.scopes.append({})
+        else:
+            scope = self.scopes[-1]
+            scope[tag] = scope.get(tag, 0) + 1
+        for k in _MEMBER.get(tag, ()):
+            self.held[k][-1] += 1
+        for k in _BOUND.get(tag, ()):
+            self.held[k].append(0)
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.total[tag] -= 1
+        if tag == "table":
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        for k in _BOUND.get(tag, ()):
+            self.held[k].pop()
+        for k in _MEMBER.get(tag, ()):
+            self.held[k][-1] -= 1
+        return tag
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes the nearest such element; outside of the open table only for ``PARTS`` and tables."""
+        if (self.total if tag in PARTS or tag == "table" else self.scopes[-1]).get(tag, 0):
+            while self.pop() != tag:
+                pass
+
+    def imply(self, kind: str) -> None:
+        """The end tags that a start tag implies: those of all its kind up to the boundary if these are table cells, rows or
+        options, else of the nearest."""
+        left = self.held[kind][-1]
+        while left:
+            tag = self.pop()
+            if tag in KINDS[kind][0]:
+                left = left - 1 if tag in ("td", "th", "tr", "option") else 0
+
+
 def parse(page: str) -> Node:
     """The element tree. End tags without a start are ignored, open elements end with an ancestor, and the start tags
     in ``CLOSES`` and ``P_CLOSERS`` imply the end tags that HTML lets an author leave out; rows and cells outside of a
-    table body or row are taken as they come."""
+    table body or row are taken as they come. A tag ends at the first ``>`` outside of quotes; from the first tag on for which
+    there is none, quotes count for nothing. Time is in proportion to the page, whatever it holds: what is not found once is not
+    looked for again."""
     root = Node("html", {})
-    stack, at = [root], 0
+    opened = _Open(root)
+    stack = opened.stack
+    at = mark = 0
+    quotes = closable = cdata = True
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(unescape(s))
 
     while True:
-        m = TOKEN.search(page, at)
-        if not m:
+        i = page.find("<", mark)
+        if i < 0 or not closable:
             text(page[at:])
             return root
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if page.startswith("<![CDATA[", m.start()):
-                stack[-1].children.append(page[m.start() + 9 : at - 3])
+        following = page[i + 1 : i + 2]
+        if following == "!" or following == "?":
+            if page.startswith("<!--", i):
+                text(page[at:i])
+                stop = page.find("-->", i + 4)
+                if stop < 0:
+                    return root
+                at = mark = stop + 3
+                continue
+            if cdata and page.startswith("<![CDATA[", i):
+                stop = page.find("]]>", i + 9)
+                if stop >= 0:
+                    text(page[at:i])
+                    if stop > i + 9:
+                        stack[-1].children.append(page[i + 9 : stop])
+                    at = mark = stop + 3
+                    continue
+                cdata = False
+        named = NAME.match(page, i + 2 if following == "/" else i + 1)
+        if not named and following not in ("!", "?", "/"):
+            mark = i + 1
+            continue
+        stop = -1
+        if named and quotes:
+            rest = REST.match(page, named.end())
+            stop, quotes = (rest.end() - 1, True) if rest else (-1, False)
+        if stop < 0:
+            stop = page.find(">", named.end() if named else i + 1)
+        if stop < 0:
+            closable = False
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+        text(page[at:i])
+        at = mark = stop + 1
+        if not named:
+            continue
+        tag, inner = named[0].lower(), page[named.end() : stop]
+        if following == "/":
+            if tag == "p" and not opened.total.get("p"):
                 stack[-1].children.append(Node("p", {}))
-            limit = "table" if tag not in ("table", "html", "body") else ""
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag == limit and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption"):
-                    break
+            opened.end(tag)
             continue
         if tag in ("html", "body"):
-            root.attrs.update(_attributes(m[3]))
+            root.attrs.update(_attributes(inner))
             if tag == "body" and stack[-1].tag == "head":
-                stack.pop()
+                opened.pop()
             continue
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "script", "style", "noscript", "template"):
-            stack.pop()
+            opened.pop()
         if tag in P_CLOSERS:
-            _close(stack, {"p"}, {"button", "td", "th", "table", "caption"})
+            opened.imply("p")
         if tag in CLOSES:
-            _close(stack, CLOSES[tag], BOUNDARY.get(tag, {"table"}))
-        node = Node(tag, _attributes(m[3]))
+            opened.imply(tag)
+        node = Node(tag, _attributes(inner))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -100,26 +200,16 @@ def parse(page: str) -> Node:
             if end:
                 close = page.find(">", end.end())
                 at = close + 1 if close >= 0 else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
-            stack.append(node)
-
-
-def _close(stack: list[Node], tags: set, boundary: set) -> None:
-    first = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in boundary:
-            break
-        if stack[i].tag in tags:
-            first = i
-            if stack[i].tag not in ("td", "th", "tr", "option"):
-                break
-    if first is not None:
-        del stack[first:]
+            mark = at
+        elif tag not in VOID and not (inner.endswith("/") and tag in ("svg", "path")):
+            opened.push(node)
 
 
 def shown(node: Node) -> bool:
     """The visibility rules."""
     a = node.attrs
+    if not a:
+        return node.tag not in UNSEEN and node.tag != "dialog"
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
     return not (node.tag == "dialog" and "open" not in a) and not ("style" in a and _HIDING.search(a["style"]))
@@ -128,6 +218,8 @@ def shown(node: Node) -> bool:
 class Flow:
     """Lines of text: runs of white space collapse, blocks start lines, spaced blocks keep one blank line between."""
 
+    __slots__ = ("gap", "lines", "parts", "space")
+
     def __init__(self):
         self.lines: list[str] = []
         self.parts: list[str] = []
@@ -170,37 +262,75 @@ class Flow:
         self.end_line()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
-        start = next((i for i, x in enumerate(self.lines) if x), len(self.lines))
-        return self.lines[start:]
+        if not self.lines or self.lines[0]:
+            return self.lines
+        return self.lines[next(i for i, x in enumerate(self.lines) if x) :]
 
 
 def _span(node: Node, name: str, most: int) -> int:
+    if not node.attrs:
+        return 1
     raw = node.attrs.get(name, "").strip()
     return min(max(int(raw), 1), most) if raw.isascii() and raw.isdigit() and len(raw) < 9 else 1
 
 
 def aligned(rows: list[list[tuple[int, list[str], int]]]) -> list[str]:
     """Lines of a table: each row is its cells as (column, lines, columns spanned); columns start at the same place in all
-    rows, as far as their cells are not wider than ``MAX_PAD``. Cells that span columns do not widen them."""
+    rows, as far as their cells are not wider than ``MAX_PAD``. Cells that span columns do not widen them; columns from
+    ``MAX_COLUMNS`` on follow two spaces after the one before."""
     width: dict[int, int] = {}
     for row in rows:
         for c, lines, wide in row:
-            width[c] = max(width.get(c, 0), *(min(len(x), MAX_PAD) if wide == 1 else 1 for x in lines or [""]))
+            if c < MAX_COLUMNS:
+                width[c] = max(width.get(c, 0), *(min(len(x), MAX_PAD) if wide == 1 else 1 for x in lines or [""]))
     used = sorted(c for c, w in width.items() if w)
-    out = []
+    out: list[str] = []
     for row in rows:
-        cells = {c: lines for c, lines, _ in row if lines}
+        cells = [(c, lines) for c, lines, _ in row if lines]
         if not cells:
             continue
-        last = max(cells)
-        for i in range(max(map(len, cells.values()))):
-            line = "  ".join((cells.get(c, ())[i : i + 1] or [""])[0].ljust(width[c] if c < last else 0) for c in used if c <= last) if len(used) > 1 else (cells[last][i] if i < len(cells[last]) else "")
-            out.append(line.rstrip())
+        if len(used) == 1 and len(cells) == 1:
+            out += cells[0][1]
+            continue
+        last = max(c for c, _ in cells)
+        near, beyond = {c: lines for c, lines in cells if c < MAX_COLUMNS}, [lines for c, lines in cells if c >= MAX_COLUMNS]
+        columns = [(near.get(c, ()), width[c] if c < last else 0) for c in used[: bisect_right(used, last)]]
+        for i in range(max(len(lines) for _, lines in cells)):
+            line = [(lines[i] if i < len(lines) else "").ljust(w) for lines, w in columns]
+            out.append("  ".join([*line, *(lines[i] for lines in beyond if i < len(lines))]).rstrip())
     return out
 
 
+class _Table:
+    """Rows of cells (column, lines, columns spanned). Of the first ``MAX_COLUMNS`` columns it knows the row up to which a
+    cell of an earlier row reaches down; a cell takes the next free column."""
+
+    def __init__(self):
+        self.rows: list[list] = []
+        self.busy: list[int] = []
+        self.next = 0
+
+    def new_row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def cell(self, lines: list[str], wide: int, tall: int) -> None:
+        if not self.rows:
+            self.new_row()
+        at, busy, here = self.next, self.busy, len(self.rows)
+        while at < len(busy) and busy[at] > here:
+            at += 1
+        self.rows[-1].append((at, lines, wide))
+        self.next = at + wide
+        stop = min(self.next, MAX_COLUMNS)
+        if tall > 1 and at < stop:
+            busy.extend([0] * (stop - len(busy)))
+            busy[at:stop] = [here + tall] * (stop - at)
+
+
 def render(page: str) -> str:
-    """All visible text of a page. Iterative, so that deep nesting is no limit."""
+    """All visible text of a page. Iterative, so that deep nesting is no limit; blocks nested deeper than ``MAX_FLOWS`` are
+    shown in the block around them."""
     flows, lists, tables, pre = [Flow()], [], [], 0
     work: list[tuple] = [("in", parse(page))]
     while work:
@@ -226,63 +356,61 @@ def render(page: str) -> str:
             if tag == "input" and node.attrs.get("type", "").lower() in ("button", "submit", "reset"):
                 flows[-1].text(f" {node.attrs.get('value', '')} ")
                 continue
-            if tag in BLOCK and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot"):
+            if tag in LAID:
                 flows[-1].block(tag in SPACED and not (tag in ("ul", "ol") and lists))
+            out = "out"
             if tag in ("ul", "ol", "menu"):
                 raw = node.attrs.get("start", "1")
-                lists.append([tag == "ol", int(raw) if raw.lstrip("-").isdecimal() and len(raw) < 9 else 1])
-            elif tag in ("li", "dd", "blockquote"):
-                flows.append(Flow())
+                lists.append([tag == "ol", int(raw) if raw.lstrip("-").isdecimal() and raw.isascii() and len(raw) < 9 else 1])
+            elif tag in ("li", "dd", "blockquote") or tag in ("td", "th") and tables:
+                if len(flows) > MAX_FLOWS:
+                    out = "past"
+                    flows[-1].block(False)
+                    if tag == "li":
+                        flows[-1].text(_mark(lists))
+                else:
+                    flows.append(Flow())
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                tables.append([[], {}])
+                tables.append(_Table())
             elif tag == "tr" and tables:
-                tables[-1][0].append([])
-            elif tag in ("td", "th") and tables:
-                flows.append(Flow())
-            work.append(("out", node))
+                tables[-1].new_row()
+            work.append((out, node))
             work.extend(("in", c) for c in reversed(node.children))
             continue
         if tag in ("ul", "ol", "menu"):
             lists.pop()
+        elif step == "past":
+            flows[-1].block(False)
         elif tag in ("li", "dd", "blockquote"):
             lines = flows.pop().done()
-            mark = "  "
-            if tag == "li":
-                ordered = lists[-1] if lists else [False, 1]
-                mark = f"{ordered[1]}. " if ordered[0] else "- "
-                ordered[1] += 1
-            deep = sum(1 for _ in lists) > MAX_INDENT
+            mark = _mark(lists) if tag == "li" else "  "
+            deep = len(lists) > MAX_INDENT
             flows[-1].put([(mark if i == 0 and tag == "li" else "" if deep else " " * len(mark)) + x if x else x for i, x in enumerate(lines)])
         elif tag == "pre":
             pre -= 1
         elif tag in ("td", "th") and tables:
-            lines = flows.pop().done()
-            rows, busy = tables[-1]
-            if not rows:
-                rows.append([])
-            row = rows[-1]
-            c = 0
-            taken = {x for x, _, _ in row} | {x for x, until in busy.items() if until > len(rows)}
-            while c in taken:
-                c += 1
-            wide, tall = _span(node, "colspan", 1000), _span(node, "rowspan", 65534)
-            row.append((c, lines, wide))
-            row.extend((x, [], 1) for x in range(c + 1, c + wide))
-            if tall > 1:
-                busy.update({x: len(rows) + tall for x in range(c, c + wide)})
+            tables[-1].cell(flows.pop().done(), _span(node, "colspan", 1000), _span(node, "rowspan", 65534))
         elif tag == "table":
-            rows, _ = tables.pop()
-            flows[-1].put(aligned(rows))
-        if tag in BLOCK and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot"):
+            flows[-1].put(aligned(tables.pop().rows))
+        if tag in LAID:
             flows[-1].block(tag in SPACED and not (tag in ("ul", "ol") and lists))
     return "\n".join(flows[0].done())
 
 
+def _mark(lists: list) -> str:
+    """The mark of the next item of the open list."""
+    ordered = lists[-1] if lists else [False, 1]
+    ordered[1] += 1
+    return f"{ordered[1] - 1}. " if ordered[0] else "- "
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and text, the rendered visible text, for each row of ``pages``. A null or empty page has an empty text;
-    text outside of any tag is visible; whatever is no tag is text. Rows are rendered one by one, without a shuffle."""
+    text outside of any tag is visible; whatever is no tag is text. A very long page is rendered whole, in time in proportion to its
+    length. Rows are rendered one by one, without a shuffle: repeated rows and ids stay, a null id is kept, no rows give
+    no rows, and other columns are not read."""
 
     def run(batches):
         for batch in batches:
