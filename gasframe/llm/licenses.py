@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gasframe.llm.common import ascii_lower
+from gasframe.llm.common import BROADCAST_BYTES, ascii_lower
 
 K = 3
 #: Phrases whose every place counts (fixed values): label, words.
@@ -50,31 +50,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     """A row per row of ``docs``: doc_id, n_words, places (sorted array of structs (start, end, label) of the phrases)
     and found (array of structs (label, start, end, coverage) of verified template occurrences), in words.
 
-    All word k-grams of all texts are joined, by hash and then by their words, to the places of the templates: a table
-    as large as the templates given, which is what is broadcast. A match votes for its diagonal (word position less
+    All word k-grams of all texts are joined, by hash and then by their words, to the places of the templates, a table
+    as large as the templates given; it is broadcast if that is not more than ``BROADCAST_BYTES``. A match votes for its diagonal (word position less
     template place). A diagonal with all k-grams of a phrase is a place of the phrase. Neighbouring diagonals of a
     template are merged, and an occurrence is verified by the share of the template's k-grams that it holds. What is
-    gathered is bounded by a document's own matches. A null text counts as empty; each row is scanned on its own, so
-    that repeated rows give repeated rows.
+    gathered is bounded by a document's own matches; a very long text is scanned whole. Templates that tie give a span
+    each. A null text counts as empty; rows are known by id and text, whatever the order in which they come, and repeated rows give
+    repeated rows; a null id is kept; other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     schema = "t int, label string, exact boolean, grams int, place int, tgram string"
-    marker = [(-1, "", False, 0, 0, "")]
-    table = F.broadcast(spark.createDataFrame(marker + _places(phrases, templates, k), schema).withColumn("h", F.xxhash64("tgram")))
+    places = [(-1, "", False, 0, 0, ""), *_places(phrases, templates, k)]
+    table = spark.createDataFrame(places, schema).withColumn("h", F.xxhash64("tgram"))
+    table = F.broadcast(table) if sum(40 + len(x[1].encode()) + len(x[5].encode()) for x in places) <= BROADCAST_BYTES else table
     text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.filter(F.split(text, _NO_WORD, -1), lambda w: w != "").alias("words"))
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(id_col, whole).alias("row"), F.xxhash64(whole).alias("key"), F.col(id_col).alias("doc_id"), F.filter(F.split(text, _NO_WORD, -1), lambda w: w != "").alias("words"))
     n = F.size("words")
     grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *(F.get(F.col("words"), i + j) for j in range(k))).alias("gram")))
     none = F.array().cast("array<struct<pos:int,gram:string>>")
     mark = F.array(F.struct(n.alias("pos"), F.lit("").alias("gram")))
-    every = rows.select("row", "doc_id", F.explode(F.concat(mark, F.when(n >= k, grams).otherwise(none))).alias("g")).select("row", "doc_id", "g.pos", "g.gram")
+    every = rows.select("row", "key", "doc_id", F.explode(F.concat(mark, F.when(n >= k, grams).otherwise(none))).alias("g")).select("row", "key", "doc_id", "g.pos", "g.gram")
     hits = every.join(table, (F.xxhash64("gram") == F.col("h")) & (F.col("gram") == F.col("tgram")))
-    diagonals = hits.groupBy("row", "t", "label", "exact", "grams", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.first("doc_id").alias("doc_id"), F.collect_set("place").alias("places"))
-    by = Window.partitionBy("row", "t").orderBy("diagonal")
+    diagonals = hits.groupBy("row", "key", "t", "label", "exact", "grams", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.collect_set("place").alias("places"))
+    by = Window.partitionBy("row", "key", "t").orderBy("diagonal")
     apart = (F.col("exact") | (F.col("t") < 0) | (F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOURS)).cast("int")
     runs = diagonals.withColumn("apart", F.coalesce(apart, F.lit(1))).withColumn("run", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("row", "t", "label", "exact", "grams", "run").agg(
+    merged = runs.groupBy("row", "key", "t", "label", "exact", "grams", "run").agg(
         F.first("doc_id").alias("doc_id"),
+        F.max("copies").alias("copies"),
         F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
         F.max(F.col("diagonal") + F.array_max("places")).alias("last"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"),
@@ -82,9 +86,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     span = F.struct("start", (F.col("last") + k).alias("end"), "label")
     seen = F.struct("label", F.col("start").alias("start"), (F.col("last") + k).alias("end"), F.when(F.col("grams") > 0, F.col("held") / F.when(F.col("grams") > 0, F.col("grams"))).alias("coverage"))
     real = F.col("t") >= 0
-    return merged.groupBy("row").agg(
+    found = merged.groupBy("row", "key").agg(
         F.first("doc_id").alias("doc_id"),
+        F.max(F.when(~real, F.col("copies"))).cast("int").alias("copies"),
         F.max(F.when(~real, F.col("last"))).cast("long").alias("n_words"),
         F.array_sort(F.collect_list(F.when(real & F.col("exact") & (F.col("held") == F.col("grams")), span))).alias("places"),
         F.array_sort(F.collect_list(F.when(real & ~F.col("exact") & (F.col("held") >= min_coverage * F.col("grams")), seen))).alias("found"),
-    ).drop("row")
+    )
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "places", "found")

@@ -170,7 +170,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     id lies in exactly one piece, pieces of a sequence follow each other without gaps, and the length of a sequence is
     a power of two, never above the last tier. Each partition is packed on its own as it streams by: ``sequence_id`` and
     ``step_group`` hold the partition's number in their upper bits, and memory holds a bounded number of waiting pieces.
-    A task that runs again gives the same rows. Repeated rows and ids are packed like others; no rows give no rows.
+    A task that runs again over the same rows in the same order, as tables in files give them, gives the same pieces; write
+    the result of a shuffle before packing it. Repeated rows and ids are packed like others, a null id is kept; no rows
+    give no rows; a very long text fills sequences of its own; other columns are not read.
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
