@@ -12,6 +12,11 @@ OPEN, HEAD, CLOSE, BETWEEN = "<|im_start|>", "\n", "<|im_end|>", "\n"
 TRAINED = "assistant"
 
 
+def escaped(text: Column) -> Column:
+    """``text`` with each ``<|`` written ``<||``, so that no turn can hold a mark; the way back is one-to-one."""
+    return F.replace(text, F.lit("<|"), F.lit("<||"))
+
+
 def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(HEAD), t["text"], F.lit(CLOSE + BETWEEN))), "")
 
@@ -34,12 +39,14 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
     side.
 
     The prompt is the longest common prefix of turns (equal role and text), written once; chosen and rejected are the
-    turns that follow it, and their masks the spans of code points that carry loss. A side without turns has an empty
-    completion. Turns go by number, then role and text; a turn given twice counts twice. A null role is ``unknown``, a
-    null text empty, a turn without a number comes first, and a turn without a pair belongs to none. One shuffle, by
-    pair; what is gathered is one pair of conversations.
+    turns that follow it, and their masks the spans of code points that carry loss. Marks inside a role or text are
+    escaped (``escaped``), a line feed in a role is a space. A side without turns has an empty completion. Turns go by
+    number, then role and text, which settles ties; a turn given twice counts twice. A null role is ``unknown``, a
+    null text empty, a turn without a number comes first, and a turn without a pair belongs to none. Very long texts are
+    kept whole; extra columns are not read; no turns give no rows. One shuffle, by pair; what is gathered is one pair
+    of conversations.
     """
-    one = lambda d, side: d.where(F.col(pair_col).isNotNull()).select(F.col(pair_col).alias("pair_id"), F.lit(side).alias("side"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    one = lambda d, side: d.where(F.col(pair_col).isNotNull()).select(F.col(pair_col).alias("pair_id"), F.lit(side).alias("side"), F.col(turn_col).alias("turn"), F.translate(escaped(F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))), "\n", " ").alias("role"), escaped(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     both = one(chosen, 0).union(one(rejected, 1)).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("ts"))
     sides = both.select("pair_id", F.filter("ts", lambda t: t["side"] == 0).alias("c"), F.filter("ts", lambda t: t["side"] == 1).alias("r"))
     same = lambda i: (F.get(F.col("c"), i)["role"] == F.get(F.col("r"), i)["role"]) & (F.get(F.col("c"), i)["text"] == F.get(F.col("r"), i)["text"])
@@ -54,15 +61,21 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
 def logged_preferences(turns: DataFrame, id_col: str = "conv_id", trained: str = TRAINED) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) turns for logged conversations, with the column pair_id.
 
-    Chosen is a conversation up to its last reply. Rejected has in place of that reply a stale one: the reply before it,
-    or for want of one the question it answers. A conversation without a reply is the same on both sides.
+    Chosen is a conversation up to its last reply, the one of the highest turn number, and of several with that number the one
+    whose text is last in order. Rejected has in place of that one reply a stale one: the last reply of a lower
+    number, or for want of one the last question of a lower number, or nothing. A conversation without a numbered reply is
+    the same on both sides; a turn without a conversation belongs to none.
     """
     w = Window.partitionBy(id_col)
     reply = F.col("role") == trained
+    own = turns.where(F.col(id_col).isNotNull()).select(id_col, "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    numbered = F.coalesce(reply, F.lit(False)) & F.col("turn").isNotNull()
+    first = F.row_number().over(w.orderBy(numbered.desc(), F.col("turn").desc(), F.col("text").desc()))
+    marked = own.withColumn("swap", numbered & (first == 1)).withColumn("last", F.max(F.when(numbered, F.col("turn"))).over(w))
     before = lambda cond: F.max(F.when(cond & (F.col("turn") < F.col("last")), F.struct("turn", "text"))).over(w)["text"]
-    marked = turns.where(F.col(id_col).isNotNull()).withColumn("last", F.max(F.when(reply, F.col("turn"))).over(w)).withColumn("stale", F.coalesce(before(reply), before(F.col("role") == "user"), F.lit("")))
-    upto = marked.where(F.col("last").isNull() | (F.col("turn") <= F.col("last")))
-    swap = F.when(reply & (F.col("turn") == F.col("last")), F.col("stale")).otherwise(F.col("text"))
+    marked = marked.withColumn("stale", F.coalesce(before(reply), before(F.col("role") == "user"), F.lit("")))
+    upto = marked.where(F.col("last").isNull() | F.col("turn").isNull() | (F.col("turn") <= F.col("last")))
+    swap = F.when(F.col("swap"), F.col("stale")).otherwise(F.col("text"))
     out = lambda text: upto.select(F.col(id_col).alias("pair_id"), "turn", "role", text.alias("text"))
     return out(F.col("text")), out(swap)
 
