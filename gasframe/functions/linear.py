@@ -8,10 +8,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RIDGE = 1e-6
+#: A pivot that no row below exceeds counts as this much at least, so that a singular system has a solution.
+LEAST_PIVOT = 1e-12
+
+
+def eliminated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of systems (k x n x n, k x n) by elimination with partial pivoting, all systems at once."""
+    n, every = a.shape[1], np.arange(len(a))
+    both = np.concatenate([a, b[..., None]], axis=2)
+    for i in range(n):
+        below = np.abs(both[:, i:, i])
+        best = np.nan_to_num(below).argmax(axis=1)
+        flat = ~(below[every, best] >= LEAST_PIVOT)
+        at = np.where(flat, i, i + best)
+        both[every, at], both[:, i] = both[:, i].copy(), both[every, at]
+        both[flat, i, i] = LEAST_PIVOT
+        both[:, i] /= both[:, i, i][:, None]
+        factor = both[:, :, i].copy()
+        factor[:, i] = 0.0
+        both -= factor[..., None] * both[:, i][:, None, :]
+    return both[:, :, n]
 
 
 def solve_batch(rows: pd.Series, cols: pd.Series, data: pd.Series, right: pd.Series) -> pd.Series:
-    """Solutions of (A + RIDGE I) x = b, stacked by size. A system that is not square, or does not fit its right side,
+    """Solutions of (A + RIDGE I) x = b, stacked by size. A singular system is solved with its least pivots. A system that is not square, or does not fit its right side,
     is an error; a row without a matrix has no solution."""
     out: list = [None] * len(right)
     sizes: dict[int, list[int]] = {}
@@ -27,8 +47,8 @@ def solve_batch(rows: pd.Series, cols: pd.Series, data: pd.Series, right: pd.Ser
                 out[i] = []
             continue
         a = np.stack([np.asarray(data.iloc[i], float) for i in at]).reshape(-1, n, n) + RIDGE * np.eye(n)
-        b = np.stack([np.asarray(right.iloc[i], float) for i in at])[..., None]
-        for i, x in zip(at, np.linalg.solve(a, b)[..., 0]):
+        b = np.stack([np.asarray(right.iloc[i], float) for i in at])
+        for i, x in zip(at, eliminated(a, b)):
             out[i] = x.tolist()
     return pd.Series(out)
 

@@ -25,7 +25,8 @@ def _unit(seed: int, salt: str, *cols) -> Column:
 
 def _pairs(spark: SparkSession, nodes: int, edges: int, seed: int) -> DataFrame:
     """Exactly ``edges`` distinct pairs, each pair as likely as another: the cells of the nodes x nodes square are dealt
-    out by a bijection, so that the first ``edges`` of it need no duplicate removal."""
+    out by a bijection of [0, 2^bits), of which the first ``edges`` that lie in the square are taken, without duplicate
+    removal."""
     cells = nodes * nodes
     bits = max(2, (cells - 1).bit_length() + ((cells - 1).bit_length() & 1))
     half = bits // 2
@@ -37,10 +38,25 @@ def _pairs(spark: SparkSession, nodes: int, edges: int, seed: int) -> DataFrame:
             left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(r), right).bitwiseAND(F.lit(low)))
         return left * F.lit(1 << half) + right
 
-    # Of the dealt numbers some lie beyond the square; walking the range a second time fills in for them.
-    over = (1 << bits) / cells
-    dealt = spark.range(min(1 << bits, int(edges * over * 1.2) + 1024)).select("id", feistel(F.col("id")).alias("cell")).where(F.col("cell") < cells)
-    return dealt.orderBy("id").limit(edges).select(F.expr(f"cell div {nodes}").alias("src"), (F.col("cell") % nodes).alias("dst")) if edges < cells else spark.range(cells).select(F.expr(f"id div {nodes}").alias("src"), (F.col("id") % nodes).alias("dst"))
+    if edges == cells:
+        return spark.range(cells).select(F.expr(f"id div {nodes}").alias("src"), (F.col("id") % nodes).alias("dst"))
+    dealt = lambda n: spark.range(n).select("id", feistel(F.col("id")).alias("cell")).where(F.col("cell") < cells)
+    size, most = 1 << 16, 1 << bits
+    n = min(most, int(edges * (most / cells) * 1.1) + size)
+    while True:
+        # Some of the dealt numbers lie beyond the square, so that it takes a few more than ``edges``: counts per range tell
+        # in which range the last edge lies, and only that range is sorted.
+        counts = dealt(n).groupBy(F.expr(f"id div {size}").alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect()
+        if sum(r["n"] for r in counts) >= edges or n == most:
+            break
+        n = min(most, 2 * n)
+    left = edges
+    for r in counts:
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    last = dealt(n).where(F.expr(f"id div {size}") == r["range"]).orderBy("id").limit(left).agg(F.max("id")).first()[0]
+    return dealt(last + 1).select(F.expr(f"cell div {nodes}").alias("src"), (F.col("cell") % nodes).alias("dst"))
 
 
 def generate_graph(spark: SparkSession, app: str, nodes: int, edges: int, seed: int = 42) -> Graph:

@@ -38,7 +38,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete what ``written`` wrote for ``df``; for tables that no returned plan reads."""
+    """Delete what ``written`` or ``bucketed`` wrote for ``df``; for tables that no returned plan reads."""
+    if name := getattr(df, "_scratch_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
     path = getattr(df, "_scratch_path", None)
     if path:
         spark = df.sparkSession
@@ -54,5 +56,5 @@ def bucketed(df: DataFrame, label: str, buckets: int, *keys: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out._scratch_path = path
+    out._scratch_path, out._scratch_table = path, name
     return out

@@ -10,6 +10,8 @@ from gasframe.plans.superstep_plan import PlanError, classify, lower
 from gasframe.sources.scratch import forget, written
 
 MONOTONE = ("min", "max", "or", "union")
+#: Tables of edges that are read side by side.
+MOST_PARTS = 64
 
 
 class Incremental:
@@ -24,20 +26,34 @@ class Incremental:
         if classify(step.reducer)[0] not in MONOTONE or step.apply is None:
             raise PlanError("NotMonotone", step.target)
         self.program, self.target, self.first, self.limit = program, step.target, first, limit
-        self.edges, self.nodes = graph.edges, graph.nodes
+        self.nodes, self.columns = graph.nodes, graph.edges.columns
+        self.parts = [graph.edges if hasattr(graph.edges, "_scratch_path") else written(graph.edges, "stream-edges")]
         self.last: Run | None = None
 
+    @property
+    def edges(self) -> DataFrame:
+        """All edges so far: the tables of the batches, side by side."""
+        one = self.parts[0]
+        if len(self.parts) == 1:
+            return one
+        out = one.sparkSession.read.schema(one.schema).parquet(*(p._scratch_path for p in self.parts))
+        out._scratch_path = None
+        return out
+
     def add(self, batch: DataFrame, batch_id: int = 0) -> None:
         """Take in edges (eid, src, dst, properties...); ``first`` gives new nodes their property as a column over id.
-        Fits ``foreachBatch``."""
+        Fits ``foreachBatch``. A batch is appended; once ``MOST_PARTS`` batches lie side by side, they become one table."""
         ends = batch.select(F.col("src").alias("id")).union(batch.select("dst")).distinct()
         fresh = ends.join(self.nodes, "id", "left_anti").withColumn(self.target, self.first)
-        old = self.edges
-        self.edges = written(old.unionByName(batch.select(*old.columns)), "stream-edges")
+        self.parts.append(written(batch.select(*self.columns), "stream-edges"))
+        if len(self.parts) > MOST_PARTS:
+            whole = written(self.edges, "stream-edges")
+            for old in self.parts[1:]:
+                forget(old)
+            self.parts = [whole]
         nodes = written(self.nodes.unionByName(fresh.select(*self.nodes.columns)), "stream-nodes")
         self.last = converge(self.program, Graph(nodes, self.edges), self.limit)
         self.nodes = self.last.nodes
-        forget(old)
 
     def start(self, stream: DataFrame, checkpoint: str):
         """The running query over a stream of edges."""
