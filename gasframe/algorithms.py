@@ -54,6 +54,11 @@ PROGRAMS = {
     "wcc_self": _program("label: int<32>", "", "e.src.label", MOST, "lambda d: d > self.label ? d : self.label", "label"),
     "sssp_fixed": sssp("fixed<32, 16>", "int<10>"),
     "sssp_8bit": sssp("int<8>", "int<10>"),
+    "sssp_light": sssp().replace("to = map([links]", "light = filter([links], lambda e: e.weight <= 6 && !(e.weight == 3))\n    to = map([light]").replace("sent = map([links]", "sent = map([light]"),
+    "difference": _program("label: int<32>", "", "e.src.label", "lambda a, b: a - b", "", "label"),
+    "bits": _program("label: int<32>", "", "(~e.src.label) & 1023", MOST, "lambda d: d > 512 || self.label == 0 ? d - self.label : self.label", "label"),
+    "own_gap": _program("color: int<32>", "", "make_set(e.src.color)", "lambda a, b: set_union(a, b)", "lambda s: mex(set_insert(s, self.color))", "color"),
+    "sssp_extra": sssp(extra=2),
     "sssp_inverted": sssp().replace("d < self.dist ? d : self.dist", "d < self.dist ? self.dist : d"),
 }
 

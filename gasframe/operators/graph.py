@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gasframe.plans.columns import Compiler, Typed, equal, kind_of, masked
-from gasframe.plans.dsl import Lambda, Member, Program, Var
+from gasframe.plans.dsl import Call, Lambda, Member, Program, Var
 from gasframe.plans.superstep_plan import EDGE_VAR, SELF, Superstep, classify, lower, walk
 from gasframe.sources.scratch import bucketed, forget, written
 
@@ -85,6 +85,67 @@ def _apply_member(step: Superstep):
     return member
 
 
+def _sent(step: Superstep, compiler: Compiler) -> Typed:
+    """The value that goes along an edge. Where it is an outer product or a scaled vector that is only summed, its factors
+    go instead (kinds ``outer`` and ``scaled``), so that no matrix is built for an edge."""
+
+    def part(kind: tuple, e) -> Typed:
+        if isinstance(e, Call) and len(e.args) == 2 and (kind[0], e.name) in (("matrix_sum", "outer_product"), ("vector_sum", "vector_scale")):
+            a, b = (compiler.compile(x, {}) for x in e.args)
+            if a.kind == "vector" and a.size and (b.kind == "vector" and b.size if kind[0] == "matrix_sum" else b.kind in ("int", "float")):
+                if kind[0] == "vector_sum":
+                    return Typed(F.struct(a.column.alias("u"), b.column.cast("double").alias("w")), "scaled", (), a.size)
+                both = [a.column.alias("u")] + [b.column.alias("w")] * (e.args[0] != e.args[1])
+                return Typed(F.struct(*both), "outer", ("same",) if len(both) == 1 else (), a.size + b.size)
+        return compiler.compile(e, {})
+
+    kind, e = classify(step.reducer), step.value
+    if kind[0] == "each" and isinstance(e, Call) and e.name == "pair":
+        parts = [part(k, x) for k, x in zip(kind[1], e.args)]
+        return Typed(F.struct(*(p.column.alias(f"_{i}") for i, p in enumerate(parts))), "tuple", tuple((p.kind, p.parts, p.size) for p in parts))
+    return part(kind, e)
+
+
+#: Numbers that one group holds when the least gap of a set is sought.
+GAP_BLOCK = 1024
+
+
+def _least_gap(step: Superstep) -> Superstep | None:
+    """For a program that unites one-element sets and asks for nothing but their least gap, the step whose gathered value is
+    that gap: no node's set is ever held in one place."""
+    if classify(step.reducer)[0] != "union" or step.apply is None or not (isinstance(step.value, Call) and step.value.name == "make_set" and len(step.value.args) == 1):
+        return None
+    name = step.apply.params[0]
+    gap = Call("mex", (Var(name),))
+
+    def without(e):
+        return Var(name) if e == gap else replace(e, **{f.name: v for f in fields(e) if (v := inner(getattr(e, f.name))) is not None}) if is_dataclass(e) else e
+
+    def inner(x):
+        return tuple(without(y) for y in x) if isinstance(x, tuple) else without(x) if is_dataclass(x) else None
+
+    bare = sum(x == Var(name) for x in walk(step.apply.body)) - sum(x == gap for x in walk(step.apply.body))
+    return None if bare else replace(step, apply=Lambda(step.apply.params, without(step.apply.body)))
+
+
+def _gaps(messages: DataFrame) -> DataFrame:
+    """(k, g): the least number from zero on that no message of a key has. Numbers go in blocks of ``GAP_BLOCK``, by key and
+    block; a full block says so, and any other names its own least gap."""
+    x = F.col("v")[0]
+    low = F.col("b") * GAP_BLOCK
+    blocks = messages.groupBy("k", F.floor(x / F.lit(GAP_BLOCK)).alias("b")).agg(F.collect_set(x).alias("xs"))
+    own = F.array_min(F.array_except(F.sequence(low, low + F.size("xs")), F.col("xs")))
+    real = F.col("b") >= 0
+    blocks = blocks.select("k", "b", real.alias("real"), (F.size("xs") == GAP_BLOCK).alias("full"), F.when(real, own).alias("gap"))
+    per = blocks.groupBy("k").agg(
+        F.sort_array(F.collect_list(F.when(F.col("real") & F.col("full"), F.col("b")))).alias("full"),
+        F.min(F.when(F.col("real") & ~F.col("full"), F.struct("b", "gap"))).alias("open"),
+    )
+    run = F.size(F.filter("full", lambda b, i: b == i)).cast("bigint")
+    per = per.select("k", run.alias("first"), "open")
+    return per.select("k", F.when(F.col("open.b") == F.col("first"), F.col("open.gap")).otherwise(F.col("first") * GAP_BLOCK).cast("bigint").alias("g"))
+
+
 def _slots(v: Column, size: int) -> Column:
     return F.array(*(F.sum(v[i]) for i in range(size)))
 
@@ -106,6 +167,13 @@ def _aggregate(kind: tuple, v: Typed, step: Superstep, reducer: Lambda) -> tuple
         return F.coalesce(F.min_by(real, real.bitwiseAND(F.lit(kind[1]))), F.lit(0).cast("bigint")), v
     if name == "union" and v.kind == "set":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), v
+    if name == "vector_sum" and v.kind == "scaled":
+        return F.array(*(F.sum(c["u"][i] * c["w"]) for i in range(v.size[0]))), Typed(c, "vector", (), v.size)
+    if name == "matrix_sum" and v.kind == "outer":
+        rows, cols = v.size
+        term = (lambda i, j: c["u"][min(i, j)] * c["u"][max(i, j)]) if v.parts else (lambda i, j: c["u"][i] * c["w"][j])
+        data = F.array(*(F.sum(term(i, j)) for i in range(rows) for j in range(cols)))
+        return F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), data.alias("data")), Typed(c, "matrix", (), v.size)
     if name in ("sum", "vector_sum") and v.kind == "vector" and v.size:
         return _slots(c, v.size[0]), v
     if name == "matrix_sum" and v.kind == "matrix" and len(v.size) == 2:
@@ -114,7 +182,8 @@ def _aggregate(kind: tuple, v: Typed, step: Superstep, reducer: Lambda) -> tuple
     if name == "each" and v.kind == "tuple" and len(v.parts) == 2:
         parts = [_aggregate(k, Typed(c[f"_{i}"], *v.parts[i]), step, reducer) for i, k in enumerate(kind[1])]
         if all(parts):
-            return F.struct(*(p[0].alias(f"_{i}") for i, p in enumerate(parts))), v
+            held = tuple((p[1].kind, p[1].parts, p[1].size) for p in parts)
+            return F.struct(*(p[0].alias(f"_{i}") for i, p in enumerate(parts))), Typed(c, "tuple", held)
     return None
 
 
@@ -164,7 +233,7 @@ def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> t
     compiler = Compiler(step.mask, _scatter_member(step))
     for test in step.tests:
         e = e.where(compiler.compile(test, {}).column)
-    key, value = compiler.compile(step.key, {}), compiler.compile(step.value, {})
+    key, value = compiler.compile(step.key, {}), _sent(step, compiler)
     return e.select(key.column.alias("k"), value.column.alias("v"), "eid"), value
 
 
@@ -195,14 +264,18 @@ def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, no_m
     ``no_message`` may instead be "skip" (keep the value), or a number to gather.
     """
     messages, value = scattered(step, nodes, edges)
-    agg, g = gathered(step, messages, value)
+    gap = _least_gap(step) if value.kind == "set" else None
+    if gap:
+        agg, g, step = _gaps(messages), Typed(F.col("g"), "int"), gap
+    else:
+        agg, g = gathered(step, messages, value)
     agg = agg.withColumn("$has", F.lit(True))
     joined = nodes.join(agg, nodes["id"] == agg["k"], "left")
     has = F.coalesce(F.col("`$has`"), F.lit(False))
     target = step.target
     declared = target in step.program.node and target in nodes.columns
     old = Typed(F.col(f"`{target}`"), *kind_of(step.program.node[target])) if declared else None
-    keep = no_message == "skip" or no_message == "current" and (old is None or old.kind != g.kind)
+    keep = no_message == "skip" or no_message == "current" and (old is None or old.kind != ("set" if gap else g.kind))
     if keep:
         held = g
     else:
