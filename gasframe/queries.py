@@ -79,12 +79,14 @@ def _long(v: int):
 def _runner(graph: Callable, program: str, prop: str, steps: int | None, first: Callable, degree: bool = False, finish: Callable | None = None, no_message: object = "current") -> Callable:
     """A query that runs a program: exactly ``steps`` supersteps, or to the fixpoint, for which there are ``DEFAULT_STEPS``."""
 
+    def started(g: Graph) -> Graph:
+        return _start(_with_degree(g) if degree else g, **{prop: first()})
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graph(spark, sf_dir)
-        g = _with_degree(g) if degree else g
-        nodes = run(PROGRAMS[program], _start(g, **{prop: first()}), steps, no_message).nodes
+        nodes = run(PROGRAMS[program], started(graph(spark, sf_dir)), steps, no_message).nodes
         return finish(nodes) if finish else nodes.select("id", prop)
 
+    query.graph, query.started, query.steps = graph, started, lambda g: run(PROGRAMS[program], g, steps, no_message)
     return query
 
 

@@ -75,14 +75,25 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _fields(lines: DataFrame) -> DataFrame:
     f = F.split("line", r"\s+")
-    return lines.select("at", F.get(f, F.lit(0)).try_cast("bigint").alias("src"), F.get(f, F.lit(1)).try_cast("bigint").alias("dst"), F.get(f, F.lit(2)).alias("w"))
+    return lines.select("at", F.get(f, F.lit(0)).try_cast("bigint").alias("src"), F.get(f, F.lit(1)).try_cast("bigint").alias("dst"), F.get(f, F.lit(2)).alias("w"), f.alias("f"))
 
 
-def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """(eid, src, dst, weight) of lines ``src dst [weight]``. Blank lines, lines that start with # or %, and lines without
-    two integers are passed over; a weight that is no integer is null."""
+def read_edge_list(spark: SparkSession, path: str, properties: tuple[str, ...] = ("weight",), default: int | None = None) -> DataFrame:
+    """(eid, src, dst, properties...) of lines ``src dst [property ...]``. Blank lines, lines that start with # or %, and
+    lines without two integers are passed over; a property that is missing or no integer is ``default``."""
     lines = _lines(spark, path).where("line != '' AND NOT line RLIKE '^[#%]'")
-    return _fields(lines).where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("at").alias("eid"), "src", "dst", F.col("w").try_cast("bigint").alias("weight"))
+    held = [F.coalesce(F.get("f", F.lit(2 + i)).try_cast("bigint"), F.lit(default).cast("bigint")).alias(p) for i, p in enumerate(properties)]
+    return _fields(lines).where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("at").alias("eid"), "src", "dst", *held)
+
+
+def read_host_graph(spark: SparkSession, path: str, properties: tuple[str, ...] = ("weight",)) -> Graph:
+    """A graph as a host program loads an edge list: any number of integer edge properties, 1 where a line has none, ids
+    rebased to zero, and every id up to the largest a node."""
+    edges = rebased(read_edge_list(spark, path, properties, default=1))
+    top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    if top is None:
+        raise EmptyGraph(path)
+    return Graph(spark.range(top + 1), edges)
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:

@@ -94,3 +94,17 @@ def test_statistics_of_no_edges_and_missing_nodes(spark):
     assert statistics.partition_plan(none, 1, 1).count() == 0
     with pytest.raises(ValueError):
         statistics.partition_plan(none, 0, 0)
+
+
+def test_host_graph_with_properties(spark, tmp_path):
+    from gasframe.sources.graphs import EmptyGraph, read_host_graph
+
+    (tmp_path / "h.txt").write_text("# c\n1 2 5 7\n2 4\n-1 2 3\n4 1 x 9\n")
+    g = read_host_graph(spark, str(tmp_path / "h.txt"), ("weight", "cost"))
+    assert sorted((r.src, r.dst, r.weight, r.cost) for r in g.edges.collect()) == [(0, 1, 5, 7), (1, 3, 1, 1), (3, 0, 1, 9)] and g.nodes.count() == 4
+    (tmp_path / "none.txt").write_text("# nothing\n")
+    try:
+        read_host_graph(spark, str(tmp_path / "none.txt"))
+        raise AssertionError
+    except EmptyGraph:
+        pass

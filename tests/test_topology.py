@@ -81,3 +81,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", "sssp", str(tmp_path / "g.txt")]) == 0
     assert '{"2": "4"}' in capsys.readouterr().out
     assert main(["generate", "cc", "5", "9", str(tmp_path / "out")]) == 0 and main(["convert", str(tmp_path / "g.txt"), str(tmp_path / "c"), "sssp"]) == 0
+
+
+def test_command_line_of_topologies(spark, tmp_path, capsys):
+    folder, cache, model = tmp_path / "graphs", str(tmp_path / "cache"), str(tmp_path / "model.json")
+    folder.mkdir()
+    lines = ["\t".join(tables.BENCHMARK_COLUMNS)]
+    for i in range(4):
+        e = generate_graph(spark, "cc", 20 + 30 * i, 60 + 200 * i, i).edges.collect()
+        (folder / f"web-{i}.txt").write_text("".join(f"{r.src} {r.dst}\n" for r in e))
+        lines.append(f"web-{i}\t1\t2\t{3 + i % 2}\t4\t5\t6\t{7 + 2 * (i % 2)}\t8")
+    (tmp_path / "t.tsv").write_text("\n".join(lines) + "\n")
+    table, graph = str(tmp_path / "t.tsv"), str(folder / "web-1.txt")
+    assert main(["train", table, str(folder), cache, model]) == 0 and main(["predict", model, graph, cache]) == 0
+    said = __import__("json").loads(capsys.readouterr().out)
+    assert said["topology"] == "b3l55" and len(said["ranked"]) == 7
+    assert main(["evaluate", table, str(folder), cache]) == 0 and main(["stats", graph, cache]) == 0 and main(["train", table]) == 2
+    before = sorted(p.name for p in (tmp_path / "cache").iterdir())
+    with open(graph, "a") as f:
+        f.write("0 1\n0 1\n")
+    assert main(["stats", graph, cache]) == 0 and len(before) == 4 and len(list((tmp_path / "cache").iterdir())) == 5
