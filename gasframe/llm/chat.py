@@ -1,4 +1,5 @@
-"""Preference formatting: one prompt for the turns that a chosen and a rejected conversation share, and two completions."""
+"""Preference formatting: one prompt for the turns that a chosen and a rejected conversation share, and two
+completions."""
 
 from __future__ import annotations
 
@@ -61,10 +62,10 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
 def logged_preferences(turns: DataFrame, id_col: str = "conv_id", trained: str = TRAINED) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) turns for logged conversations, with the column pair_id.
 
-    Chosen is a conversation up to its last reply, the one of the highest turn number, and of several with that number the one
-    whose text is last in order. Rejected has in place of that one reply a stale one: the last reply of a lower
-    number, or for want of one the last question of a lower number, or nothing. A conversation without a numbered reply is
-    the same on both sides; a turn without a conversation belongs to none.
+    Chosen is a conversation up to its last reply, the one of the highest turn number, and of several with that
+    number the one whose text is last in order. Rejected has in place of that one reply a stale one: the last reply
+    of a lower number, or for want of one the last question of a lower number, or nothing. A conversation without a
+    numbered reply is the same on both sides; a turn without a conversation belongs to none.
     """
     w = Window.partitionBy(id_col)
     reply = F.col("role") == trained

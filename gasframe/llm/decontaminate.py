@@ -309,16 +309,16 @@ _WINDOWS = 4096
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
-    """(doc_id, key, item_id, at, cosine, share, kind) for each document and benchmark item that it holds; key is a hash of the
-    text, at the first word of the best window.
+    """(doc_id, key, item_id, at, cosine, share, kind) for each document and benchmark item that it holds; key is a
+    hash of the text, at the first word of the best window.
 
     Benchmark items are the stated query set. Their different texts are cut into passages, and these into blocks of
-    ``BLOCK``; for each block, the basis is fitted on all its passages, and all whole texts pass by in windows of
-    2 x 16 words, half overlapping. A window near a passage in the latent space is a candidate, and verified by the
+    ``BLOCK``; for each block, the basis is fitted on all its passages, and all whole texts pass by in windows of 2 x
+    16 words, half overlapping. A window near a passage in the latent space is a candidate, and verified by the
     longest common subsequence of the passage's words and the window with as many words around it: a copy holds
-    ``COPY`` of them, or of ``PASSAGE`` words around it in a longer item, a paraphrase ``PARAPHRASE`` and the words of the answer (``answer_col``,
-    or else the item's last sentence), by weight. An item of fewer than ``MIN_ITEM`` words has too little to compare; it is found
-    where its words stand side by side (kind ``words``).
+    ``COPY`` of them, or of ``PASSAGE`` words around it in a longer item, a paraphrase ``PARAPHRASE`` and the words
+    of the answer (``answer_col``, or else the item's last sentence), by weight. An item of fewer than ``MIN_ITEM``
+    words has too little to compare; it is found where its words stand side by side (kind ``words``).
 
     Null and empty texts hold nothing and items without a word are held by nothing; items of the same text are found
     alike, whatever their ids, null ones too; rows of the same id and text give one result; extra columns are not
@@ -378,8 +378,9 @@ def _searcher(docs: DataFrame, units: DataFrame, blocks: range, text_col: str, s
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_words: bool = False, **names: str) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows and columns of the others are as they were. That a text
-    has the words of an item of fewer than ``MIN_ITEM`` words proves no leak; such rows go only with ``few_words``."""
+    """``docs`` without the rows that hold a benchmark item; rows and columns of the others are as they were. That a
+    text has the words of an item of fewer than ``MIN_ITEM`` words proves no leak; such rows go only with
+    ``few_words``."""
     found = search(docs, benchmark, id_col, text_col, **names)
     hit = written((found if few_words else found.where("kind != 'words'")).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct(), "leaks")
     same = F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__k"))

@@ -108,8 +108,8 @@ class _Open:
                 pass
 
     def imply(self, kind: str) -> None:
-        """The end tags that a start tag implies: those of all its kind up to the boundary if these are table cells, rows or
-        options, else of the nearest."""
+        """The end tags that a start tag implies: those of all its kind up to the boundary if these are table cells,
+        rows or options, else of the nearest."""
         left = self.held[kind][-1]
         while left:
             tag = self.pop()
@@ -119,10 +119,10 @@ class _Open:
 
 def parse(page: str) -> Node:
     """The element tree. End tags without a start are ignored, open elements end with an ancestor, and the start tags
-    in ``CLOSES`` and ``P_CLOSERS`` imply the end tags that HTML lets an author leave out; rows and cells outside of a
-    table body or row are taken as they come. A tag ends at the first ``>`` outside of quotes; from the first tag on for which
-    there is none, quotes count for nothing. Time is in proportion to the page, whatever it holds: what is not found once is not
-    looked for again."""
+    in ``CLOSES`` and ``P_CLOSERS`` imply the end tags that HTML lets an author leave out; rows and cells outside of
+    a table body or row are taken as they come. A tag ends at the first ``>`` outside of quotes; from the first tag
+    on for which there is none, quotes count for nothing. Time is in proportion to the page, whatever it holds: what
+    is not found once is not looked for again."""
     root = Node("html", {})
     opened = _Open(root)
     stack = opened.stack
@@ -275,9 +275,9 @@ def _span(node: Node, name: str, most: int) -> int:
 
 
 def aligned(rows: list[list[tuple[int, list[str], int]]]) -> list[str]:
-    """Lines of a table: each row is its cells as (column, lines, columns spanned); columns start at the same place in all
-    rows, as far as their cells are not wider than ``MAX_PAD``. Cells that span columns do not widen them; columns from
-    ``MAX_COLUMNS`` on follow two spaces after the one before."""
+    """Lines of a table: each row is its cells as (column, lines, columns spanned); columns start at the same place
+    in all rows, as far as their cells are not wider than ``MAX_PAD``. Cells that span columns do not widen them;
+    columns from ``MAX_COLUMNS`` on follow two spaces after the one before."""
     width: dict[int, int] = {}
     for row in rows:
         for c, lines, wide in row:
@@ -302,8 +302,8 @@ def aligned(rows: list[list[tuple[int, list[str], int]]]) -> list[str]:
 
 
 class _Table:
-    """Rows of cells (column, lines, columns spanned). Of the first ``MAX_COLUMNS`` columns it knows the row up to which a
-    cell of an earlier row reaches down; a cell takes the next free column."""
+    """Rows of cells (column, lines, columns spanned). Of the first ``MAX_COLUMNS`` columns it knows the row up to
+    which a cell of an earlier row reaches down; a cell takes the next free column."""
 
     def __init__(self):
         self.rows: list[list] = []
@@ -329,8 +329,8 @@ class _Table:
 
 
 def render(page: str) -> str:
-    """All visible text of a page. Iterative, so that deep nesting is no limit; blocks nested deeper than ``MAX_FLOWS`` are
-    shown in the block around them."""
+    """All visible text of a page. Iterative, so that deep nesting is no limit; blocks nested deeper than
+    ``MAX_FLOWS`` are shown in the block around them."""
     flows, lists, tables, pre = [Flow()], [], [], 0
     work: list[tuple] = [("in", parse(page))]
     while work:
@@ -407,10 +407,10 @@ def _mark(lists: list) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id and text, the rendered visible text, for each row of ``pages``. A null or empty page has an empty text;
-    text outside of any tag is visible; whatever is no tag is text. A very long page is rendered whole, in time in proportion to its
-    length. Rows are rendered one by one, without a shuffle: repeated rows and ids stay, a null id is kept, no rows give
-    no rows, and other columns are not read."""
+    """page_id and text, the rendered visible text, for each row of ``pages``. A null or empty page has an empty
+    text; text outside of any tag is visible; whatever is no tag is text. A very long page is rendered whole, in time
+    in proportion to its length. Rows are rendered one by one, without a shuffle: repeated rows and ids stay, a null
+    id is kept, no rows give no rows, and other columns are not read."""
 
     def run(batches):
         for batch in batches:

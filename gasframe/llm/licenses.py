@@ -47,16 +47,17 @@ def _places(phrases, templates, k: int) -> list[tuple]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, k: int = K, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_words, places (sorted array of structs (start, end, label) of the phrases)
-    and found (array of structs (label, start, end, coverage) of verified template occurrences), in words.
+    """A row per row of ``docs``: doc_id, n_words, places (sorted array of structs (start, end, label) of the
+    phrases) and found (array of structs (label, start, end, coverage) of verified template occurrences), in words.
 
-    All word k-grams of all texts are joined, by hash and then by their words, to the places of the templates, a table
-    as large as the templates given; it is broadcast if that is not more than ``BROADCAST_BYTES``. A match votes for its diagonal (word position less
-    template place). A diagonal with all k-grams of a phrase is a place of the phrase. Neighbouring diagonals of a
-    template are merged, and an occurrence is verified by the share of the template's k-grams that it holds. What is
-    gathered is bounded by a document's own matches; a very long text is scanned whole. Templates that tie give a span
-    each. A null text counts as empty; rows are known by id and text, whatever the order in which they come, and repeated rows give
-    repeated rows; a null id is kept; other columns are not read; no rows give no rows.
+    All word k-grams of all texts are joined, by hash and then by their words, to the places of the templates, a
+    table as large as the templates given; it is broadcast if that is not more than ``BROADCAST_BYTES``. A match
+    votes for its diagonal (word position less template place). A diagonal with all k-grams of a phrase is a place of
+    the phrase. Neighbouring diagonals of a template are merged, and an occurrence is verified by the share of the
+    template's k-grams that it holds. What is gathered is bounded by a document's own matches; a very long text is
+    scanned whole. Templates that tie give a span each. A null text counts as empty; rows are known by id and text,
+    whatever the order in which they come, and repeated rows give repeated rows; a null id is kept; other columns are
+    not read; no rows give no rows.
     """
     spark = docs.sparkSession
     schema = "t int, label string, exact boolean, grams int, place int, tgram string"

@@ -64,11 +64,11 @@ def byte_bpe(path: str) -> ByteBpe:
 class Packer:
     """Packs pieces as they come. A piece is (length, arrival, doc, start, ids, doc_tokens).
 
-    Documents give whole windows of the longest tier; what is left of one waits in the smallest tier that holds it. Once
-    more than ``waiting`` pieces wait in a tier, its longest opens a window there. The gap of the window takes the longest
-    waiting pieces that fit, which are of shorter tiers; if none fits, the longest piece of the nearest shorter tier
-    with any is cut to fill it. So every window is full. At the end the waiting pieces are packed alike, longest tier
-    first; the tokens that fill no window any more, less than one, are cut at powers of two.
+    Documents give whole windows of the longest tier; what is left of one waits in the smallest tier that holds it.
+    Once more than ``waiting`` pieces wait in a tier, its longest opens a window there. The gap of the window takes
+    the longest waiting pieces that fit, which are of shorter tiers; if none fits, the longest piece of the nearest
+    shorter tier with any is cut to fill it. So every window is full. At the end the waiting pieces are packed alike,
+    longest tier first; the tokens that fill no window any more, less than one, are cut at powers of two.
     """
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, waiting: int = WAITING):
@@ -163,16 +163,17 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", eos: int = 1, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, and ids
-    with ``with_ids``.
-
-    A document is its token ids and then ``eos``; a null text counts as empty, so that its one token is ``eos``. Every
-    id lies in exactly one piece, pieces of a sequence follow each other without gaps, and the length of a sequence is
-    a power of two, never above the last tier. Each partition is packed on its own as it streams by: ``sequence_id`` and
-    ``step_group`` hold the partition's number in their upper bits, and memory holds a bounded number of waiting pieces.
-    A task that runs again over the same rows in the same order, as tables in files give them, gives the same pieces; write
-    the result of a shuffle before packing it. Repeated rows and ids are packed like others, a null id is kept; no rows
-    give no rows; a very long text fills sequences of its own; other columns are not read.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, and
+    ids with ``with_ids``.
+
+    A document is its token ids and then ``eos``; a null text counts as empty, so that its one token is ``eos``.
+    Every id lies in exactly one piece, pieces of a sequence follow each other without gaps, and the length of a
+    sequence is a power of two, never above the last tier. Each partition is packed on its own as it streams by:
+    ``sequence_id`` and ``step_group`` hold the partition's number in their upper bits, and memory holds a bounded
+    number of waiting pieces. A task that runs again over the same rows in the same order, as tables in files give
+    them, gives the same pieces; write the result of a shuffle before packing it. Repeated rows and ids are packed
+    like others, a null id is kept; no rows give no rows; a very long text fills sequences of its own; other columns
+    are not read.
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")

@@ -136,17 +136,18 @@ def _protected(hit: DataFrame, min_texts: int) -> DataFrame:
 
 
 def disclosing_terms(mentions: DataFrame, terms: DataFrame, docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, max_chance: float = MAX_CHANCE) -> DataFrame:
-    """(entity, term, disclosure): how much of an entity's information a term gives away, where it is ``threshold`` or
-    more.
-
-    ``mentions`` has a row (doc, key, entity, n_e) per entity of a document, ``terms`` a row (doc, key, term) per term of
-    a document that mentions any. Probabilities are document frequencies over all of ``docs``: an entity's information
-    is log(N / n(e)), the point-wise mutual information log(N n(e,t) / (n(e) n(t))), and disclosure their quotient, 1 if
-    the term occurs in documents of the entity only. A pair counts if ``min_texts`` (one or two) different texts show it,
-    so that the rare words of one text and its copies do not count, and if chance would bring entity and term together
-    as often with probability ``max_chance`` at most (a bound of the Poisson tail). An entity that all documents mention
-    has no information to give away. A term meets an entity in as many documents at most as it meets any, and as mention
-    the entity; that bounds disclosure from above, and pairs whose bound is too low are never made.
+    """(entity, term, disclosure): how much of an entity's information a term gives away, where it is ``threshold``
+    or more.
+
+    ``mentions`` has a row (doc, key, entity, n_e) per entity of a document, ``terms`` a row (doc, key, term) per
+    term of a document that mentions any. Probabilities are document frequencies over all of ``docs``: an entity's
+    information is log(N / n(e)), the point-wise mutual information log(N n(e,t) / (n(e) n(t))), and disclosure their
+    quotient, 1 if the term occurs in documents of the entity only. A pair counts if ``min_texts`` (one or two)
+    different texts show it, so that the rare words of one text and its copies do not count, and if chance would
+    bring entity and term together as often with probability ``max_chance`` at most (a bound of the Poisson tail). An
+    entity that all documents mention has no information to give away. A term meets an entity in as many documents at
+    most as it meets any, and as mention the entity; that bounds disclosure from above, and pairs whose bound is too
+    low are never made.
     """
     total = F.lit(float(docs.count()))
     info = F.log2(total / F.col("n_e"))
@@ -199,8 +200,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
 
 def sanitised(text: Column, spans: Column, labels: dict = LABELS) -> Column:
-    """``text`` with each span replaced by its kind's label. Of spans that overlap, the first stands; the part of a later
-    one that reaches beyond it goes with it."""
+    """``text`` with each span replaced by its kind's label. Of spans that overlap, the first stands; the part of a
+    later one that reaches beyond it goes with it."""
     label = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(v)) for k, v in labels.items()))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), label(s))).alias("out"))

@@ -103,12 +103,13 @@ def links(fps: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
 
     Cut into two 32-bit segments, two fingerprints within two bits have a segment that differs by one bit at most, so
     that they share one of its one-wildcard variants. Variants are matched by equality: a count, a minimum, a maximum
-    and an exclusive-or of each bucket name the members of buckets of two and three, larger ones list theirs, and the pairs of a bucket are
-    verified. A bucket of more than ``crowd`` members is split before its members are listed: to the shared variant of one segment comes
-    a one-bit variant of both, a fingerprint itself or with one bit turned. Two fingerprints within two bits share such a
-    variant, and no more than 65 can, so that no bucket's pairs grow with its square; each of these
-    links its fingerprints to the smallest. For ``distance`` 1, only variants that are fingerprints themselves link. By chance a key
-    holds as many as it has fingerprints in 2 ** 31, 5 at 10 ** 10 documents, so that only crowds of near copies are split.
+    and an exclusive-or of each bucket name the members of buckets of two and three, larger ones list theirs, and the
+    pairs of a bucket are verified. A bucket of more than ``crowd`` members is split before its members are listed:
+    to the shared variant of one segment comes a one-bit variant of both, a fingerprint itself or with one bit
+    turned. Two fingerprints within two bits share such a variant, and no more than 65 can, so that no bucket's pairs
+    grow with its square; each of these links its fingerprints to the smallest. For ``distance`` 1, only variants
+    that are fingerprints themselves link. By chance a key holds as many as it has fingerprints in 2 ** 31, 5 at 10
+    ** 10 documents, so that only crowds of near copies are split.
     """
     if not 0 < distance <= 2:
         raise ValueError("distance must be 1 or 2")
@@ -146,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _grouped(fps: DataFrame, heads: DataFrame, components: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of ``fps`` (doc_id, fp), with the ``components`` (node, root) of linked ones."""
+    """doc_id, fingerprint and component_id of ``fps`` (doc_id, fp), with the ``components`` (node, root) of linked
+    ones."""
     roots = written(components, "roots")
     linked = heads.join(roots, heads.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = written(linked, "linked")
@@ -156,12 +158,12 @@ def _grouped(fps: DataFrame, heads: DataFrame, components: DataFrame) -> DataFra
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As ``near_duplicates``, with documents linked whose sets of k-word shingles have that Jaccard similarity or more
-    (0.8 at least; below, the bands propose fewer of the pairs).
+    """As ``near_duplicates``, with documents linked whose sets of k-word shingles have that Jaccard similarity or
+    more (0.8 at least; below, the bands propose fewer of the pairs).
 
-    Equal sets are one node. Sets that share a band of minima are compared by their shingles: first each bucket's members
-    with its smallest, then, in buckets that are not yet one component, all pairs of different components, so that the
-    components are those of all proposed pairs and a bucket of near copies costs as much as it has members.
+    Equal sets are one node. Sets that share a band of minima are compared by their shingles: first each bucket's
+    members with its smallest, then, in buckets that are not yet one component, all pairs of different components, so
+    that the components are those of all proposed pairs and a bucket of near copies costs as much as it has members.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -38,13 +38,14 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """(doc_id, key, lost): the numbers of the sentences that lie in a span that is not the first of its kind, for each
-    document with any; key is a hash of the text.
+    """(doc_id, key, lost): the numbers of the sentences that lie in a span that is not the first of its kind, for
+    each document with any; key is a hash of the text.
 
     The first of equal spans is the one of the smallest (id, text hash, place), a null id before any other; so of two
-    texts under one id, or without one, the later loses what both have. Rows that share id and text are one document. Spans
-    are hashed once and matched over the whole corpus by 96 bits: a count and a smallest place per span, with map-side
-    partial sums, then an equality join of the spans with those that occur twice or more, of which only the places that are lost go on.
+    texts under one id, or without one, the later loses what both have. Rows that share id and text are one document.
+    Spans are hashed once and matched over the whole corpus by 96 bits: a count and a smallest place per span, with
+    map-side partial sums, then an equality join of the spans with those that occur twice or more, of which only the
+    places that are lost go on.
     """
     spans = written(_spans(docs, id_col, text_col, span), "spans")
     place = F.struct("doc_id", "key", "at")

@@ -62,11 +62,11 @@ class PieceModel:
     def merge_counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token.
 
-        Two neighbouring characters that no piece holds side by side are never merged across; there, a pre-token is cut into
-        sequences. In each round every sequence applies its own lowest-rank pair, at all its places at once, from the
-        left and without overlap. That is what merging one by one comes to, unless a merge makes a new pair of that rank
-        or a lower one, which goes before the places to its right; such a sequence's round is made from left to right.
-        So a sequence takes as many rounds as it merges different pairs, whatever its length.
+        Two neighbouring characters that no piece holds side by side are never merged across; there, a pre-token is
+        cut into sequences. In each round every sequence applies its own lowest-rank pair, at all its places at once,
+        from the left and without overlap. That is what merging one by one comes to, unless a merge makes a new pair
+        of that rank or a lower one, which goes before the places to its right; such a sequence's round is made from
+        left to right. So a sequence takes as many rounds as it merges different pairs, whatever its length.
         """
         out = np.zeros(len(words), np.int64)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -130,8 +130,8 @@ class PieceModel:
         return out
 
     def _round(self, sym: list[int], rank: int) -> list[int]:
-        """A sequence after a round at ``rank``, its lowest: each merge is followed at once by those of new pairs beside it
-        that do not rank behind it."""
+        """A sequence after a round at ``rank``, its lowest: each merge is followed at once by those of new pairs
+        beside it that do not rank behind it."""
         out, i, n, none = [], 0, len(sym), (_NONE, -1)
         pair = lambda a, b: self.pairs.get(a * self.width + b, none)
         while i < n:
