@@ -90,9 +90,9 @@ FIXED_STEPS = {"pagerank": 16, "ar": 10}
 def pagerank_fixed_point(graph: Graph, steps: int = 200, tolerance: int = 1, scale_bits: int = 30) -> DataFrame:
     """(id, contribution): page rank in integers, as what a node sends along each of its edges, scaled by 2^30.
 
-    A node's score is its share of 15 % of the scale plus 108/128 of the contributions it receives; it sends the score by
-    a 16-bit reciprocal of its out-degree, and nothing without an outgoing edge. The run ends after ``steps``, or when no
-    contribution moves by more than ``tolerance``.
+    A node's score is its share of 15 % of the scale plus 108/128 of the contributions it receives; it sends the
+    score by a 16-bit reciprocal of its out-degree, and nothing without an outgoing edge. The run ends after
+    ``steps``, or when no contribution moves by more than ``tolerance``.
     """
     from pyspark.sql import Observation
 

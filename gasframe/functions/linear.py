@@ -31,8 +31,8 @@ def eliminated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def solve_batch(rows: pd.Series, cols: pd.Series, data: pd.Series, right: pd.Series) -> pd.Series:
-    """Solutions of (A + RIDGE I) x = b, stacked by size. A singular system is solved with its least pivots. A system that is not square, or does not fit its right side,
-    is an error; a row without a matrix has no solution."""
+    """Solutions of (A + RIDGE I) x = b, stacked by size. A singular system is solved with its least pivots. A system
+    that is not square, or does not fit its right side, is an error; a row without a matrix has no solution."""
     out: list = [None] * len(right)
     sizes: dict[int, list[int]] = {}
     for i, (r, c, a, b) in enumerate(zip(rows, cols, data, right)):

@@ -86,8 +86,8 @@ def _apply_member(step: Superstep):
 
 
 def _sent(step: Superstep, compiler: Compiler) -> Typed:
-    """The value that goes along an edge. Where it is an outer product or a scaled vector that is only summed, its factors
-    go instead (kinds ``outer`` and ``scaled``), so that no matrix is built for an edge."""
+    """The value that goes along an edge. Where it is an outer product or a scaled vector that is only summed, its
+    factors go instead (kinds ``outer`` and ``scaled``), so that no matrix is built for an edge."""
 
     def part(kind: tuple, e) -> Typed:
         if isinstance(e, Call) and len(e.args) == 2 and (kind[0], e.name) in (("matrix_sum", "outer_product"), ("vector_sum", "vector_scale")):
@@ -111,8 +111,8 @@ GAP_BLOCK = 1024
 
 
 def _least_gap(step: Superstep) -> Superstep | None:
-    """For a program that unites one-element sets and asks for nothing but their least gap, the step whose gathered value is
-    that gap: no node's set is ever held in one place."""
+    """For a program that unites one-element sets and asks for nothing but their least gap, the step whose gathered
+    value is that gap: no node's set is ever held in one place."""
     if classify(step.reducer)[0] != "union" or step.apply is None or not (isinstance(step.value, Call) and step.value.name == "make_set" and len(step.value.args) == 1):
         return None
     name = step.apply.params[0]
@@ -129,8 +129,8 @@ def _least_gap(step: Superstep) -> Superstep | None:
 
 
 def _gaps(messages: DataFrame) -> DataFrame:
-    """(k, g): the least number from zero on that no message of a key has. Numbers go in blocks of ``GAP_BLOCK``, by key and
-    block; a full block says so, and any other names its own least gap."""
+    """(k, g): the least number from zero on that no message of a key has. Numbers go in blocks of ``GAP_BLOCK``, by
+    key and block; a full block says so, and any other names its own least gap."""
     x = F.col("v")[0]
     low = F.col("b") * GAP_BLOCK
     blocks = messages.groupBy("k", F.floor(x / F.lit(GAP_BLOCK)).alias("b")).agg(F.collect_set(x).alias("xs"))
@@ -368,8 +368,8 @@ class Until:
     """When a run ends, and how a new value meets the old.
 
     mode: "equality" (nothing changes), "improve" (nothing improves, the same test), "delta" (no value moves by
-    ``threshold`` or more), "newly_discovered" (no value that was ``unreached`` has a bit of ``active_mask``), or "fixed"
-    (never before the limit). update: "overwrite", "min" or "max". Nodes without a message keep their values.
+    ``threshold`` or more), "newly_discovered" (no value that was ``unreached`` has a bit of ``active_mask``), or
+    "fixed" (never before the limit). update: "overwrite", "min" or "max". Nodes without a message keep their values.
     """
 
     mode: str = "equality"

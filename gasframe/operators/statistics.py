@@ -18,8 +18,8 @@ def degrees(graph: Graph) -> DataFrame:
 
 
 def _histogram(d: DataFrame, col: str) -> DataFrame:
-    """(v, n, upto): how many nodes have degree v, and how many v or less. Its rows are different degrees, a small set of
-    which one window can hold the running count."""
+    """(v, n, upto): how many nodes have degree v, and how many v or less. Its rows are different degrees, a small
+    set of which one window can hold the running count."""
     counts = d.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
     return counts.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
 

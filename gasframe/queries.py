@@ -77,7 +77,8 @@ def _long(v: int):
 
 
 def _runner(graph: Callable, program: str, prop: str, steps: int | None, first: Callable, degree: bool = False, finish: Callable | None = None, no_message: object = "current") -> Callable:
-    """A query that runs a program: exactly ``steps`` supersteps, or to the fixpoint, for which there are ``DEFAULT_STEPS``."""
+    """A query that runs a program: exactly ``steps`` supersteps, or to the fixpoint, for which there are
+    ``DEFAULT_STEPS``."""
 
     def started(g: Graph) -> Graph:
         return _start(_with_degree(g) if degree else g, **{prop: first()})
@@ -95,8 +96,8 @@ def _far_from_zero():
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> Graph:
-    """Vectors of 16 floats, each the sums of all embedding values sixteen places apart; each is linked from five others, with
-    ratings from ids."""
+    """Vectors of 16 floats, each the sums of all embedding values sixteen places apart; each is linked from five
+    others, with ratings from ids."""
     whole = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.aggregate(F.filter(F.col("embedding"), lambda x, j: j % 16 == i), F.lit(0.0), lambda a, x: a + x.cast("double")))
     v = written(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), whole.alias("vec")), "vectors")
     n = v.agg(F.count("*").alias("n"))
@@ -143,8 +144,8 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_trip(kind: str) -> Callable:
-    """Edges written to a graph file and read back: an edge list of all purchases, or nations and regions in the formats of
-    one document."""
+    """Edges written to a graph file and read back: an edge list of all purchases, or nations and regions in the
+    formats of one document."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_dir(spark)}/trip-{uuid.uuid4().hex}.{kind}"

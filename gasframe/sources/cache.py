@@ -26,8 +26,8 @@ def file_key(spark: SparkSession, path: str) -> str:
 
 
 def cached_statistics(spark: SparkSession, path: str, folder: str) -> DataFrame:
-    """``statistics`` of the graph file at ``path``, from ``folder`` if they lie there, and else computed and written to it.
-    A file that has changed has another key."""
+    """``statistics`` of the graph file at ``path``, from ``folder`` if they lie there, and else computed and written
+    to it. A file that has changed has another key."""
     at = f"{folder.rstrip('/')}/{file_key(spark, path)}.parquet"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):

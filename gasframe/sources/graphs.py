@@ -79,8 +79,8 @@ def _fields(lines: DataFrame) -> DataFrame:
 
 
 def read_edge_list(spark: SparkSession, path: str, properties: tuple[str, ...] = ("weight",), default: int | None = None) -> DataFrame:
-    """(eid, src, dst, properties...) of lines ``src dst [property ...]``. Blank lines, lines that start with # or %, and
-    lines without two integers are passed over; a property that is missing or no integer is ``default``."""
+    """(eid, src, dst, properties...) of lines ``src dst [property ...]``. Blank lines, lines that start with # or %,
+    and lines without two integers are passed over; a property that is missing or no integer is ``default``."""
     lines = _lines(spark, path).where("line != '' AND NOT line RLIKE '^[#%]'")
     held = [F.coalesce(F.get("f", F.lit(2 + i)).try_cast("bigint"), F.lit(default).cast("bigint")).alias(p) for i, p in enumerate(properties)]
     return _fields(lines).where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("at").alias("eid"), "src", "dst", *held)
@@ -99,8 +99,8 @@ def read_host_graph(spark: SparkSession, path: str, properties: tuple[str, ...]
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(eid, src, dst, weight) of a Matrix Market coordinate file, rebased to zero.
 
-    After a ``%%`` header the first line of data is the size and no edge; without a header it is an edge. The last header
-    says whether weights are left out (``pattern``); others are integers, or decimals cut to integers.
+    After a ``%%`` header the first line of data is the size and no edge; without a header it is an edge. The last
+    header says whether weights are left out (``pattern``); others are integers, or decimals cut to integers.
     """
     lines = _lines(spark, path).where("line != ''")
     heads = lines.where("line LIKE '\\%\\%%'").agg(F.count("*").alias("heads"), F.max_by(F.lower("line").contains("pattern"), F.col("at")).alias("pattern"))
@@ -135,8 +135,8 @@ def rebased(edges: DataFrame, rebase: str = "auto") -> DataFrame:
 
 
 def with_defaults(edges: DataFrame, app: str, dense_ids: bool = False) -> Graph:
-    """A graph for a built-in program from (eid, src, dst, weight): nodes are the endpoints (with ``dense_ids`` all ids up
-    to the largest), with the program's first values."""
+    """A graph for a built-in program from (eid, src, dst, weight): nodes are the endpoints (with ``dense_ids`` all
+    ids up to the largest), with the program's first values."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     if dense_ids:
         top = ends.agg(F.max("id")).first()[0]

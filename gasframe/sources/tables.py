@@ -49,9 +49,9 @@ def _dataset(c: Column) -> Column:
 
 
 def read_throughput(spark: SparkSession, path: str | list[str], layout: str) -> DataFrame:
-    """(dataset, algorithm, throughput_mteps) of baseline files. Layout "variant" has the columns dataset, variant and
-    total_mteps, and rows of unknown variants are dropped; layout "mode" has Dataset, APP_MODE and MTEPS, and failed rows
-    are dropped."""
+    """(dataset, algorithm, throughput_mteps) of baseline files. Layout "variant" has the columns dataset, variant
+    and total_mteps, and rows of unknown variants are dropped; layout "mode" has Dataset, APP_MODE and MTEPS, and
+    failed rows are dropped."""
     raw = spark.read.csv(path, header=True)
     if layout == "variant":
         head = F.lower(F.split("variant", "_")[0])

@@ -17,8 +17,9 @@ MOST_PARTS = 64
 class Incremental:
     """Re-converges from the last state after each micro-batch of edges.
 
-    For programs whose reducer only ever moves a property one way (minimum, maximum, or, union) and whose apply keeps the
-    node's own value, the fixpoint from the old state with the new edges is that of the whole graph from the start.
+    For programs whose reducer only ever moves a property one way (minimum, maximum, or, union) and whose apply keeps
+    the node's own value, the fixpoint from the old state with the new edges is that of the whole graph from the
+    start.
     """
 
     def __init__(self, program: str, graph: Graph, first, limit: int = 64):
@@ -41,8 +42,9 @@ class Incremental:
         return out
 
     def add(self, batch: DataFrame, batch_id: int = 0) -> None:
-        """Take in edges (eid, src, dst, properties...); ``first`` gives new nodes their property as a column over id.
-        Fits ``foreachBatch``. A batch is appended; once ``MOST_PARTS`` batches lie side by side, they become one table."""
+        """Take in edges (eid, src, dst, properties...); ``first`` gives new nodes their property as a column over
+        id. Fits ``foreachBatch``. A batch is appended; once ``MOST_PARTS`` batches lie side by side, they become one
+        table."""
         ends = batch.select(F.col("src").alias("id")).union(batch.select("dst")).distinct()
         fresh = ends.join(self.nodes, "id", "left_anti").withColumn(self.target, self.first)
         self.parts.append(written(batch.select(*self.columns), "stream-edges"))
