@@ -1,6 +1,7 @@
 """Contracts with a value for every document: fingerprints, tokens, packing, licences, quality, personal data."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -58,8 +59,8 @@ def components(prints, distance=2):
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("distance", [1, 2])
-def test_links_are_whole_in_crowded_buckets(spark, distance):
+@pytest.mark.parametrize("distance,crowd", [(1, 64), (2, 64), (1, 6), (2, 6)])
+def test_links_are_whole_in_crowded_buckets(spark, distance, crowd):
     rng = random.Random(5)
     centre = rng.getrandbits(64)
     prints = {centre, 0, 2**64 - 1, 1 << 63, 1}
@@ -73,7 +74,7 @@ def test_links_are_whole_in_crowded_buckets(spark, distance):
     prints = sorted(prints)
     signed = [p - 2**64 if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    roots = {r.node: r.root for r in common.connected_components(simhash.links(df, distance)).collect()}
+    roots = {r.node: r.root for r in common.connected_components(simhash.links(df, distance, crowd)).collect()}
     groups = collections.defaultdict(set)
     for s in signed:
         groups[roots.get(s, s)].add(s)
@@ -140,7 +141,9 @@ def test_token_counts(spark, hard, empty, sp):
     got = collections.Counter(tuple(r) for r in token_counts.count_tokens(hard, SP).collect())
     want = collections.Counter((d, len(t.encode()), n := len(sp.encode(t)), n > 4096) for d, t in text_of(hard))
     assert got == want and token_counts.count_tokens(empty, SP).count() == 0
-    long = ["the" * 2000, " " * 999, "日本" * 700]
+    rng = random.Random(1)
+    soup = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    long = ["the" * 20000, " " * 9999, "日本" * 7000, "a" * 60001, "ab" * 9000 + "abc" * 900, soup("etaoin", 20000), soup("0123456789abcdef", 20000), soup("abcdefghijklmnopqrstuvwxyz", 20000), soup(["in", "the", "tion", " "], 9000), soup("日本中国人é", 9000)]
     assert token_counts.piece_model(SP).count_batch(long) == [len(sp.encode(t)) for t in long]
 
 
@@ -240,7 +243,42 @@ def test_quality(spark, hard, empty):
     junk = [" ".join(f"{rng.choice('#%&*$')}{rng.randint(0, 99999)}{rng.choice('#%&*$|<>')}" for _ in range(300)) for _ in range(3)]
     out = {r.doc_id: r.kept for r in quality.quality(table(spark, good + junk)).select("row.doc_id", "kept").collect()}
     assert all(out[i] for i in range(40)) and not any(out[40 + i] for i in range(3))
-    assert all(r.kept for r in quality.quality(table(spark, good, lang="xx")).select("kept").collect())
+    for lang in ("EN", "en-GB", "xx", None):
+        for some in (good + junk, good[:1] + junk[:1]):
+            other = {r.doc_id: r for r in quality.quality(table(spark, some, lang=lang)).select("row.doc_id", "kept", "word_distance").collect()}
+            assert [other[i].kept for i in range(len(some))] == [t in good for t in some], "a verdict depends on the document alone"
+            assert all((r.word_distance is None) == (lang in ("xx", None)) for r in other.values())
+
+
+def brute_distance(p, q):
+    p, q = [x / max(sum(p), 1e-9) for x in p], [x / sum(q) for x in q]
+    side = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+    return math.sqrt(max((side(p, q) + side(q, p)) / 2, 0))
+
+
+def test_distances_of_histograms(spark):
+    import unicodedata
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for r in quality.quality(docs).select("row.text", "row.lang", "q.n_words", "class_distance", "word_distance").collect():
+        if not r.n_words:
+            continue
+        held = [0] * 6
+        for c in r.text:
+            kind = unicodedata.category(c)
+            held[0 if kind == "Ll" else 1 if kind == "Lu" else 2 if kind == "Nd" else 3 if c in ".,;:!?'\"()-" else 4 if c in " \t\n\x0b\f\r" else 5] += 1
+        words = [w.rstrip(".,;:!?").lower() for w in WORD.findall(r.text)]
+        commons = [words.count(w) for w in quality.COMMON_WORDS[r.lang]]
+        shares = quality.WORD_SHARES[r.lang]
+        assert r.class_distance == pytest.approx(brute_distance(held, quality.CLASS_SHARES[r.lang]), abs=1e-6)
+        assert r.word_distance == pytest.approx(brute_distance([*commons, len(words) - sum(commons)], [*shares, 1 - sum(shares)]), abs=1e-6)
+
+
+def test_references_can_be_fitted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = quality.fit_references(docs)
+    assert set(found.classes) == set(quality.CLASS_SHARES) and 0.5 < sum(found.classes["en"]) <= 1.01
+    assert quality.quality(docs, references=found).where("kept").count() > 0
 
 
 def luhn(d):
@@ -287,6 +325,51 @@ def test_disclosing_terms_and_rewriting(spark):
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and mail not in clean[0] and clean[64] == "call [PHONE] or [IP]" and clean[65] is None and clean[10] == texts[10]
 
 
+def brute_disclosure(rows):
+    """The added spans of different (id, text) rows, entity by entity and term by term, as the docstrings have it."""
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    term = re.compile(r"[^\W\d_]{3,}")
+    n, documents, mentions = len(rows), collections.Counter(), collections.defaultdict(set)
+    free, df = [], collections.Counter()
+    for at, (_, text) in enumerate(rows):
+        df.update({w.lower() for w in term.findall(text)})
+        spans = [x.split(":") for x in brute_pii(text).split(",") if x]
+        spans = [(kind, int(a), int(b)) for kind, a, b in spans]
+        for kind, a, b in spans:
+            v = text[a:b].lower()
+            group = {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:3]), "card": digits(v)[:6], "phone": digits(v)[:-4]}[kind]
+            for e in (f"{kind}:{digits(v) if kind in ('card', 'phone') else v}", f"{kind}/{group}", kind):
+                mentions[e].add(at)
+        free.append([(m[0].lower(), m.start(), m.end()) for m in term.finditer(text) if spans and not any(a < m.end() and m.start() < b for _, a, b in spans)])
+    most = collections.defaultdict(float)
+    for e, held in mentions.items():
+        n_e, joint = len(held), collections.defaultdict(set)
+        for at in held:
+            for w in {w for w, _, _ in free[at]}:
+                joint[w].add(at)
+        for w, both in joint.items():
+            if len({rows[at][1] for at in both}) < 2 or n_e == n:
+                continue
+            disclosure = min(1.0, math.log2(n * len(both) / (n_e * df[w])) / math.log2(n / n_e))
+            if disclosure >= pii.GENERALISE and (math.e * n_e * df[w] / (n * len(both))) ** len(both) <= pii.MAX_CHANCE:
+                for at in held:
+                    most[at, w] = max(most[at, w], disclosure)
+    return {row: sorted((a, b, "drop" if most[at, w] >= pii.REMOVE else "term") for w, a, b in free[at] if (at, w) in most) for at, row in enumerate(rows)}
+
+
+def test_disclosure_is_that_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = ["zanzibar", "Quillon", "harbour", "obsidian", "velvet"]
+    rng, extra = random.Random(17), []
+    for i in range(60):
+        own = [names[i % 5]] if rng.random() < 0.8 else []
+        extra.append((5000 + i, f"note {i} {' '.join(own)} {rng.choice(names)} " + rng.choice([f"to a{i % 3}@firm{i % 5}.example", f"call +1 (20{i % 5}) 555-10{i:02d}", f"host 10.{i % 4}.0.{i}", "nobody"])))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = brute_disclosure([(r.doc_id, r.text or "") for r in df.collect()])
+    got = {(r.doc_id, r.text): sorted((x.start, x.end, x.kind) for x in r.spans if x.kind in ("term", "drop")) for r in pii.find(df, carry=True).select("doc_id", "text", "spans").collect()}
+    assert got == want and sum(map(len, want.values())) > 60 and {k for x in want.values() for *_, k in x} == {"term", "drop"}
+
+
 def test_disclosing_terms_far_from_the_mention(spark):
     mail, gap = "keeper@light.example", "the harbour in winter was calm and grey all day long " * 8
     texts = [f"Zanzibar {i} {gap} wrote to {mail} about zanzibar, then {gap} ZANZIBAR" for i in range(4)] + [f"{gap} wrote to nobody about then {i}" for i in range(60)]
