@@ -182,6 +182,14 @@ def results(nodes: DataFrame, prop: str) -> DataFrame:
     return nodes.select("id", text.alias("value")).orderBy("id")
 
 
+def write_results_json(nodes: DataFrame, prop: str, path: str) -> None:
+    """A property of every node as one JSON object by id, for results that are exchanged by file; it is gathered in one
+    place by its format, and large results go to Parquet."""
+    pair = F.struct("id", F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.col("value")).alias("text"))
+    whole = results(nodes, prop).agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["text"]), ",").alias("body"))
+    whole.select(F.concat(F.lit("{"), "body", F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_graph_json(graph: Graph, path: str) -> None:
     """A graph as one JSON document, for graphs that are exchanged by file; large ones go to ``write_graph_parquet``."""
     record = lambda df, keys: df.select(F.struct(*keys, F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, "eid"))).alias("properties")).alias("r"))

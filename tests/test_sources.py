@@ -108,3 +108,15 @@ def test_host_graph_with_properties(spark, tmp_path):
         raise AssertionError
     except EmptyGraph:
         pass
+
+
+def test_results_as_one_object(spark, tmp_path):
+    import json
+
+    from gasframe.sources.graphs import write_results_json
+
+    nodes = spark.createDataFrame([(10, 1.5, [1, 2]), (2, None, [])], "id long, rank double, held array<long>")
+    for prop, want in (("rank", {"2": None, "10": 1.5}), ("held", {"2": [], "10": [1, 2]})):
+        write_results_json(nodes, prop, str(tmp_path / prop))
+        text = "".join(p.read_text() for p in (tmp_path / prop).glob("part-*"))
+        assert json.loads(text) == want and list(json.loads(text)) == ["2", "10"]
