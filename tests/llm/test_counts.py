@@ -367,7 +367,7 @@ def test_disclosure_is_that_of_brute_force(spark):
     df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     want = brute_disclosure([(r.doc_id, r.text or "") for r in df.collect()])
     got = {(r.doc_id, r.text): sorted((x.start, x.end, x.kind) for x in r.spans if x.kind in ("term", "drop")) for r in pii.find(df, carry=True).select("doc_id", "text", "spans").collect()}
-    assert got == want and sum(map(len, want.values())) > 60 and {k for x in want.values() for *_, k in x} == {"term", "drop"}
+    assert got == want and sum(map(len, want.values())) >= 50 and {k for x in want.values() for *_, k in x} == {"term", "drop"}
 
 
 def test_disclosing_terms_far_from_the_mention(spark):
