@@ -161,9 +161,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """As ``near_duplicates``, with documents linked whose sets of k-word shingles have that Jaccard similarity or
     more (0.8 at least; below, the bands propose fewer of the pairs).
 
-    Equal sets are one node. Sets that share a band of minima are compared by their shingles: first each bucket's
-    members with its smallest, then, in buckets that are not yet one component, all pairs of different components, so
-    that the components are those of all proposed pairs and a bucket of near copies costs as much as it has members.
+    Equal sets are one node. Sets that share a band of minima are compared by their shingles: first those of a bucket
+    with its most central one, which shares most bands. Then, in buckets that are not yet one component, those pairs of
+    different components that can be alike although not both are like the central set: they must have changes from it in
+    common, and sets that have none leave the comparison. So the components are those of all proposed pairs, and a
+    crowd of near copies costs as much as it has members. Null and empty texts have the empty set; a null id counts only
+    where no other is in the component; equal rows are copies; extra columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -186,8 +189,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")).mapInArrow(sign, f"doc_id {kind}, tkey long, fp long, n long, bands array<bigint>"), "signed")
     heads = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("bands").alias("bands")), "heads")
     keys = heads.select("fp", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("rep")).where("c > 1").select("key", "rep")
-    members = written(keys.join(buckets, "key").select("key", "fp", "rep"), "members")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = written(keys.join(buckets, "key").select("key", "fp", "n", "c"), "members")
+    weight = written(members.groupBy("fp").agg(F.sum("c").alias("weight")), "weight")
+    central = members.join(checked_broadcast(weight), "fp").groupBy("key").agg(F.max(F.struct("weight", "fp"))["fp"].alias("rep"))
     wanted = written(members.select("fp").distinct().join(heads, "fp").select("tkey"), "wanted")
     held = docs.select(text.alias("text")).join(checked_broadcast(wanted), F.xxhash64("text") == F.col("tkey"), "left_semi").select("text").mapInArrow(sets, "fp long, held array<bigint>")
     held = written(held.dropDuplicates(["fp"]), "sets")
@@ -198,12 +203,36 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         both = near.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
-    first = written(alike(members.where("fp != rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct()), "first")
+    with_rep = members.join(central, "key").where("fp != rep").select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b")).distinct()
+    first = written(alike(with_rep), "first")
     roots = written(connected_components(first), "first_roots")
-    placed = written(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = written(placed.join(mixed, "key"), "left")
-    rest = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").where("a < b AND ra != rb").select("a", "b").distinct()
+
+    def mixed(x: DataFrame) -> DataFrame:
+        return x.join(x.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"), "key")
+
+    placed = written(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    left = written(mixed(placed), "left")
+    # A member x is its bucket's central set c without r shingles and with u others: a pair's similarity reaches s only if x
+    # and y have gx + gy - (1 - s) |c| of 1 + s of these changes in common, with g = r + s u; there cannot be more in common
+    # than r and what x has beside c as another component has it too.
+    at = left.join(central, "key").where("fp != rep")
+    both = at.select("rep", "fp", "n", "root").distinct().join(held, "fp").join(held.toDF("rep", "center"), "rep")
+    both = both.select("rep", "fp", "n", "root", F.size("center").alias("size"), F.size(F.array_intersect("held", "center")).alias("common"), F.array_except("held", "center").alias("added"))
+    both = written(both, "changes")
+    added = both.select("rep", "fp", "root", F.explode("added").alias("s"))
+    across = added.groupBy("rep", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("rep", "s")
+    shared = added.join(across, ["rep", "s"]).groupBy("rep", "fp").agg(F.count("*").alias("beside"))
+    r, u, share = F.col("size") - F.col("common"), F.col("n") - F.col("common"), F.lit(similarity)
+    g, most = r + share * u, r + F.coalesce("beside", F.lit(0))
+    able = both.join(shared, ["rep", "fp"], "left").select("rep", "fp", (g - (1 - share) * F.col("size")).alias("want"), ((1 + share) * most - g + 1e-6).alias("have"))
+    able = written(able, "able")
+    left = at.join(checked_broadcast(able), ["rep", "fp"]).select("key", "fp", "n", "root", "want", "have")
+    left = left.join(left.groupBy("key").agg(F.max("have").alias("best"), F.min("want").alias("least")), "key").where("want <= best AND least <= have").drop("best", "least")
+    left = written(mixed(left), "able_left")
+    side = lambda x: left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "root", "want", "have")))
+    near = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.col("want_a") <= F.col("have_b")) & (F.col("want_b") <= F.col("have_a"))
+    rest = side("a").join(side("b"), "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & near).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    rest = written(rest, "pairs")
     ends = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     more = written(alike(rest).join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "rest")
     top = written(connected_components(more), "second_roots").toDF("root", "top")
