@@ -156,11 +156,12 @@ def disclosing_terms(mentions: DataFrame, terms: DataFrame, docs: DataFrame, tex
     beside = terms.groupBy("term").agg(F.count("*").alias("n_beside"), F.min("key").alias("lo"), F.max("key").alias("hi")).where(several).drop("lo", "hi")
     beside = written(beside, "beside")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    few = checked_broadcast(beside)
-    counted = words if few is beside else words.join(few, "term", "left_semi")
+    hashes = written(beside.select(F.xxhash64("term").alias("h")), "hashes")
+    few = checked_broadcast(hashes)
+    counted = words if few is hashes else words.join(few, F.xxhash64("term") == F.col("h"), "left_semi")
     # Of all entities, one of as many documents as the term meets any in would be disclosed most.
     best = F.log2(total / F.col("n_t")) >= threshold * F.log2(total / F.col("n_beside")) - 1e-9
-    known = written(counted.groupBy("term").agg(F.count("*").alias("n_t")).join(few, "term").where(best), "known")
+    known = written(counted.groupBy("term").agg(F.count("*").alias("n_t")).join(beside, "term").where(best), "known")
     bound = mutual(F.least("n_beside", "n_e")) >= threshold * info - 1e-9
     pairs = terms.join(checked_broadcast(known), "term").join(checked_broadcast(mentions), ["doc", "key"]).where((info > 0) & bound)
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.min("key").alias("lo"), F.max("key").alias("hi")).where(several)
@@ -181,18 +182,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     very long one costs what its matches and its distinct terms cost.
     """
     rows = _rows(docs, id_col, text_col, docs.columns if carry else [])
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hit = _rows(docs, id_col, text_col, []).where(F.size("base") > 0).select("doc", "key", "text", "base")
-    hit = written(hit.repartition(tasks, "doc", "key").distinct(), "hits")
+    hit = written(_rows(docs, id_col, text_col, []).where(F.size("base") > 0).select("doc", "key", "text", "base"), "hits")
+    if not hit.groupBy("doc", "key").count().where("count > 1").isEmpty():
+        hit = written(hit.dropDuplicates(["doc", "key"]), "hits")
     mentions = written(_protected(hit, min_texts), "mentions")
-    named = mentions.select("doc", "key").distinct()
+    named = checked_broadcast(written(mentions.select("doc", "key").distinct(), "mentioning"))
     word = F.array_distinct(F.transform(_terms(F.col("text"), F.col("base")), lambda w: w["term"]))
     terms = written(hit.join(named, ["doc", "key"], "left_semi").select("doc", "key", F.explode(word).alias("term")), "mentioned")
     flagged = written(disclosing_terms(mentions, terms, docs, text_col, min_texts, generalise, max_chance), "flagged")
     some = written(flagged.select("term").distinct(), "some")
     shown = terms.join(checked_broadcast(some), "term").join(checked_broadcast(mentions), ["doc", "key"]).join(checked_broadcast(flagged), ["entity", "term"])
     shown = written(shown.groupBy("doc", "key", "term").agg(F.max("disclosure").alias("disclosure")), "shown")
-    places = hit.join(shown.select("doc", "key").distinct(), ["doc", "key"], "left_semi").select("doc", "key", F.explode(_terms(F.col("text"), F.col("base"))).alias("w")).select("doc", "key", "w.*")
+    changed = checked_broadcast(written(shown.select("doc", "key").distinct(), "changed"))
+    places = hit.join(changed, ["doc", "key"], "left_semi").select("doc", "key", F.explode(_terms(F.col("text"), F.col("base"))).alias("w")).select("doc", "key", "w.*")
     kind = F.when(F.col("disclosure") >= remove, "drop").otherwise("term")
     spans = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"), F.col("term").alias("value"))
     added = written(places.join(shown, ["doc", "key", "term"]).groupBy("doc", "key").agg(F.collect_list(spans).alias("added")), "added")
