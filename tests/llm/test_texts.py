@@ -370,12 +370,14 @@ def test_stages_say_what_hard_rows_become(spark, hard, empty):
     sf, texts = "/root/testdata/sf0.001", lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
     stages = dict(corpus_pipeline.STAGES)
     whole = texts(hard)
-    good = " ".join(f"The {w} of the harbour and its lamps is a quiet place to wait in, as it was that night" for w in "north south east west old new far near long last".split())
+    rng, words = random.Random(4), "the of and harbour lamp to in quiet a night is sail rope tide that".split()
+    good = " ".join(rng.choice(words) + ("." if rng.random() < 0.1 else "") for _ in range(250))
     mixed = table(spark, [good, good.upper(), "", None, "#%$ " * 80], lang=None)
     assert {r.doc_id for r in stages["quality_rules"](spark, mixed, sf).collect()} == {0}
     assert set(texts(stages["near_duplicates"](spark, hard, sf))) <= set(whole)
     assert texts(stages["benchmark_decontamination"](spark, hard, sf)) == whole
     clean = texts(stages["personal_data"](spark, hard, sf))
-    assert clean[(7, "éé \U0001f600   mail [EMAIL] now")] == 1 and clean[(1, None)] == 1 and sum(clean.values()) == sum(whole.values())
+    mail = next(t for d, t in whole if d == 7).replace("a@b.cd", "[EMAIL]")
+    assert clean[(7, mail)] == 1 and clean[(1, None)] == 1 and sum(clean.values()) == sum(whole.values())
     for stage in stages.values():
         assert stage(spark, empty, sf).count() == 0
