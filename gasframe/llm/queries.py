@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gasframe.llm import chat, decontaminate, html_text, licenses, packing, pii, quality, simhash, substrings, token_counts
+from gasframe.llm import chat, decontaminate, filter_audit, html_text, licenses, packing, pii, quality, simhash, substrings, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -75,7 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *(f"q.{c}" for c in cols), "kept", F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_simhash, op4_substrings, op5_token_counts, op6_licenses, op7_decontaminate, op8_packing, op9_html, op10_quality)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_simhash, op4_substrings, op5_token_counts, op6_licenses, op7_decontaminate, op8_packing, op9_html, op10_quality, op13_filter_audit)}
 
 _OP2 = """
 WITH t AS (SELECT conv_id AS pair_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -158,4 +162,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
-ORACLES = {"op2_chat": _OP2, "op4_substrings": _OP4, "op6_licenses": _op6(), "op10_quality": _op10()}
+def _op13() -> str:
+    """Failures of each document, the first of each order, and counts by part, order and step."""
+    orders = ", ".join(f"('{o}')" for o in filter_audit.ORDERS)
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[{_SPACES}]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS t FROM d GROUP BY 1, 2),
+o(filter_order) AS (VALUES {orders}),
+s AS (SELECT *, filter_order[step] AS f, filter_order[:step - 1] AS before FROM o, range(1, 6) AS r(step)),
+x AS (SELECT part, filter_order, step, n, g, t, contains(fails, f) AS failing, fails = f AS only_this, translate(fails, before, '') <> fails AS gone FROM m, s),
+c AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, sum(CASE WHEN gone OR failing THEN 0 ELSE n END)::BIGINT AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN failing AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN only_this THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN failing AND NOT gone THEN g ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN failing AND NOT gone THEN t ELSE 0 END)::BIGINT AS toxic_lost FROM x GROUP BY 1, 2, 3)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM c
+"""
+
+
+ORACLES = {"op2_chat": _OP2, "op4_substrings": _OP4, "op6_licenses": _op6(), "op10_quality": _op10(), "op13_filter_audit": _op13()}
