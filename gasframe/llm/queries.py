@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gasframe.llm import chat, decontaminate, filter_audit, html_text, licenses, packing, pii, quality, simhash, substrings, token_counts
+from gasframe.llm import chat, decontaminate, filter_audit, html_text, licenses, packing, pii, quality, quality_model, simhash, spelling, substrings, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -75,11 +75,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *(f"q.{c}" for c in cols), "kept", F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_simhash, op4_substrings, op5_token_counts, op6_licenses, op7_decontaminate, op8_packing, op9_html, op10_quality, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_simhash, op4_substrings, op5_token_counts, op6_licenses, op7_decontaminate, op8_packing, op9_html, op10_quality, op11_quality_model, op12_spelling, op13_filter_audit)}
 
 _OP2 = """
 WITH t AS (SELECT conv_id AS pair_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
