@@ -162,11 +162,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more (0.8 at least; below, the bands propose fewer of the pairs).
 
     Equal sets are one node. Sets that share a band of minima are compared by their shingles: first those of a bucket
-    with its most central one, which shares most bands. Then, in buckets that are not yet one component, those pairs of
-    different components that can be alike although not both are like the central set: they must have changes from it in
-    common, and sets that have none leave the comparison. So the components are those of all proposed pairs, and a
-    crowd of near copies costs as much as it has members. Null and empty texts have the empty set; a null id counts only
-    where no other is in the component; equal rows are copies; extra columns are not read.
+    with its most central one, which shares most bands. Then the sets of buckets that are not yet one component meet by
+    their rarest shingles (``prefix_pairs``), which two sets that are alike must share, and not by their buckets, so that
+    a crowd that has much in common, but less than asked for, makes no pairs for it. So the components are those of all
+    proposed pairs. Null and empty texts have the empty set; a null id counts only where no other is in the component;
+    equal rows are copies; extra columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -211,28 +211,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return x.join(x.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"), "key")
 
     placed = written(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
-    left = written(mixed(placed), "left")
-    # A member x is its bucket's central set c without r shingles and with u others: a pair's similarity reaches s only if x
-    # and y have gx + gy - (1 - s) |c| of 1 + s of these changes in common, with g = r + s u; there cannot be more in common
-    # than r and what x has beside c as another component has it too.
-    at = left.join(central, "key").where("fp != rep")
-    both = at.select("rep", "fp", "n", "root").distinct().join(held, "fp").join(held.toDF("rep", "center"), "rep")
-    both = both.select("rep", "fp", "n", "root", F.size("center").alias("size"), F.size(F.array_intersect("held", "center")).alias("common"), F.array_except("held", "center").alias("added"))
-    both = written(both, "changes")
-    added = both.select("rep", "fp", "root", F.explode("added").alias("s"))
-    across = added.groupBy("rep", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("rep", "s")
-    shared = added.join(across, ["rep", "s"]).groupBy("rep", "fp").agg(F.count("*").alias("beside"))
-    r, u, share = F.col("size") - F.col("common"), F.col("n") - F.col("common"), F.lit(similarity)
-    g, most = r + share * u, r + F.coalesce("beside", F.lit(0))
-    able = both.join(shared, ["rep", "fp"], "left").select("rep", "fp", (g - (1 - share) * F.col("size")).alias("want"), ((1 + share) * most - g + 1e-6).alias("have"))
-    able = written(able, "able")
-    left = at.join(checked_broadcast(able), ["rep", "fp"]).select("key", "fp", "n", "root", "want", "have")
-    left = left.join(left.groupBy("key").agg(F.max("have").alias("best"), F.min("want").alias("least")), "key").where("want <= best AND least <= have").drop("best", "least")
-    left = written(mixed(left), "able_left")
-    side = lambda x: left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "root", "want", "have")))
-    near = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.col("want_a") <= F.col("have_b")) & (F.col("want_b") <= F.col("have_a"))
-    rest = side("a").join(side("b"), "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & near).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    rest = written(rest, "pairs")
+    left = written(mixed(placed).select("fp", "n", "root").distinct(), "left")
+    rest = written(prefix_pairs(left.join(held, "fp"), similarity), "pairs")
     ends = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     more = written(alike(rest).join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "rest")
     top = written(connected_components(more), "second_roots").toDF("root", "top")
@@ -241,6 +221,39 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _grouped(signed.select("doc_id", "fp"), heads.select("fp", "least"), final.union(alone))
 
 
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different roots among ``sets`` (fp, n, root, held: n hashes), all that can have that Jaccard
+    similarity, and few others.
+
+    Each set is ordered by how many of ``sets`` hold a hash, the rarest first. Two sets of sizes n <= m that are alike
+    have s (n + m) / (1 + s) in common at least, and therefore one of the first n - 2 s n / (1 + s) + 1 of the smaller
+    and of the first m - s m + 1 of the larger set. They meet by it, if their sizes allow, and if enough is left of both
+    behind it. Sets that share a hash and have one root are not paired: at each hash, those of its commonest root meet
+    only the others. What a set has alone fills its front, so that what all of a crowd share brings two sets together
+    only if they can be alike or both have little of their own.
+    """
+    s = F.lit(similarity)
+    tokens = sets.select("fp", "n", "root", F.explode("held").alias("h"))
+    often = tokens.groupBy("h").agg(F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("mixed"))
+    ordered = tokens.join(often, "h").groupBy("fp", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h", "mixed"))).alias("m"))
+    front = lambda share: (F.col("n") - F.ceil(share * F.col("n") - 1e-6) + 1).cast("int")
+    first = ordered.select("fp", "n", "root", front(2 * s / (1 + s)).alias("short"), F.posexplode(F.slice("m", F.lit(1), front(s))))
+    first = first.where("col.mixed").select("fp", "n", "root", (F.col("pos") < F.col("short")).alias("short"), (F.col("n") - F.col("pos")).alias("behind"), F.col("col.h").alias("h"))
+    # Sizes in classes of a factor 1 / s: two sets that can be alike are in one class or in neighbouring ones.
+    first = written(first.withColumn("size", F.floor(F.ln("n") / -F.ln(s)).cast("int")), "fronts")
+    roots = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("top"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    roots = written(roots, "tops")
+    known = first.join(roots, "h")
+    side = lambda df, x: df.select("h", "size", "top", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "root", "short", "behind")))
+    others = known.where("root != top").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    once = (F.col("root_b") == F.col("top")) | (F.col("fp_a") < F.col("fp_b"))
+    smaller = F.when(F.struct("n_a", "fp_a") < F.struct("n_b", "fp_b"), F.col("short_a")).otherwise(F.col("short_b"))
+    want = s / (1 + s) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    able = (F.col("root_a") != F.col("root_b")) & once & smaller & (F.least("n_a", "n_b") >= s * F.greatest("n_a", "n_b") - 1e-6) & (F.least("behind_a", "behind_b") >= want)
+    pairs = side(others, "a").join(side(known, "b").drop("top"), ["h", "size"]).where(able)
+    return pairs.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, k: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest id. With ``similarity``, the
     components are those of ``similar_documents``, and else those of ``near_duplicates``.

@@ -120,6 +120,39 @@ def test_near_copies_of_the_stage(spark, hard, empty):
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
 
 
+def crowd(rng, n, kind):
+    """Texts with much in common: their own beginnings and a common end, or single words changed, or copies of it."""
+    shared = [f"t{i}" for i in range(300)]
+    out = []
+    for d in range(n):
+        if kind == "ends":
+            tail = shared[rng.randrange(60) :]
+            out.append([f"d{d}x{i}" for i in range(int(len(tail) * rng.uniform(0.05, 0.6)))] + tail)
+        else:
+            out.append([f"d{d}x{i}" if rng.random() < rng.choice((0.004, 0.02)) else w for i, w in enumerate(shared)])
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("kind", ["ends", "words"])
+def test_crowds_meet_by_what_can_be_alike(spark, kind):
+    """All pairs of different roots that are alike, and for twice the crowd not four times as many others."""
+    made = {}
+    for n in (150, 300):
+        rng = random.Random(n)
+        held = {k: simhash.shingle_set(t.encode()).astype(np.int64) for k, t in enumerate(crowd(rng, n, kind))}
+        sets = {k: set(x.tolist()) for k, x in held.items()}
+        alike = [(a, b) for a in sets for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        # Roots as after the comparison with one central set: the one that most are like.
+        degree = collections.Counter(x for p in alike for x in p)
+        center = max(sets, key=lambda k: (degree[k], k))
+        root = {k: center if k == center or (max(k, center), min(k, center)) in set(alike) else k for k in sets}
+        df = spark.createDataFrame([(k, len(x), root[k], x.tolist()) for k, x in held.items()], "fp long, n long, root long, held array<bigint>")
+        got = {(r.b, r.a) for r in simhash.prefix_pairs(df, 0.8).collect()}
+        assert {p for p in alike if root[p[0]] != root[p[1]]} <= got and all(root[a] != root[b] for a, b in got)
+        made[n] = len(got - set(alike)), len(alike)
+    assert made[300][0] <= 2.5 * made[150][0] + (kind == "words") * made[300][1] + 50, made
+
+
 @pytest.fixture(scope="session")
 def sp():
     import sentencepiece
