@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields, is_dataclass, replace
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gasframe.operators.folding import folded, folds
 from gasframe.plans.columns import Compiler, Typed, equal, kind_of, masked
 from gasframe.plans.dsl import Call, Lambda, Member, Program, Var
 from gasframe.plans.superstep_plan import EDGE_VAR, SELF, Superstep, classify, lower, walk
@@ -15,6 +16,8 @@ from gasframe.sources.scratch import bucketed, forget, written
 
 #: Steps after which a run without a limit gives up.
 DEFAULT_STEPS = 32
+#: Columns of nodes between steps in which only changed ones send (``frontier``).
+MARKS = ("$g", "$lost", "$sent")
 
 
 class NoConvergence(RuntimeError):
@@ -219,17 +222,25 @@ def _dealt(edges: DataFrame) -> _Edges:
     return _Edges(bucketed(edges.join(F.broadcast(ids), hub, "left_anti"), "edges", buckets, "src"), hot, ids)
 
 
-def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> tuple[DataFrame, Typed]:
-    """Messages (k, v, eid): the edges joined with the source properties they read, tested and projected."""
-    source, edge = _used(step)
+def met(step: Superstep, s: DataFrame, edges: DataFrame | _Edges) -> DataFrame:
+    """The edges, with properties that the program reads, joined with their sources ``s`` (s_id, ...)."""
+    edge = _used(step)[1]
     own = lambda df: df.select("eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge)))
-    s = nodes.select(F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(source)))
     at = F.col("src") == F.col("s_id")
     if isinstance(edges, _Edges):
         few = F.broadcast(s.join(F.broadcast(edges.ids), F.col("s_id") == F.col("h_id"), "left_semi"))
-        e = own(edges.cold).join(s, at).union(own(edges.hot).join(few, at))
+        return own(edges.cold).join(s, at).union(own(edges.hot).join(few, at))
+    return own(edges).join(s, at)
+
+
+def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> tuple[DataFrame, Typed]:
+    """Messages (k, v, eid): the edges joined with the source properties they read, tested and projected."""
+    source, edge = _used(step)
+    s = nodes.select(F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(source)))
+    if isinstance(edges, _Edges) or source:
+        e = met(step, s, edges)
     else:
-        e = own(edges).join(s, at) if source else own(edges)
+        e = edges.select("eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge)))
     compiler = Compiler(step.mask, _scatter_member(step))
     for test in step.tests:
         e = e.where(compiler.compile(test, {}).column)
@@ -239,7 +250,8 @@ def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> t
 
 def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFrame, Typed]:
     """(k, g): one row per key. Sums, minima, maxima, unions and the like are grouped aggregates with partial sums; any
-    other reducer folds the messages in edge order, from the first."""
+    other reducer folds the messages in edge order, from the first: over numbers as ``folding`` does, over other values
+    in an array of a key's messages."""
     v = Typed(F.col("v"), value.kind, value.parts, value.size)
     done = _aggregate(classify(step.reducer), v, step, step.reducer)
     if done:
@@ -251,6 +263,8 @@ def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFr
     probe = compiler.compile(step.reducer.body, {a: v, b: v})
     if probe.kind != value.kind:
         raise TypeError(f"the reducer makes {probe.kind} of {value.kind}")
+    if folds(step.reducer, value.kind):
+        return folded(messages, step.reducer, value.kind, step.mask), Typed(F.col("g"), value.kind)
     listed = F.array_sort(F.collect_list(F.struct("eid", "v")))
     lists = messages.groupBy("k").agg(F.transform(listed, lambda p: p["v"]).alias("vs"))
     fold = F.reduce(F.slice("vs", 2, F.size("vs")), F.col("vs")[0], lambda x, y: compiler.compile(step.reducer.body, {a: wrap(x), b: wrap(y)}).column)
@@ -271,12 +285,17 @@ def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, no_m
         agg, g = gathered(step, messages, value)
     agg = agg.withColumn("$has", F.lit(True))
     joined = nodes.join(agg, nodes["id"] == agg["k"], "left")
-    has = F.coalesce(F.col("`$has`"), F.lit(False))
+    return applied(step, joined, nodes.columns, F.coalesce(F.col("`$has`"), F.lit(False)), g, no_message, keep_old, bool(gap))
+
+
+def applied(step: Superstep, joined: DataFrame, columns: list[str], has: Column, g: Typed, no_message: object = "current", keep_old: bool = False, gap: bool = False, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """The apply of a step over nodes (``columns``) with their gathered value ``g``, where they have one; ``gap`` says
+    that a set stands behind ``g``. Columns to ``keep`` go along."""
     target = step.target
-    declared = target in step.program.node and target in nodes.columns
+    declared = target in step.program.node and target in columns
     old = Typed(F.col(f"`{target}`"), *kind_of(step.program.node[target])) if declared else None
-    keep = no_message == "skip" or no_message == "current" and (old is None or old.kind != ("set" if gap else g.kind))
-    if keep:
+    stays = no_message == "skip" or no_message == "current" and (old is None or old.kind != ("set" if gap else g.kind))
+    if stays:
         held = g
     else:
         other = old.column if no_message == "current" else F.lit(no_message)
@@ -287,16 +306,16 @@ def superstep(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, no_m
     if old is not None and {old.kind, new.kind} == {"int", "float"}:
         new = Typed(new.column.cast("double" if old.kind == "float" else "bigint"), old.kind)
     column = new.column
-    if keep:
+    if stays:
         column = F.when(has, column).otherwise(old.column if old is not None else F.lit(None))
-    rest = [F.col(f"`{c}`") for c in nodes.columns if c not in (target, "$changed", "$old")]
-    stepped = joined.select(*rest, *([F.col(f"`{target}`").alias("$old")] if declared else []), column.alias(target))
+    rest = [F.col(f"`{c}`") for c in columns if c not in (target, "$changed", "$old", *MARKS)]
+    stepped = joined.select(*rest, *keep, *([F.col(f"`{target}`").alias("$old")] if declared else []), column.alias(target))
     if declared:
         before, after = Typed(F.col("`$old`"), new.kind, new.parts, new.size), Typed(F.col(f"`{target}`"), new.kind, new.parts, new.size)
         changed = ~F.coalesce(equal(before, after), before.column.isNull() & after.column.isNull())
         marked = stepped.withColumn("$changed", changed)
         return marked if keep_old else marked.drop("$old")
-    return stepped.withColumn("$changed", F.col(f"`{target}`").isNotNull() if target not in nodes.columns else F.lit(True))
+    return stepped.withColumn("$changed", F.col(f"`{target}`").isNotNull() if target not in columns else F.lit(True))
 
 
 def _declare(step: Superstep) -> Superstep:
@@ -321,6 +340,13 @@ def _prepared(step: Superstep, graph: Graph) -> tuple[DataFrame, DataFrame | _Ed
     return nodes, narrow if ready(graph.edges) else written(narrow, "edges")
 
 
+def _put_away(edges: DataFrame | _Edges) -> None:
+    """Drop the buckets of edges that no plan reads any more."""
+    if isinstance(edges, _Edges):
+        for x in (edges.cold, edges.hot, edges.ids):
+            forget(x)
+
+
 def _sized(setting: str) -> int:
     """Bytes of a setting such as 10485760b or 10MB."""
     number = setting.strip().lower().removesuffix("b")
@@ -330,11 +356,13 @@ def _sized(setting: str) -> int:
 
 @dataclass(frozen=True)
 class Run:
-    """Nodes after a run, the steps made, and whether the last one changed nothing (None if that was not asked)."""
+    """Nodes after a run, the steps made, and whether the last one changed nothing (None if that was not asked); where
+    only changed nodes send, also the messages of each step."""
 
     nodes: DataFrame
     steps: int
     converged: bool | None
+    messages: tuple[int, ...] | None = None
 
 
 def _advance(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, no_message: object) -> tuple[DataFrame, int]:
@@ -354,6 +382,9 @@ def iterate(program: Program | str, graph: Graph, steps: int, no_message: object
     for i in range(steps):
         if i == steps - 1:
             nodes = superstep(step, nodes, edges, no_message).drop("$changed")
+            if isinstance(edges, _Edges):
+                nodes = written(nodes, "step")
+                _put_away(edges)
             break
         nodes, _ = _advance(step, nodes, edges, no_message)
         step = _declare(step)
@@ -408,33 +439,43 @@ def converge_until(program: Program | str, graph: Graph, limit: int, until: Unti
             forget(last)
         last = nodes
         if until.mode != "fixed" and not seen.get["n"]:
+            _put_away(edges)
             return Run(nodes, i + 1, True)
+    _put_away(edges)
     return Run(nodes, limit, None if until.mode == "fixed" else False)
 
 
-def converge(program: Program | str, graph: Graph, limit: int, no_message: object = "current") -> Run:
-    """Supersteps until no node changes; ``NoConvergence`` if one still does in step ``limit``."""
+def _settled(program: Program | str, graph: Graph, limit: int, no_message: object) -> Run:
+    """Supersteps until no node changes, ``limit`` at most."""
+    from gasframe.operators import frontier
+
     step = lower(program)
-    (nodes, edges), last = _prepared(step, graph), None
+    if no_message == "current" and limit > 1 and frontier.suits(step, graph.nodes.columns):
+        return frontier.settled(step, graph, limit)
+    (nodes, edges), last, done = _prepared(step, graph), None, Run(graph.nodes, 0, False)
     for i in range(limit):
         nodes, changes = _advance(step, nodes, edges, no_message)
         step = _declare(step)
         if last is not None:
             forget(last)
-        last = nodes
+        last, done = nodes, Run(nodes, i + 1, not changes)
         if not changes:
-            return Run(nodes, i + 1, True)
-    raise NoConvergence(f"still changing after {limit} steps")
+            break
+    _put_away(edges)
+    return done
+
+
+def converge(program: Program | str, graph: Graph, limit: int, no_message: object = "current") -> Run:
+    """Supersteps until no node changes; ``NoConvergence`` if one still does in step ``limit``."""
+    done = _settled(program, graph, limit, no_message)
+    if not done.converged:
+        raise NoConvergence(f"still changing after {limit} steps")
+    return done
 
 
 def run(program: Program | str, graph: Graph, max_iters: int | None = None, no_message: object = "current") -> Run:
     """``max_iters`` steps exactly if given; else steps to the fixpoint, or ``DEFAULT_STEPS`` of them."""
-    if max_iters is not None:
-        return iterate(program, graph, max_iters, no_message)
-    try:
-        return converge(program, graph, DEFAULT_STEPS, no_message)
-    except NoConvergence:
-        return replace(iterate(program, graph, DEFAULT_STEPS, no_message), converged=False)
+    return iterate(program, graph, max_iters, no_message) if max_iters is not None else _settled(program, graph, DEFAULT_STEPS, no_message)
 
 
 def timed(program: Program | str, graph: Graph, steps: int) -> dict:
