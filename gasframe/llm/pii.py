@@ -20,11 +20,15 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){13}"), "phone": lambda t: t.contains("+")}
 #: The letters of a term.
 TERM = r"(\p{L}{3,})"
-#: Matches whose places are summed together.
+#: A character, no letter, that stands for the letters of spans where terms are sought.
+_BLOT = "\ue000"
+#: Matches whose places are summed together, and spans that are replaced together.
 _BLOCK = 256
 #: Different texts that must show a term and an entity before their co-occurrence counts, and the probability at most
 #: that they would meet as often by chance.
 MIN_TEXTS, MAX_CHANCE = 2, 1e-3
+#: Mentions from which an entity counts as hot: more than one in so many, so that there are no more of them than this.
+HOT_SHARE = 10_000
 #: Shares of the entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
@@ -99,10 +103,47 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _rewritten(text: Column, spans: Column, label) -> Column:
+    """``text`` with each of the sorted ``spans`` replaced by ``label(span, over)``, where so many letters of the span lie
+    in spans before it.
+
+    Spans go in blocks of ``_BLOCK``, each with its own part of the text, so that a span costs what its block is long.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int")), lambda i: F.slice(spans, i * _BLOCK + 1, _BLOCK))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
+
+    def bound(a: Column, own: Column) -> Column:
+        to = F.greatest(a["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+        return F.struct(to.alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), to.alias("to")))).alias("out"))
+
+    def part(own: Column, ends: Column) -> Column:
+        def cut(body: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                between = F.substring(body, a["at"] - ends["from"] + 1, s["start"] - a["at"])
+                over = F.greatest(a["at"] - s["start"], F.lit(0))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], between, label(s, over)).alias("out"))
+
+            return F.aggregate(own, F.struct(ends["from"].alias("at"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+        return let(F.substring(text, ends["from"] + 1, ends["to"] - ends["from"]), cut)
+
+    def whole(bs: Column) -> Column:
+        def join(ends: Column) -> Column:
+            rest = F.substring(text, F.element_at(ends, -1)["to"] + 1, F.length(text))
+            return F.concat(F.array_join(F.zip_with(bs, ends, part), ""), rest)
+
+        return let(F.aggregate(bs, none, bound, lambda a: a["out"]), join)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks, whole))
+
+
 def _terms(text: Column, spans: Column) -> Column:
-    """The terms of a text (lower-cased, with their places) outside every base span."""
+    """The terms of a text (lower-cased, with their places) outside every base span: the letters of spans are blotted
+    out, and runs of letters that touch a blot are none."""
     free = lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return F.transform(F.filter(_located(text, TERM), free), lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    blotted = _rewritten(text, spans, lambda s, over: F.regexp_replace(F.substring(s["value"], over + 1, F.length(s["value"])), r"\p{L}", _BLOT))
+    found = F.when(text.contains(_BLOT), F.filter(_located(text, TERM), free)).otherwise(let(blotted, lambda t: _located(t, rf"(?<![\p{{L}}{_BLOT}])(\p{{L}}{{3,}}+)(?!{_BLOT})")))
+    return F.transform(found, lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
 
 def entities_of(span: Column) -> Column:
@@ -132,7 +173,18 @@ def _protected(hit: DataFrame, min_texts: int) -> DataFrame:
     place = F.xxhash64("doc", "key")
     many = named.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(place).alias("x"), F.sum(F.pmod(place, F.lit(1_000_000_007))).alias("s"))
     live = many.where((F.col("lo") != F.col("hi")) | F.lit(min_texts < 2)).select("entity", "n_e", F.xxhash64("n_e", "x", "s").alias("class"))
-    return named.join(checked_broadcast(written(live, "live")), "entity").select("doc", "key", F.col("class").alias("entity"), "n_e").distinct()
+    live = written(live, "live")
+    few = checked_broadcast(live)
+    if few is not live:
+        held = named.join(few, "entity")
+    else:
+        # Kinds and large groups, of which there are few, stay out of the shuffle.
+        limit = named.count() / HOT_SHARE
+        hot, cold = live.where(F.col("n_e") > limit), live.where(F.col("n_e") <= limit)
+        held = named.join(F.broadcast(hot), "entity").select("doc", "key", "class", "n_e")
+        rest = named.join(F.broadcast(hot.select("entity")), "entity", "left_anti")
+        held = held.union(rest.join(cold, "entity").select("doc", "key", "class", "n_e"))
+    return held.select("doc", "key", F.col("class").alias("entity"), "n_e").distinct()
 
 
 def disclosing_terms(mentions: DataFrame, terms: DataFrame, docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, max_chance: float = MAX_CHANCE) -> DataFrame:
@@ -209,10 +261,7 @@ def sanitised(text: Column, spans: Column, labels: dict = LABELS) -> Column:
     """``text`` with each span replaced by its kind's label. Of spans that overlap, the first stands; the part of a
     later one that reaches beyond it goes with it."""
     label = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(v)) for k, v in labels.items()))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), label(s))).alias("out"))
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))))
+    return _rewritten(text, spans, lambda s, over: F.when(over > 0, F.lit("")).otherwise(label(s)))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
