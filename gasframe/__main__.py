@@ -1,9 +1,9 @@
 """python -m gasframe explain PROGRAM | generate APP NODES EDGES OUT [SEED] | convert GRAPH OUT APP | run PROGRAM GRAPH [STEPS]
-| stats GRAPH CACHE | train TABLE GRAPHS CACHE MODEL | evaluate TABLE GRAPHS CACHE | predict MODEL GRAPH CACHE
+| simulate-raw APP GRAPH CACHE [STEPS] | stats GRAPH CACHE | train TABLE GRAPHS CACHE MODEL | evaluate TABLE GRAPHS CACHE | predict MODEL GRAPH CACHE
 
 PROGRAM is a file or the name of a built-in program; GRAPH is a .json, .txt, .mtx or Parquet folder (nodes and edges).
 TABLE holds the scores of data sets by topology, GRAPHS is a folder with a .txt, .mtx or .parquet graph for each of them,
-CACHE a folder that keeps statistics, and MODEL a JSON file.
+CACHE a folder that keeps statistics and edges, APP a built-in program, and MODEL a JSON file.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from gasframe.operators import topology
 from gasframe.operators.graph import explain, run
 from gasframe.plans.dsl import parse
 from gasframe.sources import generate, graphs, tables
-from gasframe.sources.cache import cached_statistics
+from gasframe.sources.cache import cached_graph, cached_statistics
 
 
 def _program(name: str) -> str:
@@ -67,7 +67,7 @@ def main(args: list[str]) -> int:
     if verb == "explain" and len(rest) == 1:
         print(explain(_program(rest[0])))
         return 0
-    if len(rest) < {"generate": 4, "convert": 3, "run": 2, "stats": 2, "train": 4, "evaluate": 3, "predict": 3}.get(verb, len(rest) + 1):
+    if len(rest) < {"generate": 4, "convert": 3, "run": 2, "simulate-raw": 3, "stats": 2, "train": 4, "evaluate": 3, "predict": 3}.get(verb, len(rest) + 1):
         print(__doc__)
         return 2
     spark = SparkSession.builder.getOrCreate()
@@ -83,7 +83,9 @@ def main(args: list[str]) -> int:
     else:
         text, source = _program(rest[0]), rest[1]
         program = parse(text)
-        if source.endswith(".json"):
+        if verb == "simulate-raw":
+            graph = cached_graph(spark, source, rest.pop(2)).graph(rest[0])
+        elif source.endswith(".json"):
             graph = graphs.read_json_graph(spark, source, program)
         elif source.endswith((".txt", ".mtx")):
             graph = graphs.read_graph(spark, source, rest[0])

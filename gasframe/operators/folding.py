@@ -98,7 +98,7 @@ def _composed(parts: DataFrame, f, p: int, q, mask: int | None) -> DataFrame:
             held = signed(held & whole)
             yield pa.RecordBatch.from_pydict({"k": [k], "g": [held if mask is None else held & mask]})
 
-    made = parts.select("k", "part", "v").mapInArrow(maps, "k long, part int, v long, m long, c long")
+    made = parts.select("k", "part", "v").mapInArrow(maps, "k long, part long, v long, m long, c long")
     return made.repartition("k").sortWithinPartitions("k", "part").mapInArrow(joined, "k long, g long")
 
 

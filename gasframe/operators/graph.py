@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gasframe.operators.folding import folded, folds
+from gasframe.operators.normal import normal_sums, suits
 from gasframe.plans.columns import Compiler, Typed, equal, kind_of, masked
 from gasframe.plans.dsl import Call, Lambda, Member, Program, Var
 from gasframe.plans.superstep_plan import EDGE_VAR, SELF, Superstep, classify, lower, walk
@@ -170,13 +171,6 @@ def _aggregate(kind: tuple, v: Typed, step: Superstep, reducer: Lambda) -> tuple
         return F.coalesce(F.min_by(real, real.bitwiseAND(F.lit(kind[1]))), F.lit(0).cast("bigint")), v
     if name == "union" and v.kind == "set":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), v
-    if name == "vector_sum" and v.kind == "scaled":
-        return F.array(*(F.sum(c["u"][i] * c["w"]) for i in range(v.size[0]))), Typed(c, "vector", (), v.size)
-    if name == "matrix_sum" and v.kind == "outer":
-        rows, cols = v.size
-        term = (lambda i, j: c["u"][min(i, j)] * c["u"][max(i, j)]) if v.parts else (lambda i, j: c["u"][i] * c["w"][j])
-        data = F.array(*(F.sum(term(i, j)) for i in range(rows) for j in range(cols)))
-        return F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), data.alias("data")), Typed(c, "matrix", (), v.size)
     if name in ("sum", "vector_sum") and v.kind == "vector" and v.size:
         return _slots(c, v.size[0]), v
     if name == "matrix_sum" and v.kind == "matrix" and len(v.size) == 2:
@@ -249,10 +243,12 @@ def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> t
 
 
 def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFrame, Typed]:
-    """(k, g): one row per key. Sums, minima, maxima, unions and the like are grouped aggregates with partial sums; any
+    """(k, g): one row per key. Sums of outer products and scaled vectors are made in Arrow batches. Other sums, minima, maxima, unions and the like are grouped aggregates with partial sums; any
     other reducer folds the messages in edge order, from the first: over numbers as ``folding`` does, over other values
     in an array of a key's messages."""
     v = Typed(F.col("v"), value.kind, value.parts, value.size)
+    if suits(value) and classify(step.reducer)[0] in ("each", "matrix_sum", "vector_sum"):
+        return normal_sums(messages, value)
     done = _aggregate(classify(step.reducer), v, step, step.reducer)
     if done:
         column, held = done

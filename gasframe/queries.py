@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gasframe.algorithms import FIXED_STEPS, INF, LOW, PROGRAMS, bfs_depth, pagerank_fixed_point
-from gasframe.operators import statistics
+from gasframe.operators import relations, statistics
 from gasframe.operators.graph import DEFAULT_STEPS, Graph, compare, gathered, iterate, run, scattered
 from gasframe.plans.dsl import parse
 from gasframe.plans.superstep_plan import lower
@@ -187,6 +187,25 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(PROGRAMS["sssp"], generate_graph(spark, "sssp", n, 8 * n)).nodes.select("id", "dist")
 
 
+def _territory(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions lead to nations, nations to their customers and suppliers, and these to what they ordered or sold; every
+    region and nation is an element of its own set at first. Ids of one kind of row are those of its key, times six, plus
+    the kind."""
+    t = lambda name: _table(spark, sf_dir, name)
+    at = lambda c, kind: (F.col(c).cast("bigint") * 6 + kind)
+    link = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    pairs = link(t("nation"), at("n_regionkey", 0), at("n_nationkey", 1)).union(link(t("customer"), at("c_nationkey", 1), at("c_custkey", 2))).union(link(t("supplier"), at("s_nationkey", 1), at("s_suppkey", 3)))
+    pairs = pairs.union(link(t("orders"), at("o_custkey", 2), at("o_orderkey", 4))).union(link(t("lineitem"), at("l_suppkey", 3), at("l_partkey", 5)).distinct())
+    edges = written(pairs.withColumn("eid", F.monotonically_increasing_id()), "territory")
+    own = F.when(F.col("id") % 6 < 2, F.array("id")).otherwise(F.array().cast("array<bigint>"))
+    return Graph(_ends(edges).withColumn("seen", own), edges)
+
+
+def _reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions and nations from which a node can be reached."""
+    return relations.united(PROGRAMS["reach"], _territory(spark, sf_dir)).rows
+
+
 #: Programs with a step number make exactly so many supersteps: those of the rank families (``FIXED_STEPS``), and those that do
 #: not settle. The others run to the fixpoint, or for ``DEFAULT_STEPS``; their SQL makes all of these.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -225,6 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "partition_loads": lambda spark, sf_dir: statistics.partition_loads(_plan(spark, sf_dir)),
     "pagerank_fixed_point": lambda spark, sf_dir: pagerank_fixed_point(clickflow(spark, sf_dir), FIXED_STEPS["pagerank"], tolerance=0),
     "generated_sssp": _generated,
+    "reachable_sets": _reachable,
 }
 
 _SUPPLY = f"one AS (SELECT DISTINCT l_suppkey AS s, l_partkey + {PART} AS p FROM lineitem), e AS MATERIALIZED (SELECT src, dst, 1 + (src + dst) % 9 AS weight FROM (SELECT s AS src, p AS dst FROM one UNION ALL SELECT p, s FROM one))"
@@ -337,3 +357,7 @@ SELECT dst AS id, round(sum(list_sum(list_transform(v, lambda x: x * x))), 4) AS
 
 
 ORACLES["als_sums"] = _als_sums_sql()
+ORACLES["reachable_sets"] = """WITH RECURSIVE e AS (SELECT n_regionkey * 6 AS src, n_nationkey * 6 + 1 AS dst FROM nation UNION SELECT c_nationkey * 6 + 1, c_custkey * 6 + 2 FROM customer UNION SELECT s_nationkey * 6 + 1, s_suppkey * 6 + 3 FROM supplier
+UNION SELECT o_custkey * 6 + 2, o_orderkey * 6 + 4 FROM orders UNION SELECT l_suppkey * 6 + 3, l_partkey * 6 + 5 FROM lineitem),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, id AS element FROM v WHERE id % 6 < 2 UNION SELECT e.dst, r.element FROM r JOIN e ON e.src = r.id)
+SELECT id::BIGINT AS id, element::BIGINT AS element FROM r"""

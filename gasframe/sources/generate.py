@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,40 +25,66 @@ def _unit(seed: int, salt: str, *cols) -> Column:
     return _hashed(seed, salt, *cols) / float(1 << 40)
 
 
+#: Edges that one task draws at once, about, and the most cells of the nodes x nodes square that it draws them from.
+LEAF_EDGES, LEAF_CELLS = 1 << 18, 1 << 62
+#: Beyond so many cells, numpy's draw without replacement gives way to one with replacement, which is then as good.
+_EXACT = 10**9
+
+
+def _left_share(rng: np.random.Generator, edges: int, left: int, right: int) -> int:
+    """How many of ``edges`` cells, drawn without replacement, fall in the left part of two."""
+    if not edges or not right:
+        return edges
+    if left + right < _EXACT:
+        return int(rng.hypergeometric(left, right, edges))
+    return min(max(int(rng.binomial(edges, left / (left + right))), edges - right), edges, left)
+
+
+def leaf(seed: int, nodes: int, edges: int, leaves: int, at: int) -> tuple[int, int, int, int]:
+    """(first source, sources, edges, edges before) of range ``at`` of ``leaves`` ranges of sources.
+
+    The square of pairs is halved again and again, and each half gets its share of the edges by a draw that depends on the
+    seed and its place alone; so a task knows its range's edges, and how many lie before, without the others.
+    """
+    low, high, before, n = 0, leaves, 0, edges
+    row = lambda k: k * nodes // leaves
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        left = _left_share(rng, n, (row(middle) - row(low)) * nodes, (row(high) - row(middle)) * nodes)
+        if at < middle:
+            high, n = middle, left
+        else:
+            low, before, n = middle, before + left, n - left
+    return row(low), row(high) - row(low), n, before
+
+
+def _cells(rng: np.random.Generator, cells: int, n: int) -> np.ndarray:
+    """``n`` different numbers below ``cells``, ascending, each set as likely as another."""
+    if cells <= 4 * n:
+        return np.sort(rng.permutation(cells)[:n])
+    held = np.zeros(0, np.int64)
+    while len(held) < n:
+        drawn = np.concatenate([held, rng.integers(0, cells, n - len(held) + 16)])
+        held = drawn[np.sort(np.unique(drawn, return_index=True)[1])][:n]
+    return np.sort(held)
+
+
 def _pairs(spark: SparkSession, nodes: int, edges: int, seed: int) -> DataFrame:
-    """Exactly ``edges`` distinct pairs, each pair as likely as another: the cells of the nodes x nodes square are dealt
-    out by a bijection of [0, 2^bits), of which the first ``edges`` that lie in the square are taken, without duplicate
-    removal."""
-    cells = nodes * nodes
-    bits = max(2, (cells - 1).bit_length() + ((cells - 1).bit_length() & 1))
-    half = bits // 2
-    low = (1 << half) - 1
-
-    def feistel(x: Column) -> Column:
-        left, right = F.shiftrightunsigned(x, half), x.bitwiseAND(F.lit(low))
-        for r in range(4):
-            left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(r), right).bitwiseAND(F.lit(low)))
-        return left * F.lit(1 << half) + right
-
-    if edges == cells:
-        return spark.range(cells).select(F.expr(f"id div {nodes}").alias("src"), (F.col("id") % nodes).alias("dst"))
-    dealt = lambda n: spark.range(n).select("id", feistel(F.col("id")).alias("cell")).where(F.col("cell") < cells)
-    size, most = 1 << 16, 1 << bits
-    n = min(most, int(edges * (most / cells) * 1.1) + size)
-    while True:
-        # Some of the dealt numbers lie beyond the square, so that it takes a few more than ``edges``: counts per range tell
-        # in which range the last edge lies, and only that range is sorted.
-        counts = dealt(n).groupBy(F.expr(f"id div {size}").alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect()
-        if sum(r["n"] for r in counts) >= edges or n == most:
-            break
-        n = min(most, 2 * n)
-    left = edges
-    for r in counts:
-        if left <= r["n"]:
-            break
-        left -= r["n"]
-    last = dealt(n).where(F.expr(f"id div {size}") == r["range"]).orderBy("id").limit(left).agg(F.max("id")).first()[0]
-    return dealt(last + 1).select(F.expr(f"cell div {nodes}").alias("src"), (F.col("cell") % nodes).alias("dst"))
+    """(eid, src, dst): exactly ``edges`` distinct pairs, each pair as likely as another, numbered by (src, dst)."""
+    leaves = min(nodes, max(-(-edges // LEAF_EDGES), -(-nodes * nodes // LEAF_CELLS)))
+    schema = pa.schema([(c, pa.int64()) for c in ("eid", "src", "dst")])
+
+    def draw(batches):
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                low, rows, n, before = leaf(seed, nodes, edges, leaves, at)
+                cell = _cells(np.random.default_rng([seed, at, leaves, 1]), rows * nodes, n)
+                for cut in range(0, n, 1 << 16):
+                    some = cell[cut : cut + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(before + cut + np.arange(len(some))), pa.array(low + some // nodes), pa.array(some % nodes)], schema=schema)
+
+    return spark.range(0, leaves, 1, min(leaves, 1 << 16)).mapInArrow(draw, "eid long, src long, dst long")
 
 
 def generate_graph(spark: SparkSession, app: str, nodes: int, edges: int, seed: int = 42) -> Graph:
@@ -72,7 +100,7 @@ def generate_graph(spark: SparkSession, app: str, nodes: int, edges: int, seed:
         raise GenerateError(f"InvalidEdgeCount: {edges}")
     if edges > nodes * nodes:
         raise GenerateError(f"EdgeCountTooLarge: {edges} > {nodes * nodes}")
-    e = _pairs(spark, nodes, edges, seed).withColumn("eid", F.col("src") * nodes + F.col("dst"))
+    e = _pairs(spark, nodes, edges, seed)
     draw = lambda salt, low, high: (F.lit(low) + F.floor(_unit(seed, salt, "id") * (high - low))).cast("bigint")
     n = spark.range(nodes)
     if app in ("pagerank", "ar"):

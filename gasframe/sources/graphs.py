@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from gasframe.operators.graph import Graph
 from gasframe.plans.columns import spark_type
 from gasframe.plans.dsl import Program, Type
+from gasframe.sources.documents import elements, write_documents, write_object
+from gasframe.sources.scratch import written
 
 
 class UnsupportedFormat(ValueError):
@@ -53,18 +55,24 @@ def read_json_graph(spark: SparkSession, path: str, program: Program) -> Graph:
     """A graph from documents ``{nodes: [{id, properties}], edges: [{src, dst, properties}]}``.
 
     Properties that the program does not declare are not read; missing and ill-typed ones get their type's default. Of
-    nodes with one id the last in the file stays; ``eid`` is the place of an edge in the file.
+    nodes with one id the last in the file stays; ``eid`` is the place of an edge in the file. An element with ``src`` or
+    ``dst`` is an edge, another with ``id`` a node. Files are cut and read by many tasks (``documents``), whatever their
+    lines are; a folder of parts is one document.
     """
     props = lambda of: T.StructType([T.StructField(p, T._parse_datatype_string(_loose(t))) for p, t in of.items()])
-    node = T.StructType([T.StructField("id", T.LongType()), T.StructField("properties", props(program.node))])
-    edge = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("properties", props(program.edge))])
-    doc = spark.read.schema(T.StructType([T.StructField("nodes", T.ArrayType(node)), T.StructField("edges", T.ArrayType(edge))])).json(path, multiLine=True)
-    rows = doc.select(F.posexplode("nodes").alias("at", "n")).select("at", "n.id", "n.properties")
-    last = Window.partitionBy("id").orderBy(F.desc("at"))
-    rows = rows.withColumn("rn", F.row_number().over(last)).where("rn = 1")
-    field = lambda p, t: coerced(F.col("properties").getField(p), t).alias(p)
+    element = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "src", "dst")])
+    texts = written(elements(spark, path), "elements")
+    parsed = texts.select("number", "text", F.from_json("text", element).alias("e"))
+    link = F.col("e.src").isNotNull() | F.col("e.dst").isNotNull()
+    field = lambda p, t: coerced(F.col("p.properties").getField(p), t).alias(p)
+    own = lambda df, of: df.withColumn("p", F.from_json("text", T.StructType([T.StructField("properties", props(of))])))
+    rows = own(parsed.where(~link & F.col("e.id").isNotNull()), program.node)
+    last = Window.partitionBy("id").orderBy(F.desc("number"))
+    rows = rows.select("number", F.col("e.id").alias("id"), "p").withColumn("rn", F.row_number().over(last)).where("rn = 1")
     nodes = rows.select("id", *(field(p, t) for p, t in program.node.items()))
-    links = doc.select(F.posexplode("edges").alias("eid", "e")).select(F.col("eid").cast("bigint").alias("eid"), "e.src", "e.dst", "e.properties")
+    links = own(parsed.where(link), program.edge)
+    first = links.agg(F.min("number").alias("first"))
+    links = links.join(F.broadcast(first)).select((F.col("number") - F.col("first")).alias("eid"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), "p")
     return Graph(nodes, links.select("eid", "src", "dst", *(field(p, t) for p, t in program.edge.items())))
 
 
@@ -183,19 +191,17 @@ def results(nodes: DataFrame, prop: str) -> DataFrame:
 
 
 def write_results_json(nodes: DataFrame, prop: str, path: str) -> None:
-    """A property of every node as one JSON object by id, for results that are exchanged by file; it is gathered in one
-    place by its format, and large results go to Parquet."""
-    pair = F.struct("id", F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.col("value")).alias("text"))
-    whole = results(nodes, prop).agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["text"]), ",").alias("body"))
-    whole.select(F.concat(F.lit("{"), "body", F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A property of every node as one JSON object by id, in parts as ``write_documents`` leaves them."""
+    member = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.col("value"))
+    write_object(results(nodes, prop).select(F.col("id").alias("key"), member.alias("text")), path)
 
 
 def write_graph_json(graph: Graph, path: str) -> None:
-    """A graph as one JSON document, for graphs that are exchanged by file; large ones go to ``write_graph_parquet``."""
-    record = lambda df, keys: df.select(F.struct(*keys, F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, "eid"))).alias("properties")).alias("r"))
-    nodes = record(graph.nodes, ["id"]).agg(F.collect_list("r").alias("nodes"))
-    edges = record(graph.edges.orderBy("eid"), ["src", "dst"]).agg(F.collect_list("r").alias("edges"))
-    nodes.crossJoin(edges).coalesce(1).write.mode("overwrite").json(path)
+    """A graph as one JSON document, nodes by id and edges by number, in parts as ``write_documents`` leaves them."""
+    record = lambda df, keys: F.to_json(F.struct(*keys, F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, "eid"))).alias("properties")))
+    nodes = graph.nodes.select(F.col("id").alias("key"), record(graph.nodes, ["id"]).alias("text"))
+    edges = graph.edges.select(F.col("eid").alias("key"), record(graph.edges, ["src", "dst"]).alias("text"))
+    write_documents([("nodes", nodes), ("edges", edges)], path)
 
 
 def write_graph_parquet(graph: Graph, path: str) -> None:

@@ -76,6 +76,26 @@ def test_generate(spark, app):
         assert g.nodes.where("id = 0").first().prop == 0x80000001
 
 
+def test_many_ranges(spark, monkeypatch):
+    """Ranges of sources share the edges out exactly, and far more nodes than 64 bits have pairs for can be planned."""
+    from gasframe.sources import generate
+
+    for leaves in (1, 3, 8):
+        parts = [generate.leaf(5, 50, 700, leaves, k) for k in range(leaves)]
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(leaves)] and sum(p[1] for p in parts) == 50
+        assert [p[3] for p in parts] == [sum(q[2] for q in parts[:k]) for k in range(leaves)] and sum(p[2] for p in parts) == 700
+    monkeypatch.setattr(generate, "LEAF_EDGES", 40)
+    g = generate_graph(spark, "cc", 50, 700, 5)
+    e = sorted(rows(g.edges.select("src", "dst")))
+    assert len(set(e)) == 700 and [(r.eid, r.src, r.dst) for r in g.edges.orderBy("eid").collect()] == [(k, *x) for k, x in enumerate(e)]
+    density = [sum(generate.leaf(seed, 50, 700, 18, k)[2] for seed in range(12)) / generate.leaf(0, 50, 700, 18, k)[1] for k in range(18)]
+    assert max(density) < 1.3 * min(density)
+    big = generate.leaf(1, 10**10, 10**12, 4_000_000, 3_999_999)
+    assert big[0] + big[1] == 10**10 and big[2] + big[3] == 10**12 and abs(big[2] - 250_000) < 5_000
+    assert generate_graph(spark, "cc", 10**10, 10**12).edges._jdf.queryExecution().executedPlan() is not None
+    assert len(set(generate._cells(__import__("numpy").random.default_rng(1), 1 << 61, 5000).tolist())) == 5000
+
+
 def test_generate_limits(spark):
     assert generate_graph(spark, "cc", 5, 25).edges.count() == 25
     for args in (("zz", 3, 3), ("cc", 0, 3), ("cc", 3, 0), ("cc", 3, 10)):
