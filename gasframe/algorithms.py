@@ -58,6 +58,7 @@ PROGRAMS = {
     "difference": _program("label: int<32>", "", "e.src.label", "lambda a, b: a - b", "", "label"),
     "bits": _program("label: int<32>", "", "(~e.src.label) & 1023", MOST, "lambda d: d > 512 || self.label == 0 ? d - self.label : self.label", "label"),
     "own_gap": _program("color: int<32>", "", "make_set(e.src.color)", "lambda a, b: set_union(a, b)", "lambda s: mex(set_insert(s, self.color))", "color"),
+    "vector_sum": _program("vec: vector<float, 16>", "rating: float", "vector_scale(e.src.vec, e.rating)", "lambda a, b: vector_add(a, b)", "", "vec"),
     "reach": _program("seen: set<int<32>>", "", "e.src.seen", "lambda a, b: set_union(a, b)", "lambda s: set_union(self.seen, s)", "seen"),
     "sssp_extra": sssp(extra=2),
     "sssp_inverted": sssp().replace("d < self.dist ? d : self.dist", "d < self.dist ? self.dist : d"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gasframe.operators.graph import MARKS, Graph, Run, _Edges, _aggregate, _bytes, _prepared, _put_away, _scatter_member, _sized, _used, applied, gathered, met, scattered
+from gasframe.operators.graph import MARKS, Graph, Run, _Edges, _aggregate, _bytes, _prepared, _put_away, _scatter_member, _sized, _used, applied, gathered, met, once, scattered
 from gasframe.plans.columns import Compiler, Typed, kind_of
 from gasframe.plans.dsl import Member
 from gasframe.plans.superstep_plan import EDGE_VAR, Superstep, classify, walk
@@ -39,10 +39,6 @@ def suits(step: Superstep, columns: list[str]) -> bool:
     return kind in KEPT or kind in SPARSE and not any(_reads(step, t) for t in step.tests)
 
 
-def _sources(step: Superstep, nodes: DataFrame, *more: Column) -> DataFrame:
-    return nodes.select(F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(_used(step)[0])), *more)
-
-
 def _message(step: Superstep, target: str) -> tuple[Column, Typed]:
     """The message of an edge, null if its tests fail, with the source's written property in the column ``target``."""
     plain = _scatter_member(step)
@@ -62,8 +58,16 @@ def _message(step: Superstep, target: str) -> tuple[Column, Typed]:
 
 def changes(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, moved: int) -> tuple[DataFrame, Typed]:
     """(k, new, old): the messages of the ``moved`` nodes whose property moved in the last step, as they are and were."""
-    changed = nodes.where(~F.col(f"`{step.target}`").eqNullSafe(F.col("`$old`")))
-    s = _sources(step, changed, F.col("`$old`").alias("o_target"))
+    def columns():
+        moving = ~F.col(f"`{step.target}`").eqNullSafe(F.col("`$old`"))
+        (new, value), (old, _) = _message(step, f"s_{step.target}"), _message(step, "o_target")
+        key = Compiler(step.mask, _scatter_member(step)).compile(step.key, {}).column
+        source = [F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(_used(step)[0])), F.col("`$old`").alias("o_target")]
+        return moving, source, [key.alias("k"), new.alias("new"), old.alias("old")], value
+
+    moving, source, out, value = once(step, "changes", columns)
+    changed = nodes.where(moving)
+    s = changed.select(*source)
     if isinstance(edges, _Edges) and moved <= NAMED:
         ids = [r[0] for r in changed.select("id").collect()]
         edges = edges.cold.where(F.col("src").isin(ids)).unionByName(edges.hot.where(F.col("src").isin(ids)))
@@ -71,10 +75,7 @@ def changes(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, moved:
         s = F.broadcast(s)
         if isinstance(edges, _Edges):
             edges = edges.cold.unionByName(edges.hot)
-    e = met(step, s, edges)
-    (new, value), (old, _) = _message(step, f"s_{step.target}"), _message(step, "o_target")
-    key = Compiler(step.mask, _scatter_member(step)).compile(step.key, {}).column
-    return e.select(key.alias("k"), new.alias("new"), old.alias("old")), value
+    return met(step, s, edges).select(*out), value
 
 
 def _few(agg: DataFrame, total: int) -> DataFrame:
@@ -84,21 +85,28 @@ def _few(agg: DataFrame, total: int) -> DataFrame:
     return F.broadcast(agg) if total * 16 * len(agg.columns) <= limit else agg
 
 
-def _merged(kind: str, nodes: DataFrame, messages: DataFrame, total: int) -> DataFrame:
-    """``nodes`` with the new messages merged into ``$g``; ``$lost`` where a message got worse that may have made it."""
+def _merging(kind: str, columns: list[str]) -> tuple[list[Column], list[Column]]:
+    """What is gathered of new and old messages, and the columns of nodes with it merged in."""
     new, old, g, d, lost = (F.col(c) for c in ("new", "old", "`$g`", "d", "lost"))
+    zero = F.lit(0).cast("bigint")
     if kind == "or":
-        agg = messages.groupBy("k").agg(F.count("*").alias("n"), F.bit_or("new").alias("d"), F.bit_or(old.bitwiseAND(F.bitwise_not(F.coalesce(new, F.lit(0).cast("bigint"))))).alias("lost"))
-        merged, worse = F.coalesce(g.bitwiseOR(d), g, d), lost.bitwiseAND(F.bitwise_not(F.coalesce(d, F.lit(0).cast("bigint")))) != 0
+        agg = [F.bit_or("new").alias("d"), F.bit_or(old.bitwiseAND(F.bitwise_not(F.coalesce(new, zero)))).alias("lost")]
+        merged, worse = F.coalesce(g.bitwiseOR(d), g, d), lost.bitwiseAND(F.bitwise_not(F.coalesce(d, zero))) != 0
     else:
         pick, best = (F.min, F.least) if kind == "min" else (F.max, F.greatest)
         back = new > old if kind == "min" else new < old
-        agg = messages.groupBy("k").agg(F.count("*").alias("n"), pick("new").alias("d"), pick(F.when(old.isNotNull() & (new.isNull() | back), old)).alias("lost"))
+        agg = [pick("new").alias("d"), pick(F.when(old.isNotNull() & (new.isNull() | back), old)).alias("lost")]
         covered = d <= lost if kind == "min" else d >= lost
         merged, worse = best(g, d), (lost == g) & ~F.coalesce(covered, F.lit(False))
-    joined = nodes.drop("$lost", "$sent", "$old", "$changed").join(_few(agg, total), F.col("id") == F.col("k"), "left")
-    rest = [F.col(f"`{c}`") for c in nodes.columns if c not in (*MARKS, "$old", "$changed")]
-    return joined.select(*rest, merged.alias("$g"), F.coalesce(worse, F.lit(False)).alias("$lost"), F.coalesce("n", F.lit(0)).alias("$sent"))
+    rest = [F.col(f"`{c}`") for c in columns if c not in (*MARKS, "$old", "$changed")]
+    return [F.count("*").alias("n"), *agg], [*rest, merged.alias("$g"), F.coalesce(worse, F.lit(False)).alias("$lost"), F.coalesce("n", F.lit(0)).alias("$sent")]
+
+
+def _merged(step: Superstep, kind: str, nodes: DataFrame, messages: DataFrame, total: int) -> DataFrame:
+    """``nodes`` with the new messages merged into ``$g``; ``$lost`` where a message got worse that may have made it."""
+    agg, out = once(step, "merging", lambda: _merging(kind, nodes.columns))
+    gathered_ = messages.groupBy("k").agg(*agg)
+    return nodes.drop("$lost", "$sent", "$old", "$changed").join(_few(gathered_, total), once(step, "here", lambda: F.col("id") == F.col("k")), "left").select(*out)
 
 
 def _gathered_anew(step: Superstep, merged: DataFrame, nodes: DataFrame, edges: DataFrame | _Edges) -> DataFrame:
@@ -115,12 +123,15 @@ def _gathered_anew(step: Superstep, merged: DataFrame, nodes: DataFrame, edges:
 def _stepped(step: Superstep, joined: DataFrame, columns: list[str], g: Typed) -> tuple[DataFrame, dict]:
     """The apply over gathered values ``$g``, written; the same job counts the nodes that changed, that moved at all, and
     that lost a message, and the messages that came to any."""
-    seen = Observation()
-    out = applied(step, joined, columns, F.col("`$g`").isNotNull(), g, keep_old=True, keep=tuple(F.col(f"`{c}`") for c in MARKS))
-    moved = ~F.col(f"`{step.target}`").eqNullSafe(F.col("`$old`"))
-    counts = {"changed": F.col("`$changed`"), "moved": moved, "lost": F.col("`$lost`")}
-    out = out.observe(seen, *(F.count_if(c).alias(n) for n, c in counts.items()), F.sum("`$sent`").alias("sent"), F.count("*").alias("nodes"))
-    return written(out, "step"), seen.get
+    def made():
+        moved = ~F.col(f"`{step.target}`").eqNullSafe(F.col("`$old`"))
+        counts = {"changed": F.col("`$changed`"), "moved": moved, "lost": F.col("`$lost`")}
+        observed = [*(F.count_if(c).alias(n) for n, c in counts.items()), F.sum("`$sent`").alias("sent"), F.count("*").alias("nodes")]
+        return F.col("`$g`").isNotNull(), tuple(F.col(f"`{c}`") for c in MARKS), observed
+
+    (has, marks, observed), seen = once(step, "stepped", made), Observation()
+    out = applied(step, joined, columns, has, g, keep_old=True, keep=marks)
+    return written(out.observe(seen, *observed), "step"), seen.get
 
 
 def _gathering(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFrame, Typed]:
@@ -131,7 +142,7 @@ def _gathering(step: Superstep, messages: DataFrame, value: Typed) -> tuple[Data
 
 def _kept_step(step: Superstep, kind: str, now: DataFrame, edges: DataFrame | _Edges, columns: list[str], g: Typed, told: dict) -> tuple[DataFrame, dict]:
     messages, _ = changes(step, now, edges, told["moved"])
-    out, told = _stepped(step, _merged(kind, now, messages, told["nodes"]), columns, g)
+    out, told = _stepped(step, _merged(step, kind, now, messages, told["nodes"]), columns, g)
     if not told["lost"]:
         return out, told
     before = now.select(*(F.col(f"`{c}`") for c in columns))

@@ -47,6 +47,15 @@ class Graph:
         return ends.join(self.nodes, "id", "left_anti")
 
 
+def once(step: Superstep, name: object, make):
+    """What ``make`` gives, made once for a step: columns are the same in each of a run's supersteps, and to make them
+    anew takes as long as a small step."""
+    held = step.__dict__.setdefault("$made", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def _used(step: Superstep) -> tuple[set[str], set[str]]:
     """The source-node and edge properties that the scatter reads."""
     source, edge = set(), set()
@@ -218,9 +227,8 @@ def _dealt(edges: DataFrame) -> _Edges:
 
 def met(step: Superstep, s: DataFrame, edges: DataFrame | _Edges) -> DataFrame:
     """The edges, with properties that the program reads, joined with their sources ``s`` (s_id, ...)."""
-    edge = _used(step)[1]
-    own = lambda df: df.select("eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge)))
-    at = F.col("src") == F.col("s_id")
+    wanted, at = once(step, "met", lambda: (["eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(_used(step)[1]))], F.col("src") == F.col("s_id")))
+    own = lambda df: df.select(*wanted)
     if isinstance(edges, _Edges):
         few = F.broadcast(s.join(F.broadcast(edges.ids), F.col("s_id") == F.col("h_id"), "left_semi"))
         return own(edges.cold).join(s, at).union(own(edges.hot).join(few, at))
@@ -229,17 +237,20 @@ def met(step: Superstep, s: DataFrame, edges: DataFrame | _Edges) -> DataFrame:
 
 def scattered(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges) -> tuple[DataFrame, Typed]:
     """Messages (k, v, eid): the edges joined with the source properties they read, tested and projected."""
-    source, edge = _used(step)
-    s = nodes.select(F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(source)))
-    if isinstance(edges, _Edges) or source:
-        e = met(step, s, edges)
-    else:
-        e = edges.select("eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge)))
-    compiler = Compiler(step.mask, _scatter_member(step))
-    for test in step.tests:
-        e = e.where(compiler.compile(test, {}).column)
-    key, value = compiler.compile(step.key, {}), _sent(step, compiler)
-    return e.select(key.column.alias("k"), value.column.alias("v"), "eid"), value
+    def columns():
+        source, edge = _used(step)
+        compiler = Compiler(step.mask, _scatter_member(step))
+        tests = [compiler.compile(test, {}).column for test in step.tests]
+        key, value = compiler.compile(step.key, {}), _sent(step, compiler)
+        from_nodes = [F.col("id").alias("s_id"), *(F.col(f"`{p}`").alias(f"s_{p}") for p in sorted(source))]
+        from_edges = ["eid", "src", "dst", *(F.col(f"`{p}`").alias(f"e_{p}") for p in sorted(edge))]
+        return bool(source), from_nodes, from_edges, tests, [key.column.alias("k"), value.column.alias("v"), "eid"], value
+
+    reads, from_nodes, from_edges, tests, out, value = once(step, "scattered", columns)
+    e = met(step, nodes.select(*from_nodes), edges) if isinstance(edges, _Edges) or reads else edges.select(*from_edges)
+    for test in tests:
+        e = e.where(test)
+    return e.select(*out), value
 
 
 def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFrame, Typed]:
@@ -249,7 +260,7 @@ def gathered(step: Superstep, messages: DataFrame, value: Typed) -> tuple[DataFr
     v = Typed(F.col("v"), value.kind, value.parts, value.size)
     if suits(value) and classify(step.reducer)[0] in ("each", "matrix_sum", "vector_sum"):
         return normal_sums(messages, value)
-    done = _aggregate(classify(step.reducer), v, step, step.reducer)
+    done = once(step, "aggregate", lambda: _aggregate(classify(step.reducer), v, step, step.reducer))
     if done:
         column, held = done
         return messages.groupBy("k").agg(column.alias("g")), Typed(F.col("g"), held.kind, held.parts, held.size)
@@ -289,29 +300,33 @@ def applied(step: Superstep, joined: DataFrame, columns: list[str], has: Column,
     that a set stands behind ``g``. Columns to ``keep`` go along."""
     target = step.target
     declared = target in step.program.node and target in columns
-    old = Typed(F.col(f"`{target}`"), *kind_of(step.program.node[target])) if declared else None
-    stays = no_message == "skip" or no_message == "current" and (old is None or old.kind != ("set" if gap else g.kind))
-    if stays:
-        held = g
-    else:
-        other = old.column if no_message == "current" else F.lit(no_message)
-        kind = "double" if g.kind == "float" else "bigint"
-        held = Typed(F.when(has, g.column).otherwise(other if no_message == "current" else other.cast(kind)), g.kind, g.parts, g.size)
-    compiler = Compiler(step.mask, _apply_member(step))
-    new = compiler.compile(step.apply.body, {step.apply.params[0]: held}) if step.apply else held
-    if old is not None and {old.kind, new.kind} == {"int", "float"}:
-        new = Typed(new.column.cast("double" if old.kind == "float" else "bigint"), old.kind)
-    column = new.column
-    if stays:
-        column = F.when(has, column).otherwise(old.column if old is not None else F.lit(None))
-    rest = [F.col(f"`{c}`") for c in columns if c not in (target, "$changed", "$old", *MARKS)]
-    stepped = joined.select(*rest, *keep, *([F.col(f"`{target}`").alias("$old")] if declared else []), column.alias(target))
-    if declared:
+
+    def made():
+        old = Typed(F.col(f"`{target}`"), *kind_of(step.program.node[target])) if declared else None
+        stays = no_message == "skip" or no_message == "current" and (old is None or old.kind != ("set" if gap else g.kind))
+        if stays:
+            held = g
+        else:
+            other = old.column if no_message == "current" else F.lit(no_message)
+            kind = "double" if g.kind == "float" else "bigint"
+            held = Typed(F.when(has, g.column).otherwise(other if no_message == "current" else other.cast(kind)), g.kind, g.parts, g.size)
+        compiler = Compiler(step.mask, _apply_member(step))
+        new = compiler.compile(step.apply.body, {step.apply.params[0]: held}) if step.apply else held
+        if old is not None and {old.kind, new.kind} == {"int", "float"}:
+            new = Typed(new.column.cast("double" if old.kind == "float" else "bigint"), old.kind)
+        column = new.column
+        if stays:
+            column = F.when(has, column).otherwise(old.column if old is not None else F.lit(None))
+        rest = [F.col(f"`{c}`") for c in columns if c not in (target, "$changed", "$old", *MARKS)]
+        listed = [*rest, *keep, *([F.col(f"`{target}`").alias("$old")] if declared else []), column.alias(target)]
+        if not declared:
+            return listed, F.col(f"`{target}`").isNotNull() if target not in columns else F.lit(True)
         before, after = Typed(F.col("`$old`"), new.kind, new.parts, new.size), Typed(F.col(f"`{target}`"), new.kind, new.parts, new.size)
-        changed = ~F.coalesce(equal(before, after), before.column.isNull() & after.column.isNull())
-        marked = stepped.withColumn("$changed", changed)
-        return marked if keep_old else marked.drop("$old")
-    return stepped.withColumn("$changed", F.col(f"`{target}`").isNotNull() if target not in columns else F.lit(True))
+        return listed, ~F.coalesce(equal(before, after), before.column.isNull() & after.column.isNull())
+
+    listed, changed = once(step, ("applied", tuple(columns), str(no_message), gap, bool(keep)), made)
+    marked = joined.select(*listed).withColumn("$changed", changed)
+    return marked.drop("$old") if declared and not keep_old else marked
 
 
 def _declare(step: Superstep) -> Superstep:
@@ -382,7 +397,7 @@ def iterate(program: Program | str, graph: Graph, steps: int, no_message: object
                 nodes = written(nodes, "step")
                 _put_away(edges)
             break
-        nodes, _ = _advance(step, nodes, edges, no_message)
+        nodes = written(superstep(step, nodes, edges, no_message).drop("$changed"), "step")
         step = _declare(step)
         if last is not None:
             forget(last)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Of each application whose settings name a folder, that folder: reading settings takes as long as planning a query.
+_named: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,7 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     A machine-local folder stands in only where driver and executors are one process (``local[...]``).
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    app = spark.sparkContext.applicationId
+    if app in _named:
+        return f"{_named[app].rstrip('/')}/{app}"
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        _named[app] = found
+    found = found or spark.sparkContext.getCheckpointDir()
     if not found:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
@@ -23,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="gasframe-"))
         found = _own[0]
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{found.rstrip('/')}/{app}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -79,7 +79,7 @@ def test_bucketed_tables_are_dropped(spark):
 def test_the_rest_stands_where_the_training_data_part_cannot_be_imported(monkeypatch):
     import __spark_entry__
 
-    from gasframe.queries import ORACLES, QUERIES
+    from gasframe import queries, queries_more
 
     monkeypatch.setitem(sys.modules, "gasframe.llm.queries", None)
-    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)
+    assert set(__spark_entry__.queries()) == {*queries.QUERIES, *queries_more.QUERIES} and set(__spark_entry__.oracle_sql()) == {*queries.ORACLES, *queries_more.ORACLES}

@@ -1,8 +1,9 @@
 import duckdb
 import pytest
 
-from gasframe.queries import ORACLES, QUERIES
+from gasframe import queries, queries_more
 
+QUERIES, ORACLES = {**queries.QUERIES, **queries_more.QUERIES}, {**queries.ORACLES, **queries_more.ORACLES}
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
