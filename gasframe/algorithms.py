@@ -26,6 +26,8 @@ def _program(node: str, edge: str, value: str, reducer: str, apply: str = "", ta
 
 LEAST, MOST, TOTAL = "lambda a, b: a < b ? a : b", "lambda a, b: a > b ? a : b", "lambda a, b: a + b"
 INF, LOW, ACTIVE = (1 << 31) - 2, (1 << 31) - 1, 1 << 31
+#: 32 bits. Literals have 64, and a program whose types meet those has no mask of its own.
+WORD = (1 << 32) - 1
 
 
 def sssp(kind: str = "int<32>", weight: str = "int<32>", extra: int = 0) -> str:
@@ -56,7 +58,7 @@ PROGRAMS = {
     "sssp_8bit": sssp("int<8>", "int<10>"),
     "sssp_light": sssp().replace("to = map([links]", "light = filter([links], lambda e: e.weight <= 6 && !(e.weight == 3))\n    to = map([light]").replace("sent = map([links]", "sent = map([light]"),
     "difference": _program("label: int<32>", "", "e.src.label", "lambda a, b: a - b", "", "label"),
-    "bits": _program("label: int<32>", "", "(~e.src.label) & 1023", MOST, "lambda d: d > 512 || self.label == 0 ? d - self.label : self.label", "label"),
+    "bits": _program("label: int<32>", "", "(~e.src.label) & 1023", MOST, f"lambda d: d > 512 || self.label == 0 ? (d - self.label) & {WORD} : self.label", "label"),
     "own_gap": _program("color: int<32>", "", "make_set(e.src.color)", "lambda a, b: set_union(a, b)", "lambda s: mex(set_insert(s, self.color))", "color"),
     "vector_sum": _program("vec: vector<float, 16>", "rating: float", "vector_scale(e.src.vec, e.rating)", "lambda a, b: vector_add(a, b)", "", "vec"),
     "reach": _program("seen: set<int<32>>", "", "e.src.seen", "lambda a, b: set_union(a, b)", "lambda s: set_union(self.seen, s)", "seen"),

@@ -166,3 +166,17 @@ def test_many_nodes_and_a_hub(spark):
         assert not re.search(r"Exchange hashpartitioning\(src", plan) and "Bucketed: true" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bit_operators_wrap_at_the_declared_width(spark):
+    """Literals have 64 bits, so that the program has no mask: a label above what is gathered became negative."""
+    g = graph(spark, "label long", [(0, 100), (1, 2000), (2, 2**32 - 1)], [(0, 1), (1, 2)])
+    assert values(iterate(PROGRAMS["bits"], g, 1).nodes, "label") == {0: 100, 1: (923 - 2000) & (2**32 - 1), 2: 2**32 - 1}
+    assert values(iterate(PROGRAMS["bits"], g, 3).nodes, "label") == plain_bits({0: 100, 1: 2000, 2: 2**32 - 1}, {1: [0], 2: [1]}, 3)
+
+
+def plain_bits(label, sources, steps):
+    for _ in range(steps):
+        got = {k: max(~label[s] & 1023 for s in sources[k]) if k in sources else label[k] for k in label}
+        label = {k: (got[k] - label[k]) & (2**32 - 1) if got[k] > 512 or not label[k] else label[k] for k in label}
+    return label
