@@ -179,7 +179,7 @@ def _sparse_step(step: Superstep, now: DataFrame, edges: DataFrame | _Edges, col
 def settled(step: Superstep, graph: Graph, limit: int) -> Run:
     """Supersteps until no node changes, ``limit`` at most; all nodes send in the first, and then those that moved."""
     kind = classify(step.reducer)[0]
-    nodes, edges = _prepared(step, graph)
+    nodes, edges = _prepared(step, graph, ordered=False)
     columns = nodes.columns
     messages, value = scattered(step, nodes, edges)
     agg, g = _gathering(step, messages, value)

@@ -4,6 +4,7 @@ import random
 import sys
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gasframe.algorithms import PROGRAMS
@@ -76,6 +77,31 @@ def test_bucketed_tables_are_dropped(spark):
     assert {x.name for x in spark.catalog.listTables()} == before
 
 
+def test_supply_is_stored_one_way(spark):
+    from gasframe.queries import PART, supply
+
+    g = supply(spark, "/root/testdata/sf0.001")
+    stored = spark.read.parquet(*g.edges.inputFiles())
+    assert stored.columns == ["src", "dst"] and stored.where(F.col("dst") < PART).count() == 0 and 2 * stored.count() == g.edges.count()
+    assert {r.id for r in g.nodes.collect()} == {r.src for r in g.edges.collect()}
+
+
+@pytest.mark.parametrize("program", ["cc_self"])
+def test_edges_are_dealt_with_what_is_read(spark, monkeypatch, program):
+    """Least and greatest labels need no edge numbers, and a difference does."""
+    dealt, real = [], engine._dealt
+    monkeypatch.setattr(engine, "_dealt", lambda edges: dealt.append(edges.columns) or real(edges))
+    g = Graph(spark.createDataFrame([(i, i) for i in range(9)], "id long, label long"), spark.createDataFrame([(i, i, i + 1) for i in range(8)], "eid long, src long, dst long"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.id: r.label for r in engine.run(PROGRAMS[program], g).nodes.collect()} == {i: 0 if program == "cc_self" else i for i in range(9)}
+        iterate(PROGRAMS["difference"], g, 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert dealt == [["src", "dst"], ["eid", "src", "dst"]]
+
+
 def test_the_rest_stands_where_the_training_data_part_cannot_be_imported(monkeypatch):
     import __spark_entry__
 
