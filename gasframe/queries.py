@@ -197,14 +197,14 @@ def _territory(spark: SparkSession, sf_dir: str) -> Graph:
     link = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
     pairs = link(t("nation"), at("n_regionkey", 0), at("n_nationkey", 1)).union(link(t("customer"), at("c_nationkey", 1), at("c_custkey", 2))).union(link(t("supplier"), at("s_nationkey", 1), at("s_suppkey", 3)))
     pairs = pairs.union(link(t("orders"), at("o_custkey", 2), at("o_orderkey", 4))).union(link(t("lineitem"), at("l_suppkey", 3), at("l_partkey", 5)).distinct())
-    edges = written(pairs.withColumn("eid", F.monotonically_increasing_id()), "territory")
+    edges = written(pairs, "territory").withColumn("eid", F.monotonically_increasing_id())
     own = F.when(F.col("id") % 6 < 2, F.array("id")).otherwise(F.array().cast("array<bigint>"))
     return Graph(_ends(edges).withColumn("seen", own), edges)
 
 
 def _reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regions and nations from which a node can be reached."""
-    return relations.united(PROGRAMS["reach"], _territory(spark, sf_dir)).rows
+    return relations.united(PROGRAMS["reach"], _territory(spark, sf_dir), closed=True).rows
 
 
 #: Programs with a step number make exactly so many supersteps: those of the rank families (``FIXED_STEPS``), and those that do

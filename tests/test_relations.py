@@ -41,6 +41,17 @@ def test_reachable_sets(spark):
         relations.united(PROGRAMS["reach"], g, 1)
 
 
+def test_steps_of_unions_do_not_ask_again_which_nodes_there_are(spark, monkeypatch):
+    plans, real = [], relations.written
+    monkeypatch.setattr(relations, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    nodes = spark.createDataFrame([(0, [5]), (1, []), (2, [])], "id long, seen array<bigint>")
+    links = lambda *pairs: Graph(nodes, spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "eid long, src long, dst long"))
+    for known in ({}, {"closed": True}):
+        assert {tuple(r) for r in relations.united(PROGRAMS["reach"], links((0, 1), (1, 2)), **known).rows.collect()} == {(0, 5), (1, 5), (2, 5)}
+    assert plans and not any("LeftSemi" in p for p in plans)
+    assert {tuple(r) for r in relations.united(PROGRAMS["reach"], links((0, 9), (9, 1), (0, 2))).rows.collect()} == {(0, 5), (2, 5)}
+
+
 def test_normal_equations(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(40, 16))
