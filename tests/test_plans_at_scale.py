@@ -86,7 +86,7 @@ def test_supply_is_stored_one_way(spark):
     assert {r.id for r in g.nodes.collect()} == {r.src for r in g.edges.collect()}
 
 
-@pytest.mark.parametrize("program", ["cc_self"])
+@pytest.mark.parametrize("program", ["cc_self", "wcc_self"])
 def test_edges_are_dealt_with_what_is_read(spark, monkeypatch, program):
     """Least and greatest labels need no edge numbers, and a difference does."""
     dealt, real = [], engine._dealt
