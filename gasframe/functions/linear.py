@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RIDGE = 1e-6
+#: Systems that are held as arrays at once.
+STACK = 1024
 #: A pivot that no row below exceeds counts as this much at least, so that a singular system has a solution.
 LEAST_PIVOT = 1e-12
 
@@ -31,7 +33,7 @@ def eliminated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def solve_batch(rows: pd.Series, cols: pd.Series, data: pd.Series, right: pd.Series) -> pd.Series:
-    """Solutions of (A + RIDGE I) x = b, stacked by size. A singular system is solved with its least pivots. A system
+    """Solutions of (A + RIDGE I) x = b, stacked by size, ``STACK`` at once. A singular system is solved with its least pivots. A system
     that is not square, or does not fit its right side, is an error; a row without a matrix has no solution."""
     out: list = [None] * len(right)
     sizes: dict[int, list[int]] = {}
@@ -46,10 +48,11 @@ def solve_batch(rows: pd.Series, cols: pd.Series, data: pd.Series, right: pd.Ser
             for i in at:
                 out[i] = []
             continue
-        a = np.stack([np.asarray(data.iloc[i], float) for i in at]).reshape(-1, n, n) + RIDGE * np.eye(n)
-        b = np.stack([np.asarray(right.iloc[i], float) for i in at])
-        for i, x in zip(at, eliminated(a, b)):
-            out[i] = x.tolist()
+        for some in (at[j : j + STACK] for j in range(0, len(at), STACK)):
+            a = np.stack([np.asarray(data.iloc[i], float) for i in some]).reshape(-1, n, n) + RIDGE * np.eye(n)
+            b = np.stack([np.asarray(right.iloc[i], float) for i in some])
+            for i, x in zip(some, eliminated(a, b)):
+                out[i] = x.copy()
     return pd.Series(out)
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from gasframe.plans.columns import Typed
 
-#: Rows whose products are held at once.
-_CHUNK = 4096
+#: Rows whose products are held at once, and partial sums that are unpacked at once.
+_CHUNK, _MERGED = 4096, 1024
 
 
 def _parts(value: Typed) -> list[tuple]:
@@ -101,9 +101,7 @@ def normal_sums(messages: DataFrame, value: Typed) -> tuple[DataFrame, Typed]:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), g], ["k", "g"])
 
         last, kept = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, _MERGED) for b in batches for at in range(0, b.num_rows, _MERGED)):
             keys, rows = _summed(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, total))
             if last is not None:
                 if keys[0] == last:

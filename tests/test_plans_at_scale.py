@@ -62,6 +62,20 @@ def test_elimination_with_a_least_pivot():
     assert np.isfinite(out).all() and out[0].sum() == 2 and out[1].tolist() == [0.0, 2.0] and out[2].tolist() == [5.0, 3.0]
 
 
+def test_systems_are_solved_a_stack_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from gasframe.functions import linear
+
+    held, real = [], linear.eliminated
+    monkeypatch.setattr(linear, "eliminated", lambda a, b: held.append(len(a)) or real(a, b))
+    rng, n = np.random.default_rng(4), 2500
+    a, b = rng.normal(size=(n, 3, 3)), rng.normal(size=(n, 3))
+    out = linear.solve_batch(pd.Series([3] * n), pd.Series([3] * n), pd.Series(list(a.reshape(n, 9))), pd.Series(list(b)))
+    assert sum(held) == n and max(held) <= 1024 and all(x.base is None for x in out)
+    assert np.allclose((a + 1e-6 * np.eye(3)) @ np.stack(out)[..., None], b[..., None], atol=1e-6)
+
+
 def test_generated_graphs_have_exactly_their_edges(spark):
     for nodes, edges in ((7, 49), (7, 48), (100, 9000), (1000, 70_000), (3, 1)):
         e = generate_graph(spark, "cc", nodes, edges).edges
