@@ -23,6 +23,14 @@ _MIX = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint
 CROWD = 64
 
 
+def _simhash(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of the hashes of a text's shingles; zero if there is none."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        votes += _votes(hashes[at : at + _CHUNK])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(data: bytes, k: int = 3) -> int:
     """The 64-bit SimHash of one UTF-8 text: A-Z lower-cased, words split at ASCII white space, k-word shingles."""
     words = data.lower().split()
@@ -161,8 +169,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """As ``near_duplicates``, with documents linked whose sets of k-word shingles have that Jaccard similarity or
     more (0.8 at least; below, the bands propose fewer of the pairs).
 
-    Equal sets are one node. Sets that share a band of minima are compared by their shingles: first those of a bucket
-    with its most central one, which shares most bands. Then the sets of buckets that are not yet one component meet by
+    Equal sets are one node, with the SimHash of the set as its fingerprint. Fingerprints are linked as in
+    ``near_duplicates``, by one-wildcard variants of their segments, equality on keys and differing bits, and the sets
+    behind a link are compared by their shingles. Two bits reach few sets of similarity 0.8, which differ in three to
+    eleven; so sets that share a band of minima are compared too: first those of a bucket with its most central one,
+    which shares most bands. Then the sets of buckets that are not yet one component meet by
     their rarest shingles (``prefix_pairs``), which two sets that are alike must share, and not by their buckets, so that
     a crowd that has much in common, but less than asked for, makes no pairs for it. So the components are those of all
     proposed pairs. Null and empty texts have the empty set; a null id counts only where no other is in the component;
@@ -176,9 +187,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows = []
             for t in batch.column(2).cast(pa.binary()):
                 held = shingle_set(t.as_py(), k)
-                rows.append((xxhash.xxh64_intdigest(held.astype("<u8").tobytes()) if len(held) else 0, len(held), _bands(held) if len(held) else []))
-            fp = pa.array(np.array([x[0] for x in rows], np.uint64).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], ["doc_id", "tkey", "fp", "n", "bands"])
+                rows.append((xxhash.xxh64_intdigest(held.astype("<u8").tobytes()) if len(held) else 0, len(held), _bands(held) if len(held) else [], _simhash(held)))
+            bits = lambda i: pa.array(np.array([x[i] for x in rows], np.uint64).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits(0), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.int64())), bits(3)], ["doc_id", "tkey", "fp", "n", "bands", "sim"])
 
     def sets(batches):
         for batch in batches:
@@ -186,14 +197,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fp = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) if len(x) else 0 for x in held], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array([x.astype(np.int64).tolist() for x in held], pa.list_(pa.int64()))], ["fp", "held"])
 
-    signed = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")).mapInArrow(sign, f"doc_id {kind}, tkey long, fp long, n long, bands array<bigint>"), "signed")
-    heads = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("bands").alias("bands")), "heads")
+    signed = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")).mapInArrow(sign, f"doc_id {kind}, tkey long, fp long, n long, bands array<bigint>, sim long"), "signed")
+    heads = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sim").alias("sim")), "heads")
+    sims = written(heads.where("n > 0").groupBy("sim").agg(F.min("fp").alias("fp"), F.max("fp").alias("last")), "sims")
+    of = lambda x: sims.select(F.col("sim").alias(x), F.col("fp").alias(f"fp_{x}"))
+    linked = links(sims.select(F.col("sim").alias("fp"))).join(of("a"), "a").join(of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    same = heads.where("n > 0").select("sim", F.col("fp").alias("b")).join(sims.where("fp != last").select("sim", F.col("fp").alias("a")), "sim").where("a != b").select("a", "b")
+    linked = written(linked.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
     keys = heads.select("fp", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = written(keys.join(buckets, "key").select("key", "fp", "n", "c"), "members")
     weight = written(members.groupBy("fp").agg(F.sum("c").alias("weight")), "weight")
     central = members.join(checked_broadcast(weight), "fp").groupBy("key").agg(F.max(F.struct("weight", "fp"))["fp"].alias("rep"))
-    wanted = written(members.select("fp").distinct().join(heads, "fp").select("tkey"), "wanted")
+    ends = members.select("fp").union(linked.select("a")).union(linked.select("b")).distinct()
+    wanted = written(ends.join(heads, "fp").select("tkey"), "wanted")
     held = docs.select(text.alias("text")).join(checked_broadcast(wanted), F.xxhash64("text") == F.col("tkey"), "left_semi").select("text").mapInArrow(sets, "fp long, held array<bigint>")
     held = written(held.dropDuplicates(["fp"]), "sets")
 
@@ -204,7 +221,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
     with_rep = members.join(central, "key").where("fp != rep").select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b")).distinct()
-    first = written(alike(with_rep), "first")
+    first = written(alike(linked.union(with_rep).distinct()), "first")
     roots = written(connected_components(first), "first_roots")
 
     def mixed(x: DataFrame) -> DataFrame:

@@ -85,6 +85,17 @@ def test_links_are_whole_in_crowded_buckets(spark, distance, crowd):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_copies_are_proposed_by_fingerprints(spark, monkeypatch):
+    """Without any band, sets whose SimHashes differ in one or two bits meet by the variants of their segments."""
+    words = [f"w{i * 7919 % 4001}" for i in range(3000)]
+    print_of = lambda w: simhash._simhash(simhash.shingle_set(" ".join(w).encode()))
+    copies = [[*words[:i], "changed", *words[i + 1 :]] for i in range(0, 3000, 97)]
+    near = next(w for w in copies if 0 < (print_of(w) ^ print_of(words)).bit_count() <= 2)
+    df = table(spark, [" ".join(words), " ".join(near), " ".join(words[::-1]), " ".join(words) + "  ", ""])
+    monkeypatch.setattr(simhash, "_bands", lambda held: [])
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
+
+
 def test_keep_one(spark, hard, empty):
     out = simhash.keep_one(hard)
     assert out.columns == hard.columns
