@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gasframe.operators.graph import MARKS, Graph, Run, _Edges, _aggregate, _bytes, _prepared, _put_away, _scatter_member, _sized, _used, applied, gathered, met, once, scattered
+from gasframe.operators.graph import HOME, MARKS, Graph, Run, _Edges, _aggregate, _bytes, _prepared, _put_away, _scatter_member, _sized, _source_home, _used, applied, gathered, met, once, scattered
 from gasframe.plans.columns import Compiler, Typed, kind_of
 from gasframe.plans.dsl import Member
 from gasframe.plans.superstep_plan import EDGE_VAR, Superstep, classify, walk
@@ -67,14 +67,15 @@ def changes(step: Superstep, nodes: DataFrame, edges: DataFrame | _Edges, moved:
 
     moving, source, out, value = once(step, "changes", columns)
     changed = nodes.where(moving)
-    s = changed.select(*source)
+    s = changed.select(*source, *_source_home(edges))
     if isinstance(edges, _Edges) and moved <= NAMED:
-        ids = [r[0] for r in changed.select("id").collect()]
-        edges = edges.cold.where(F.col("src").isin(ids)).unionByName(edges.hot.where(F.col("src").isin(ids)))
+        named = changed.select("id", HOME).collect()
+        ids, homes = [r[0] for r in named], [r[1] for r in named if r[1] is not None]
+        edges = edges.cold.where(F.col(f"`{HOME}`").isin(homes) & F.col("src").isin(ids)).drop(HOME).unionByName(edges.hot.where(F.col("src").isin(ids)))
     if moved * 16 * len(s.columns) <= max(_sized(nodes.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")), 0):
         s = F.broadcast(s)
         if isinstance(edges, _Edges):
-            edges = edges.cold.unionByName(edges.hot)
+            edges = edges.all()
     return met(step, s, edges).select(*out), value
 
 
@@ -193,4 +194,4 @@ def settled(step: Superstep, graph: Graph, limit: int) -> Run:
         sent.append(told["sent"] or 0)
         forget(last)
     _put_away(edges)
-    return Run(now.select(*(F.col(f"`{c}`") for c in columns)), len(sent), not told["changed"], tuple(sent))
+    return Run(now.select(*(F.col(f"`{c}`") for c in columns if c != HOME)), len(sent), not told["changed"], tuple(sent))

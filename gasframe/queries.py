@@ -35,9 +35,11 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers and the parts they sold, both ways, with small weights. The pairs are written once; the other way, numbers
-    and weights are made of them as they are read."""
-    one = written(_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst")).distinct(), "supply")
+    """Suppliers and the parts they sold, both ways, with small weights. The pairs are written once, in ranges of parts, so
+    that what is counted by part is counted where it lies; the other way, numbers and weights are made of them as they
+    are read."""
+    sold = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst"))
+    one = written(sold.repartitionByRange("dst", "src").distinct(), "supply")
     both = one.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
     edges = _numbered(both).withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 9)
     return Graph(_ends(one), edges)

@@ -116,6 +116,56 @@ def test_edges_are_dealt_with_what_is_read(spark, monkeypatch, program):
     assert dealt == [["src", "dst"], ["eid", "src", "dst"]]
 
 
+def test_sources_with_near_ids_send_from_one_task(spark):
+    """Four blocks of 40 nodes, each linked with all of its block: nodes get a message from one bucket, few from two."""
+    links = [(40 * b + i, 40 * b + j) for b in range(4) for i in range(40) for j in range(40) if i != j]
+    g = Graph(spark.createDataFrame([(i, i) for i in range(170)], "id long, label long"), spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(links)], "eid long, src long, dst long"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", engine.ALL_KEYS)
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, x in zip(names, ("-1", "true")):
+            spark.conf.set(n, x)
+        step = lower(PROGRAMS["wcc_self"])
+        nodes, edges = engine._prepared(step, g, ordered=False)
+        sent = engine.scattered(step, nodes, edges)[0].withColumn("task", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("task").alias("tasks"), F.count("*").alias("n")).collect()
+        assert len(sent) == 160 and all(r.n == 39 for r in sent) and sum(r.tasks for r in sent) <= 160 + 3 * 40
+        homes = [r[0] for r in edges.cold.select(f"`{engine.HOME}`").distinct().collect()]
+        assert len(spark.createDataFrame([(h,) for h in homes], "h long").select(F.pmod(F.hash("h"), F.lit(4))).distinct().collect()) == len(homes) > 1
+        assert nodes.where(F.col(f"`{engine.HOME}`").isNull()).count() == 10
+        engine._put_away(edges)
+        out = engine.run(PROGRAMS["wcc_self"], g)
+        assert out.nodes.columns == ["id", "label"] and {r.id: r.label for r in out.nodes.collect()} == {i: i // 40 * 40 + 39 if i < 160 else i for i in range(170)}
+        assert iterate(PROGRAMS["difference"], g, 2).nodes.columns == ["id", "label"] and spark.conf.get(engine.ALL_KEYS) == "true"
+    finally:
+        for n, x in zip(names, old):
+            spark.conf.set(n, x)
+
+
+def test_an_edge_property_may_be_called_home(spark):
+    """The bucket key does not stand in the place of a property."""
+    text = PROGRAMS["sssp"].replace("weight", "home")
+    g = Graph(spark.createDataFrame([(i, 0 if i == 0 else 999) for i in range(30)], "id long, dist long"), spark.createDataFrame([(i, i, i + 1, 2 + i % 3) for i in range(29)], "eid long, src long, dst long, home long"))
+    want = {r.id: r.dist for r in iterate(text, g, 4).nodes.collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.id: r.dist for r in iterate(text, g, 4).nodes.collect()} == want and want[4] == 2 + 3 + 4 + 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_supply_lies_in_ranges_of_parts(spark):
+    from gasframe.queries import supply
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = spark.read.parquet(*supply(spark, "/root/testdata/sf0.01").edges.inputFiles()).withColumn("file", F.input_file_name())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files, parts, both = (stored.select(*c).distinct().count() for c in (["file"], ["dst"], ["file", "dst"]))
+    assert files > 1 and both < parts + files
+
+
 def test_the_rest_stands_where_the_training_data_part_cannot_be_imported(monkeypatch):
     import __spark_entry__
 
